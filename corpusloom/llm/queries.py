@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing, sentencepiece_codec, token_counts
+from . import minhash_dedup, packing, sentencepiece_codec, token_counts
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
+    "op3_near_duplicates": minhash_dedup.op3_near_duplicates,
     "op8_token_counts": token_counts.op8_token_counts,
     "op10_packing": packing.op10_packing,
 }
