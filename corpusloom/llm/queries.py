@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import minhash_dedup, packing, sentencepiece_codec, token_counts
+from . import fingerprints, minhash_dedup, packing, sentencepiece_codec, token_counts
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op3_near_duplicates": minhash_dedup.op3_near_duplicates,
+    "op6_fingerprints": fingerprints.op6_fingerprints,
     "op8_token_counts": token_counts.op8_token_counts,
     "op10_packing": packing.op10_packing,
 }
