@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import fingerprints, minhash_dedup, packing, sentencepiece_codec, token_counts
+from . import fingerprints, language_id, minhash_dedup, packing, sentencepiece_codec, token_counts
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
+    "op2_language_id": language_id.op2_language_id,
     "op3_near_duplicates": minhash_dedup.op3_near_duplicates,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op8_token_counts": token_counts.op8_token_counts,
