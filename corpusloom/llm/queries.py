@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language_id, minhash_dedup, packing, sentencepiece_codec, token_counts, toxicity
+from . import class_lm, fingerprints, language_id, minhash_dedup, packing, sentencepiece_codec, token_counts, toxicity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_language_id": language_id.op2_language_id,
     "op3_near_duplicates": minhash_dedup.op3_near_duplicates,
+    "op4_class_lm": class_lm.op4_class_lm,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_token_counts": token_counts.op8_token_counts,
