@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import class_lm, fingerprints, language_id, minhash_dedup, packing, sentencepiece_codec, token_counts, toxicity
+from . import additive_ann, chat_windows, class_lm, fingerprints, language_id, minhash_dedup, packing, sentencepiece_codec, token_counts, toxicity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_language_id": language_id.op2_language_id,
     "op3_near_duplicates": minhash_dedup.op3_near_duplicates,
     "op4_class_lm": class_lm.op4_class_lm,
+    "op5_chat_windows": chat_windows.op5_chat_windows,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_token_counts": token_counts.op8_token_counts,
+    "op9_nearest": additive_ann.op9_nearest,
     "op10_packing": packing.op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
