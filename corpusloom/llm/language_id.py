@@ -25,7 +25,8 @@ WIDTHS = (2, 3, 4, 5)
 FILTERS, DIMENSIONS = 16, 8
 #: Labelled rows that training takes (expected number; all of them if there are fewer), and windows of each at most.
 SAMPLE_ROWS, SAMPLE_WINDOWS = 6000, 3
-EPOCHS, BATCH, RATE = 6, 64, 0.004
+#: Passes over the windows; more of them where they would make fewer than STEPS steps.
+EPOCHS, STEPS, BATCH, RATE = 6, 1500, 64, 0.004
 UNDETERMINED = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -67,7 +68,7 @@ class Network:
 
     def train(self, windows: np.ndarray, labels: np.ndarray, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(labels)))):
             order = rng.permutation(len(labels))
             for at in range(0, len(order), BATCH):
                 self._step(windows[order[at : at + BATCH]], labels[order[at : at + BATCH]])
