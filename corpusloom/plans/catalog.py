@@ -756,12 +756,13 @@ def _drawn(spark, d, n):
     return G.sample_systems(asked, G.meter_index(D.scores(spark, d)))
 
 
-_N3 = F.col("o_orderkey") % 3 + 2
+def _asked():
+    return F.col("o_orderkey") % 3 + 2
 
 
 @query("r03_sample_systems", f"{_pages_asked('o_orderkey%3+2')} SELECT page_id, CAST(k AS INT) AS k, meter, id FROM sy")
 def _(spark, d):
-    return _drawn(spark, d, _N3).select("page_id", "k", "meter", "id")
+    return _drawn(spark, d, _asked()).select("page_id", "k", "meter", "id")
 
 
 def _composed(spark, d, n):
@@ -772,7 +773,7 @@ def _composed(spark, d, n):
 
 @query("r04_compose_pages")
 def _(spark, d):
-    return _composed(spark, d, _N3)
+    return _composed(spark, d, _asked())
 
 
 @query("r05_synthetic_single")
