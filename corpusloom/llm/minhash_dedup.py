@@ -33,6 +33,8 @@ BANDS, ROWS = 36, 7
 SLACK = 0.1
 #: Nodes of a bucket in one task.
 BLOCK = 1500
+#: Size of the bitmap that tells which texts need not be read again; 4 MB as rows.
+FILTER_BITS = 1 << 24
 
 _ROUND = random_words(COORDINATES, 3)
 _TARGET = random_words(COORDINATES, 4)
@@ -145,6 +147,22 @@ def _with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "of_u", "of_v")
 
 
+def _perhaps_in(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents whose place in a bitmap of FILTER_BITS bits some wanted node holds too; others need not move.
+
+    The bitmap is at most FILTER_BITS / 64 rows whatever the input; where it fills up, it merely lets more pass.
+    """
+
+    def place(id_: str):
+        return F.pmod(F.xxhash64(F.lit("filter"), id_), F.lit(FILTER_BITS))
+
+    bit = F.expr(f"shiftleft(1L, int(pmod(xxhash64('filter', node), {FILTER_BITS}L) % 64))")
+    bitmap = wanted.groupBy(F.floor(place("node") / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    held = F.expr(f"(shiftright(bits, int(pmod(xxhash64('filter', doc_id), {FILTER_BITS}L) % 64)) & 1L) = 1L")
+    near = docs.withColumn("word", F.floor(place("doc_id") / 64)).join(F.broadcast(durable(bitmap, "bitmap")), "word")
+    return near.where(held).select(*docs.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the edges (u, v); component is its smallest node.
 
@@ -239,6 +257,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", word
     rest_keys = shared.where("size > 2").select("node").distinct()
     wanted = stars.select(F.explode(F.array("u", "v")).alias("node")).union(rest_keys).distinct()
     sources = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    wanted = durable(wanted, "wanted")
+    sources = _perhaps_in(sources, wanted)
     sets = durable(shingle_sets(sources.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), "text", words), "sets")
     links = durable(_with_both(stars, sets, "shingles").where(_similar("of_u", "of_v", percent)).select("u", "v"), "links")
     found = components(links)
