@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import language_id, minhash_dedup, packing, toxicity
 
 #: Documents whose language is less certain than this, or that have no letter, are rejected.
-LEAST_CERTAIN = 0.4
+LEAST_CERTAIN = 0.3
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
