@@ -399,16 +399,30 @@ def _(spark, d):
     return P.histogram_l1(D.turns(spark, d)).select("i", "j", F.col("d").cast("long").alias("d"))
 
 
-@query("a04_token_edit_distance")
+def _edit_sql(pairs: str) -> str:
+    """CTE ``ed`` (key, d) of ``pairs`` (key, p, t): one row of the distance table a step, the shorter list across."""
+    cost = "CASE WHEN j=0 THEN i+1 ELSE least(row[j+1]+1, row[j]+CASE WHEN p[i+1]=t[j] THEN 0 ELSE 1 END) END - j"
+    return f"""pairs AS ({pairs}), sided AS (SELECT key, CASE WHEN len(p)>=len(t) THEN p ELSE t END AS p, CASE WHEN len(p)>=len(t) THEN t ELSE p END AS t FROM pairs),
+dp AS (SELECT key, p, t, 0 AS i, range(0, len(t)+1) AS row FROM sided UNION ALL SELECT key, p, t, i+1, list_transform(range(1, len(t)+2), lambda j: list_min(low[1:j])+j-1)
+FROM (SELECT *, list_transform(range(0, len(t)+1), lambda j: {cost}) AS low FROM dp WHERE i<len(p))), ed AS (SELECT key, CAST(row[-1] AS INT) AS d FROM dp WHERE i=len(p))"""
+
+
+_EDIT = f"WITH RECURSIVE {TURNS}, " + _edit_sql("SELECT {'i':a.id,'j':b.id} AS key, a.tokens AS p, b.tokens AS t FROM turns a JOIN turns b ON a.id<b.id")
+
+
+@query("a04_token_edit_distance", f"{_EDIT} SELECT key.i AS i, key.j AS j, d, CAST(len(a.tokens) AS INT) AS len_i, CAST(len(b.tokens) AS INT) AS len_j FROM ed JOIN turns a ON a.id=key.i JOIN turns b ON b.id=key.j")
 def _(spark, d):
     return P.token_edit_distance(D.turns(spark, d))
 
 
-@query("a05_normalize_edit")
+_N2 = "len(a.tokens)+len(b.tokens)"
+
+
+@query("a05_normalize_edit", f"{_EDIT} SELECT key.i AS i, key.j AS j, round(CASE WHEN {_N2}=0 THEN 1.0 ELSE CAST(d AS DOUBLE)/greatest(len(a.tokens),len(b.tokens)) END,6) AS by_max, round(CASE WHEN {_N2}=0 THEN 1.0 ELSE least(CAST(d AS DOUBLE)/(({_N2})/2.0),1.0) END,6) AS by_mean FROM ed JOIN turns a ON a.id=key.i JOIN turns b ON b.id=key.j")
 def _(spark, d):
     e = P.token_edit_distance(D.turns(spark, d))
     by = lambda how: P.normalize_edit(F.col("d"), F.col("len_i"), F.col("len_j"), how)
-    return e.select("i", "j", by("max").alias("by_max"), by("mean").alias("by_mean"))
+    return e.select("i", "j", F.round(by("max"), 6).alias("by_max"), F.round(by("mean"), 6).alias("by_mean"))
 
 
 @query("a06_normalize_histogram", f"WITH {_L1} SELECT i, j, round(CASE WHEN len_i+len_j=0 THEN 1.0 ELSE CAST(d AS DOUBLE)/(len_i+len_j) END,6) AS d FROM l1")
@@ -525,15 +539,31 @@ def _(spark, d):
     return K.token_histogram(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.split("text", " ", -1).alias("tokens")))
 
 
-@query("a08_corpus_error_rate")
+_ANSWERED = "an AS (SELECT u.conv_id*100+u.turn AS id, u.text AS reference, a.text AS hypothesis FROM conversations u JOIN conversations a ON a.conv_id=u.conv_id AND a.turn=u.turn+1 AND a.role='assistant' WHERE u.role='user')"
+_WORDS = "list_filter(regexp_split_to_array(%s,'[ \\t\\n\\r\\x0b\\f]+'), lambda x: x<>'')"
+_RATE = "round(100.0*sum(d)/sum(len(pairs.t)),6) AS error_rate"
+
+
+@query("a08_corpus_error_rate", f"WITH RECURSIVE {_ANSWERED}, " + _edit_sql(f"SELECT id AS key, {_WORDS % 'hypothesis'} AS p, {_WORDS % 'reference'} AS t FROM an") + f" SELECT {_RATE} FROM ed JOIN pairs USING (key)")
 def _(spark, d):
     rows = D.answered(spark, d).select("id", S.split_symbols(F.col("hypothesis")).alias("p"), S.split_symbols(F.col("reference")).alias("t"))
-    return M.corpus_error_rate(rows, "p", "t")
+    return _rounded(M.corpus_error_rate(rows, "p", "t"))
 
 
-@query("a09_cer_ser_ler")
+def _views_sql(text: str) -> dict[str, str]:
+    ser = _SER.replace("text", text)
+    return {
+        "ser": ser, "ler": f"list_transform(string_split({text},{NL}), lambda x: replace(x,{T},' <t> '))",
+        "cer": f"flatten(list_transform({ser}, lambda x: CASE WHEN x IN ('<b>','<t>') THEN string_split(x,'') ELSE [x] END))",
+    }
+
+
+_VIEWS = " UNION ALL ".join(f"SELECT {{'view':'{v}','id':id}} AS key, {_views_sql('hypothesis')[v]} AS p, {_views_sql('reference')[v]} AS t FROM an" for v in ("cer", "ser", "ler"))
+
+
+@query("a09_cer_ser_ler", f"WITH RECURSIVE {_ANSWERED}, " + _edit_sql(_VIEWS) + f" SELECT key.view AS view, {_RATE} FROM ed JOIN pairs USING (key) GROUP BY 1")
 def _(spark, d):
-    return M.cer_ser_ler(D.answered(spark, d), "hypothesis", "reference")
+    return _rounded(M.cer_ser_ler(D.answered(spark, d), "hypothesis", "reference"), "view")
 
 
 @query("a12_page_mean_pool", f"WITH {PAGES}, e AS (SELECT score_id, unnest(embedding) AS x, generate_subscripts(embedding,1) AS dim FROM pg) SELECT score_id, dim-1 AS dim, round(avg(CAST(x AS DOUBLE)),5) AS x FROM e GROUP BY 1,2")
@@ -771,12 +801,30 @@ def _composed(spark, d, n):
     return rows.select("page_id", F.array_join(S.add_sequence_markers(S.render_mode(F.col("tokens"), "bekern")), " ").alias("tokens"))
 
 
-@query("r04_compose_pages")
+def _continued(tokens: str) -> str:
+    rows = f"string_split(array_to_string({tokens},' '),' <b> ')"
+    bar = f"coalesce(list_position(list_transform({rows}, lambda y: contains(y,'=')), true),0)"
+    restates = "(contains(x,'*clef') OR contains(x,'*k') OR contains(x,'*M') OR contains(x,'*met'))"
+    return f"list_filter(string_split(array_to_string(list_filter({rows}, lambda x, i: NOT (({bar}=0 OR i<={bar}) AND {restates})),' <b> '),' '), lambda x: x<>'')"
+
+
+def _composed_sql(n: str) -> str:
+    cut = "tk[1:greatest(len(tk)-5,0)]"
+    marked = f"array_to_string(list_transform(string_split({_MARKED},' ')[5:], lambda x: regexp_replace(x,'=\\d+','=','g')),' ')"
+    shown = "replace(replace(replace(replace(replace(array_to_string(t,''),'<s>',' <s> '),'<b>',' <b> '),'<t>',' <t> '),'·',' '),'@',' ')"
+    return f"""{_pages_asked(n)}, {CLEAN}, sx AS (SELECT id, string_split({marked},' ') AS tk FROM cleaned),
+ce AS (SELECT id, tk, {cut} AS head, {_continued(cut)} AS middle, {_continued('tk')} AS tail FROM sx),
+pc AS (SELECT page_id, k, CASE WHEN n=1 THEN tk WHEN k=0 THEN head WHEN k<n-1 THEN list_concat(['<b>'], middle) ELSE list_concat(['<b>'], tail) END AS piece FROM sy JOIN ce USING (id)),
+wh AS (SELECT page_id, flatten(list(piece ORDER BY k)) AS a FROM pc GROUP BY 1), dd AS (SELECT page_id, list_filter(a, lambda x, i: NOT (x='<b>' AND (i=1 OR a[greatest(i-1,1)]='<b>'))) AS t FROM wh)
+SELECT page_id, '<bos> '||array_to_string(list_filter(string_split({shown},' '), lambda x: x<>''),' ')||' <eos>' AS tokens FROM dd"""
+
+
+@query("r04_compose_pages", _composed_sql("o_orderkey%3+2"))
 def _(spark, d):
     return _composed(spark, d, _asked())
 
 
-@query("r05_synthetic_single")
+@query("r05_synthetic_single", _composed_sql("1"))
 def _(spark, d):
     return _composed(spark, d, F.lit(1))
 
