@@ -288,7 +288,8 @@ def class_table(blocks: DataFrame, classes: int = CLASSES) -> DataFrame:
     n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = rows.repartition(n, "word").sortWithinPartitions("word")
     found = sorted_.mapInArrow(_assign(score, classes), "block long, at int, class short, n long, first boolean")
-    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(_learn(classes), _LEARNED)
+    texts = blocks.drop("words", "counts")  # the rows found carry what is needed of these
+    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(_learn(classes), _LEARNED)
 
 
 def _transitions(learned: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray]:
