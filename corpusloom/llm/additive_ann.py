@@ -64,7 +64,9 @@ def train_books(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, roun
     for i in range(books):
         np.add.at(right, flat[:, i], x)
     old = out.reshape(books * words, -1)
-    fitted = old + np.linalg.solve(gram + 1.0 * np.eye(len(gram), dtype=np.float32), right - gram @ old)
+    right -= gram @ old
+    gram[np.diag_indices(len(gram))] += 1
+    fitted = old + np.linalg.solve(gram, right)
     return fitted.reshape(out.shape).astype(np.float32)
 
 
