@@ -14,6 +14,8 @@ its most telling term. The labelled texts may be a bounded sample.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +95,8 @@ class Restorer:
 
     #: Tokens remembered, and the longest that is decoded; longer ones (keys, addresses) are no words.
     REMEMBERED, LONGEST = 200_000, 60
+    #: After so many characters what all paths share is written out, so that long runs of one-letter tokens take no more memory.
+    STRETCH = 1024
 
     def __init__(self, cost: np.ndarray):
         self.cost, self.known = cost, {}
@@ -107,13 +111,15 @@ class Restorer:
             for sign in "!$@+|":
                 if text.endswith(sign * 2) or text.startswith(sign * 2):
                     text = text.strip(sign)
-            restored = self.decode(text) if len(text) <= self.LONGEST else text
-            found = self.known[token] = [w.encode() for w in "".join(c if c.isalpha() else " " for c in restored).split()]
+            restored = self.decode(text) if len(text) <= self.LONGEST or " " in text else text
+            found = [w.encode() for w in "".join(c if c.isalpha() else " " for c in restored).split()]
+            if len(token) <= self.LONGEST:
+                self.known[token] = found
         return found
 
     def decode(self, text: str) -> str:
         """Best path by Viterbi; a state is the three characters written last, with the letter written last."""
-        cost = self.cost
+        cost, done = self.cost, ""
         states: dict[tuple[int, str], tuple[float, tuple]] = {(0, ""): (0.0, ())}
         for at, char in enumerate(text):
             alpha = char.isalpha()
@@ -138,12 +144,21 @@ class Restorer:
                     end = float(cost[context, _END]) if context else 0.0
                     put((0, ""), so_far + end + (0.0 if char == " " else ITSELF), (path, char))
             states = new
+            if (at + 1) % self.STRETCH == 0:
+                written = {key: _written(path) for key, (_, path) in states.items()}
+                shared = commonprefix(list(written.values()))
+                done += shared
+                states = {key: (value, reduce(lambda path, letter: (path, letter), written[key][len(shared) :], ())) for key, (value, _) in states.items()}
         path = min(states.items(), key=lambda s: (s[1][0] + float(cost[s[0][0], _END]), s[0][1]))[1][1]
-        out = []
-        while path:
-            path, letter = path
-            out.append(letter)
-        return "".join(reversed(out))
+        return done + _written(path)
+
+
+def _written(path: tuple) -> str:
+    out = []
+    while path:
+        path, letter = path
+        out.append(letter)
+    return "".join(reversed(out))
 
 
 def _disguised(data: np.ndarray, words) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -188,7 +203,7 @@ def terms_of(data: np.ndarray, offsets: np.ndarray, restorer: Restorer) -> tuple
         owner += [tokens.text[i]] * len(found)
         extra += found
     for a, b in runs:
-        found = restorer.words(b" ".join(raw[tokens.start[k] : tokens.end[k]].tobytes() for k in range(a, min(b + 1, a + 30))))
+        found = restorer.words(b" ".join(raw[tokens.start[k] : tokens.end[k]].tobytes() for k in range(a, b + 1)))
         owner += [tokens.text[a]] * len(found)
         extra += found
     # the letters of the other tokens

@@ -171,6 +171,23 @@ def test_op7(spark):
     assert min(scores[:6]) >= 0.7 and max(scores[6:]) < 0.7
 
 
+def test_op7_long_runs(spark):
+    """Letters spaced out are decoded to the end of the run, whether or not they fit one stretch."""
+    plain = ["the river runs over the old stones", "a market opens early in the morning", "she reads letters near the window", "they walk the dog along the shore"]
+    rows = [(i, f"{plain[i % 4]} for you {i % 13}") for i in range(120)] + [(200 + i, f"{plain[i % 4]} you idiot") for i in range(40)]
+    labels = spark.createDataFrame([(i, int("idiot" in t)) for i, t in rows], "doc_id long, toxic int")
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    spaced = [" ".join(t.replace(" ", "")) for t in plain]
+    tests = [f"{spaced[0]} {spaced[1]} i d i o t", f"{spaced[2]} i d i o t {spaced[3]}", " ".join(spaced * 20) + " 1 d 1 0 t", " ".join(spaced * 20)]
+    assert len(tests[0].split()) > 45
+    scores = [r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert min(scores[:3]) >= 0.7 and scores[3] < 0.7
+    one, other = toxicity.Restorer(model["cost"].value), toxicity.Restorer(model["cost"].value)
+    other.STRETCH = 7
+    for text in [*tests, "1.d-1_0.t" * 30, "i" * 90 + "diot"]:
+        assert one.decode(text) == other.decode(text)
+
+
 def test_op8(spark, texts):
     from tokenizers import Tokenizer
 
