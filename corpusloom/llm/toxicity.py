@@ -2,7 +2,7 @@
 
 Channel: a sign may stand for a letter, signs and blanks may be thrown between letters, letters may be repeated. A token
 that shows any of this becomes a lattice of what its characters may have been, and the path that a character language
-model and the channel's costs like best is what was meant. Other tokens have one path, themselves. The language model
+model and the channel's costs like best is what was meant; parts between separators are decoded by themselves, too. Other tokens have one path, themselves. The language model
 counts four characters at a time over the whole corpus.
 
 Score: the terms of a restored text are its words and their first letters, as 64-bit hashes. A first pass over labelled
@@ -13,8 +13,10 @@ its most telling term. The labelled texts may be a bounded sample.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 from os.path import commonprefix
 
 import numpy as np
@@ -41,6 +43,9 @@ STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 #: Costs in nats: a sign for a letter, a sign thrown in, a blank thrown in, a letter twice, more often, a sign that means itself.
 SIGN, THROWN, SPACED, DOUBLED, REPEATED, ITSELF = 1.0, 1.0, 0.3, 2.5, 0.2, 5.0
 
+#: Signs that join words or letters to one token and stand for no letter.
+_SEPARATORS = re.compile(r"[-._/\\,;:~*#=&?%'\"<>\[\]{})^` ]+")
+
 _END, _OTHER, _SYMBOLS = 0, 27, 28
 _CODE = np.zeros(256, np.int64)
 _CODE[97:123] = np.arange(1, 27)
@@ -93,9 +98,9 @@ def character_model(counts: DataFrame) -> np.ndarray:
 class Restorer:
     """Finds what was meant by a disguised token."""
 
-    #: Tokens remembered, and the longest that is decoded; longer ones (keys, addresses) are no words.
+    #: Tokens remembered, and the longest of these; longer ones are decoded each time.
     REMEMBERED, LONGEST = 200_000, 60
-    #: After so many characters what all paths share is written out, so that long runs of one-letter tokens take no more memory.
+    #: After so many characters what all paths share is written out, so that long tokens and runs take no more memory.
     STRETCH = 1024
 
     def __init__(self, cost: np.ndarray):
@@ -111,7 +116,7 @@ class Restorer:
             for sign in "!$@+|":
                 if text.endswith(sign * 2) or text.startswith(sign * 2):
                     text = text.strip(sign)
-            restored = self.decode(text) if len(text) <= self.LONGEST or " " in text else text
+            restored = " ".join([self.decode(text), *(self.decode(part) for part in _joined(text))])
             found = [w.encode() for w in "".join(c if c.isalpha() else " " for c in restored).split()]
             if len(token) <= self.LONGEST:
                 self.known[token] = found
@@ -153,6 +158,18 @@ class Restorer:
         return done + _written(path)
 
 
+def _joined(text: str) -> list[str]:
+    """What separators may have joined, besides the text itself: parts of three characters or more, and runs of three one-character parts or more as if blanks lay between."""
+    out = []
+    for single, parts in groupby(filter(None, _SEPARATORS.split(text)), lambda part: len(part) == 1):
+        parts = list(parts)
+        if not single:
+            out += [part for part in parts if 3 <= len(part) < len(text)]
+        elif len(parts) >= 3 and " " not in text:
+            out.append(" ".join(parts))
+    return out
+
+
 def _written(path: tuple) -> str:
     out = []
     while path:

@@ -188,6 +188,19 @@ def test_op7_long_runs(spark):
         assert one.decode(text) == other.decode(text)
 
 
+def test_op7_long_tokens(spark):
+    """A token is decoded however long it is, whole and by the parts that separators join."""
+    plain = ["the river runs over the old stones", "a market opens early in the morning", "she reads letters near the window", "they walk the dog along the shore"]
+    rows = [(i, f"{plain[i % 4]} for you {i % 13}") for i in range(120)] + [(200 + i, f"{plain[i % 4]} you idiot") for i in range(40)]
+    labels = spark.createDataFrame([(i, int("idiot" in t)) for i, t in rows], "doc_id long, toxic int")
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    joined = ["-".join(t.split()) for t in plain]
+    dotted = [".".join(t.replace(" ", "")) for t in plain]
+    tests = ["i" * 70 + "diot", f"{joined[0]}_{joined[1]}-1d10t-{joined[2]}", f"{dotted[0]}.i.d.i.o.t.{dotted[1]}", f"{joined[0]}.i.d.1.0.t.{joined[1]}", "the-river-runs-1d10t", f"{joined[0]}_{joined[1]}-{joined[2]}", f"{dotted[0]}.{dotted[1]}", "i" * 70]
+    scores = [r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert min(scores[:5]) >= 0.7 and max(scores[5:]) < 0.7
+
+
 def test_op8(spark, texts):
     from tokenizers import Tokenizer
 
