@@ -3,7 +3,9 @@
 A vector is coded as the sum of one word from each of several codebooks, all of the vectors' full dimension. The books
 are trained on the driver on a bounded sample, each on what the books before it leave over; a beam search then finds
 the words of every vector. Searching goes block of queries by block of codes: a table of each query's products with
-all words gives every code's score by lookups. The best codes of each query are ranked again on the original vectors.
+all words gives every code's score by lookups. A code's score is off by no more than the query's length times what the
+coding left over, so the codes that may still be among the best are known, and all of those are ranked again on the
+original vectors: the answer is that of brute force, whatever the vectors.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ BOOKS, WORDS = 16, 256
 BEAM = 6
 #: Vectors that the books are trained on (expected number; all of them if there are fewer).
 SAMPLE = 12_000
-#: Codes of each query that are ranked again; queries and codes of a block.
-RERANK, QUERY_BLOCK, CODE_BLOCK = 768, 256, 32_768
+#: Queries and codes of a block.
+QUERY_BLOCK, CODE_BLOCK = 2048, 8192
+#: Relative slack for rounding of scores in 32 and of products in 64 bits.
+LOOSE, FINE = 1e-4, 1e-10
 NEAREST = 20
 
 
@@ -95,7 +99,7 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
 
 
 def build_index(distinct: DataFrame, books: np.ndarray) -> DataFrame:
-    """(block, ids, codes, norms): every vector coded, CODE_BLOCK at most in a row; norms are those of the coded vectors."""
+    """(places, ids, alone, codes, left, vectors): every vector coded, with the length of what its code leaves over; about CODE_BLOCK in a row."""
     dimension = books.shape[2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,55 +107,89 @@ def build_index(distinct: DataFrame, books: np.ndarray) -> DataFrame:
         size = 0
 
         def packed() -> pa.RecordBatch:
-            ids, codes, norms = (np.concatenate([h[k] for h in held]) for k in range(3))
-            return pa.record_batch([pa.array([x.tobytes()]) for x in (ids, codes, norms)], ["ids", "codes", "norms"])
+            return pa.record_batch([pa.array([np.concatenate([h[k] for h in held]).tobytes()]) for k in range(6)], ["places", "ids", "alone", "codes", "left", "vectors"])
 
         for batch in batches:
-            x = _matrix(batch.column(1), dimension)
-            codes = encode(x, books)
-            coded = sum(books[m][codes[:, m]] for m in range(len(books)))
-            held.append((batch.column(0).to_numpy(), codes, (coded * coded).sum(1)))
-            size += len(x)
-            if size >= CODE_BLOCK:
-                yield packed()
-                held, size = [], 0
+            for at in range(0, batch.num_rows, CODE_BLOCK):
+                part = batch.slice(at, CODE_BLOCK)
+                x = np.ascontiguousarray(_matrix(part.column(3), dimension))
+                codes = encode(x, books)
+                coded = sum(books[m][codes[:, m]].astype(float) for m in range(len(books)))
+                left = np.sqrt(((x - coded) ** 2).sum(1))
+                held.append((part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).to_numpy(zero_copy_only=False).astype(bool), codes, left, x))
+                size += len(x)
+                if size >= CODE_BLOCK:
+                    yield packed()
+                    held, size = [], 0
         if size:
             yield packed()
 
-    return distinct.select("vec_id", "vector").mapInArrow(run, "ids binary, codes binary, norms binary")
+    shape = "places binary, ids binary, alone binary, codes binary, left binary, vectors binary"
+    return distinct.select("place", "vec_id", (F.size("members") == 1).alias("alone"), "vector").mapInArrow(run, shape)
 
 
-def candidates(index: DataFrame, queries: DataFrame, books: np.ndarray, keep: int = RERANK, metric: str = "product") -> DataFrame:
-    """(query_id, vec_id): the ``keep`` best codes of each query, by product or (``distance``) by the stored norms too."""
-    count = queries.count()
-    blocks = max(1, -(-count // QUERY_BLOCK))
-    asked = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("asked")).agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries"))
-    pairs = index.withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "asked").select("ids", "codes", "norms", F.col("queries.vec_id").alias("q_ids"), F.flatten("queries.vector").alias("q"))
+def best_of_block(q: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, alone: np.ndarray, codes: np.ndarray, left: np.ndarray, x: np.ndarray, books: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, column of ids, product) of the ``keep`` largest products of each query, ties to the smaller id: exact.
+
+    A query does not meet the vectors that only it has.
+    """
+    keep = min(keep, len(ids))
+    longest = np.sqrt((x * x).sum(1).max())
+    reach = sum(np.sqrt((book.astype(float) ** 2).sum(1)[codes[:, m]]) for m, book in enumerate(books))
+    tables = np.einsum("qd,mwd->mqw", q.astype(np.float32), books)
+    rows, found, products = [], [], []
+    for a in range(0, len(q), 32):
+        some = q[a : a + 32]
+        length = np.sqrt((some * some).sum(1))[:, None]
+        score = tables[0, a : a + 32][:, codes[:, 0]]
+        for m in range(1, len(books)):
+            score += tables[m, a : a + 32][:, codes[:, m]]
+        own = (q_ids[a : a + 32, None] == ids) & alone
+        score[own] = -np.inf
+        first = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
+        floor = np.where(np.take_along_axis(own, first, 1), -np.inf, np.einsum("qd,qkd->qk", some, x[first])).min(axis=1)[:, None]  # the exact keep-th is no less
+        open_ = ~(score + length * (left + LOOSE * reach) < floor - FINE * length * longest) & ~own
+        which = np.flatnonzero(open_.any(axis=0))
+        exact = np.where(open_[:, which], some @ x[which].T, -np.inf)
+        nearly = min(keep, len(which)) - 1
+        if nearly < 0:
+            continue
+        least = -np.partition(-exact, nearly, axis=1)[:, nearly : nearly + 1]
+        row, column = np.nonzero((exact >= least - FINE * length * longest) & open_[:, which])
+        column = which[column]
+        product = (some[row] * x[column]).sum(axis=1)
+        order = np.lexsort((ids[column], -product, row))
+        row, column, product = row[order], column[order], product[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        rows.append(row[nth < keep] + a)
+        found.append(column[nth < keep])
+        products.append(product[nth < keep])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *rows]), np.concatenate([none, *found]), np.concatenate([np.zeros(0), *products])
+
+
+def candidates(index: DataFrame, queries: DataFrame, books: np.ndarray, keep: int, slices: int) -> DataFrame:
+    """(query_id, place, score): the ``keep`` vectors of the largest products with each query; ``slices`` of the index meet blocks of queries."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    asked = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("asked")).agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    index = index.withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int"))
+    pairs = index.withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, ["asked", "slice"]).select("places", "ids", "alone", "codes", "left", "vectors", F.col("queries.vec_id").alias("q_ids"), F.flatten("queries.vector").alias("q"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, codes, norms = (np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in ((0, np.int64), (1, np.uint8), (2, np.float32)))
-                codes = codes.reshape(len(ids), -1)
-                q_ids = batch.column(3)[k].values.to_numpy()
-                q = batch.column(4)[k].values.to_numpy().reshape(len(q_ids), -1).astype(np.float32)
-                tables = np.einsum("qd,mwd->mqw", q, books)
-                for a in range(0, len(q_ids), 32):
-                    score = tables[0, a : a + 32][:, codes[:, 0]]
-                    for m in range(1, len(books)):
-                        score += tables[m, a : a + 32][:, codes[:, m]]
-                    if metric == "distance":
-                        score = 2 * score - norms
-                    top = np.argpartition(-score, min(keep, len(ids)) - 1, axis=1)[:, :keep]
-                    value = np.take_along_axis(score, top, 1)
-                    yield pa.record_batch([pa.array(np.repeat(q_ids[a : a + 32], top.shape[1])), pa.array(ids[top].reshape(-1)), pa.array(value.reshape(-1).astype(np.float64))], ["query_id", "vec_id", "about"])
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, about double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id")
-    return found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= keep).select("query_id", "vec_id")
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, vector: str = "embedding", rerank: int = RERANK) -> DataFrame:
+                places, ids, alone, codes, left, x = (np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in enumerate((np.int64, np.int64, bool, np.uint8, np.float64, np.float64)))
+                q_ids = batch.column(6)[k].values.to_numpy()
+                q = batch.column(7)[k].values.to_numpy().reshape(len(q_ids), -1)
+                row, found, score = best_of_block(q, q_ids, ids, alone, codes.reshape(len(ids), -1), left, x.reshape(len(ids), -1), books, keep)
+                yield pa.record_batch([pa.array(q_ids[row]), pa.array(ids[found]), pa.array(places[found]), pa.array(score)], ["query_id", "vec_id", "place", "score"])
+
+    found = pairs.mapInArrow(run, "query_id long, vec_id long, place long, score double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "place")
+    return found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= keep).select("query_id", "place", "score")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): of each query the ``k`` rows with the largest inner product, itself left out.
 
     Ties go to the smaller vec_id. Rows that ``usable`` leaves out are neither queries nor found; vectors of another
@@ -165,7 +203,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, vector: st
     rows = rows.where(F.size("vector") == dimension)
     same = Window.partitionBy("vector").orderBy("vec_id")
     few = rows.dropDuplicates(["vec_id", "vector"]).withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1)
-    groups = durable(few.groupBy("vector").agg(F.min("vec_id").alias("vec_id"), F.sort_array(F.collect_list("vec_id")).alias("members")), "vectors")
+    groups = durable(few.groupBy("vector").agg(F.min("vec_id").alias("vec_id"), F.sort_array(F.collect_list("vec_id")).alias("members")).withColumn("place", F.monotonically_increasing_id()), "vectors")
     count = groups.count()
     share = min(1.0, SAMPLE / max(count, 1))
     sample = groups.where(F.pmod(F.xxhash64(F.lit("books"), "vec_id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1).orderBy("vec_id").select("vector").toArrow()
@@ -173,15 +211,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, vector: st
     x = _matrix(sample["vector"].combine_chunks(), dimension) if count else np.zeros((1, dimension))
     books = train_books(x, words=min(WORDS, max(1, len(x))))
     index = durable(build_index(groups, books), "codes")
-    found = candidates(index, asked, books, rerank)
-    pairs = found.join(groups, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q")), "query_id").select("query_id", "members", "q", "vector")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = (_matrix(batch.column(2), dimension) * _matrix(batch.column(3), dimension)).sum(axis=1) if batch.num_rows else np.zeros(0)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score)], ["query_id", "members", "score"])
-
-    exact = pairs.mapInArrow(run, "query_id long, members array<long>, score double").select("query_id", F.explode("members").alias("vec_id"), "score").where("query_id <> vec_id")
+    found = candidates(index, asked, books, k + 1, max(1, -(-count // CODE_BLOCK)))
+    exact = found.join(groups.select("place", "members"), "place").select("query_id", F.explode("members").alias("vec_id"), "score").where("query_id <> vec_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

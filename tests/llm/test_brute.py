@@ -229,6 +229,20 @@ def test_op9(spark):
     assert (rest**2).sum() < 0.45 * (x**2).sum()
 
 
+def test_op9_hot_cluster(spark):
+    """More close vectors than any fixed number of candidates, and queries that must tell them apart: as brute force has it."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(2500, 16)), rng.normal(size=16) + 1e-6 * rng.normal(size=(2500, 16))])
+    x[7] = x[2600]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in additive_ann.nearest(v, v.where("vec_id % 500 = 100 OR vec_id = 7")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for q in [*range(100, 5000, 500), 7]:
+        score = (x[q] * x).sum(axis=1)
+        assert got[q] == [i for i in np.lexsort((np.arange(len(x)), -score)).tolist() if i != q][:20]
+
+
 def test_op10(spark, texts):
     from tokenizers import Tokenizer
 
