@@ -1,24 +1,47 @@
-"""Intermediate tables in the folder that the whole cluster shares."""
+"""Intermediate tables in the folder that the whole cluster shares: they cut lineage, so that a lost executor costs a re-read only."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that cross to a Python worker at once while a table is written; Spark bounds the bytes of a batch besides.
+ROWS_PER_BATCH = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-def scratch(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``; where that is unset (tests, one machine) a temporary folder becomes it."""
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; where it is unset a folder below the warehouse, which executors share too, becomes it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/corpusloom/{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str = "table") -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written as Parquet and read back: what it holds is settled. The session's batch size is as before afterwards."""
+    spark = df.sparkSession
+    path, before = scratch(spark, name), spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(before), ROWS_PER_BATCH) if int(before) > 0 else ROWS_PER_BATCH))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written and read back: what it holds is settled, and a lost executor costs a re-read only."""
-    path = scratch(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``written`` returned and nothing reads any more."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
