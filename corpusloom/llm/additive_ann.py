@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .durable import durable, read_table, small_batches
+from .durable import durable, read_table
 
 BOOKS, WORDS = 16, 256
 BEAM = 6
@@ -196,7 +196,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, vector: st
     length than most are left out too. Of rows with equal vectors the k + 1 of smallest id are carried, as no answer can
     hold more. A vec_id on several rows counts once a vector. No queries or no vectors: no rows.
     """
-    small_batches(vectors.sparkSession)
     rows = usable(vectors, vector)
     size = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     dimension = size[0]["d"] if size else 1

@@ -30,20 +30,20 @@ def _libraries(path: str) -> tuple:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     special = {t["content"] for t in spec["added_tokens"]}
+    library_only = re.compile("|".join([_PLAIN.pattern, *map(re.escape, sorted(special))]))
     symbols = _bytes_of_symbols()
     ranks = {bytes(symbols[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
-    return tokenizer, tiktoken.Encoding("byte_bpe", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tokenizer, library_only, tiktoken.Encoding("byte_bpe", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def byte_bpe_ids(text: str | None, path: str) -> np.ndarray:
-    """Ids (unsigned 32-bit) of a whole text; null or empty: none. Strings of special tokens are ordinary text."""
+    """Ids (unsigned 32-bit) of a whole text; null or empty: none. Strings of special tokens have their own ids, as in the library."""
     if not text:
         return np.zeros(0, np.uint32)
-    tokenizer, plain = _libraries(path)
-    if _PLAIN.search(text):
+    tokenizer, library_only, plain = _libraries(path)
+    if library_only.search(text):
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
     return np.asarray(plain.encode_to_numpy(text, disallowed_special=()), np.uint32)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_bpe_ids
-from .durable import durable, read_table, small_batches
+from .durable import durable, read_table
 
 BUDGET, HISTORY = 1024, 192
 #: A window's own turns get at least so many tokens, however long the system turn is.
@@ -67,7 +67,6 @@ def windows(conversations: DataFrame, tokenizer: str, budget: int = BUDGET, hist
     system turn, alone is too long. Turns that share a number are ordered by role, then text; null turns come first; a
     null conv_id is a conversation. An empty table gives no windows.
     """
-    small_batches(conversations.sparkSession)
 
     @F.pandas_udf("long")
     def tokens(text: pd.Series) -> pd.Series:

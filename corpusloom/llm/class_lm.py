@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_words import random_words, text_slices, words_of
-from .durable import durable, read_table, small_batches
+from .durable import durable, read_table
 from .language_id import fold
 
 CLASSES = 64
@@ -46,7 +46,6 @@ def blocks_of(docs: DataFrame, train: Column, held: Column, text: str = "text")
     ``words`` are the hashes of the block's words, most frequent first, ``ids`` the tokens as places in it (compressed),
     ``counts`` each word's occurrences in training texts.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, held_back, tokens = 0, [], 0

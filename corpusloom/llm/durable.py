@@ -1,35 +1,17 @@
-"""Tables written to the folder that the whole cluster shares, to cut lineage so that a lost executor costs a re-read only."""
+"""What the operators of this subpackage use of the shared store."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows that cross to a Python worker at once; with documents of a few kB this keeps a batch at a few MB.
-ROWS_PER_BATCH = 1000
-
+from ..sources.store import release, written
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests, one machine) a new temporary folder becomes it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+__all__ = ["durable", "read_table", "release"]
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and return the table read back."""
-    path = f"{shared_folder(df.sparkSession)}/corpusloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, so that a Python worker's memory follows the rows and not the table."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    """``df`` written as Parquet below the shared folder and read back."""
+    return written(df, name)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,12 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_words import mix, random_words, shingles_of, text_slices, words_of
-from .durable import read_table, small_batches
+from .durable import read_table
 
 WORDS = 5
 BINS = 512
@@ -74,7 +75,6 @@ def likeness(a: bytes, b: bytes) -> float:
 
 def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, fingerprint as hex) of every row; texts without words have an empty one."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,8 +98,8 @@ def in_order(docs: DataFrame, text: str = "text") -> DataFrame:
     cuts = np.unique(np.array(found or [], np.int64))
 
     @F.pandas_udf("int")
-    def part(place):
-        return place.map(lambda x: len(cuts) - int(np.searchsorted(cuts, x, "left")))
+    def part(place: pd.Series) -> pd.Series:
+        return pd.Series(len(cuts) - np.searchsorted(cuts, place.to_numpy(), "left"))
 
     dealt = rows.withColumn("part", part("place"))
     opens = sorted((r["part"], r["first"]) for r in rows.select("place").withColumn("part", part("place")).groupBy("part").agg(F.max("place").alias("first")).collect())
@@ -121,7 +121,6 @@ def compare_with_edited(docs: DataFrame, text: str = "text") -> DataFrame:
     The edited text has its last floor(n/2) code points replaced by the first as many (or all) of the next document in
     descending doc_id, after the last by the first's. Null is an empty text. One document alone is its own next.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None

@@ -2,14 +2,14 @@
 
 Bytes fold into classes (letters without case, digits, blanks, other signs, every byte above 127 by itself), classes
 have vectors, filters of several widths slide over windows of fixed length, the largest response of each filter feeds a
-softmax. Training is numpy on the driver over windows of a bounded sample of labelled rows. As a filter's response is a
+softmax. Training is numpy on the driver over all windows of a bounded sample of labelled rows, until rows held back
+from it get no better. As a filter's response is a
 sum of one term per byte class and place, prediction looks these terms up and never builds the vectors. A document's
 language is that of the mean of its windows' probabilities, weighted by their letters; all its windows count.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,18 +18,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_words import text_slices
-from .durable import read_table, small_batches
+from .durable import read_table
 
 WINDOW = 128
 WIDTHS = (2, 3, 4, 5)
 FILTERS, DIMENSIONS = 16, 8
-#: Labelled rows that training takes (expected number; all of them if there are fewer), and windows of each at most.
-SAMPLE_ROWS, SAMPLE_WINDOWS = 6000, 3
-#: Passes over the windows; more of them where they would make fewer than STEPS steps.
-EPOCHS, STEPS, BATCH, RATE = 6, 1500, 64, 0.004
+#: Labelled rows that training takes at most; all windows of each may be drawn, however long it is.
+SAMPLE_ROWS = 6000
+#: Steps at most, windows drawn for each, and how often the rows held back (one in HELD) are looked at.
+STEPS, BATCH, RATE, LOOK, HELD = 3000, 64, 0.004, 200, 12
+#: Training ends after so many looks in a row whose mean loss is not lower by GAIN.
+PATIENCE, GAIN = 2, 0.005
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _CLASS = np.full(256, 4, np.uint8)  # 0 pads a window
 _CLASS[list(b"0123456789")] = 1
 _CLASS[list(b" \t\n\r\x0b\x0c")] = 2
@@ -66,12 +67,27 @@ class Network:
         self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         self.steps = 0
 
-    def train(self, windows: np.ndarray, labels: np.ndarray, seed: int = 11) -> None:
+    def train(self, windows: np.ndarray, owner: np.ndarray, labels: np.ndarray, seed: int = 11) -> None:
+        """``owner``: row of each window, in order; ``labels``: of each row. A step draws rows, then a window of each."""
         rng = np.random.default_rng(seed)
-        for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(labels)))):
-            order = rng.permutation(len(labels))
-            for at in range(0, len(order), BATCH):
-                self._step(windows[order[at : at + BATCH]], labels[order[at : at + BATCH]])
+        order = rng.permutation(len(labels))
+        held, learn = (order[: len(order) // HELD], order[len(order) // HELD :])
+        first = np.searchsorted(owner, np.arange(len(labels) + 1))
+        drawn = lambda rows: first[rows] + (rng.random(len(rows)) * (first[rows + 1] - first[rows])).astype(np.int64)
+        held = np.repeat(held, 4)
+        shown, answers = windows[drawn(held)], labels[held]
+        best, misses, kept = np.inf, 0, None
+        for step in range(1, STEPS + 1):
+            rows = rng.choice(learn, BATCH)
+            self._step(windows[drawn(rows)], labels[rows])
+            if step % LOOK == 0 and len(held):
+                chance = window_probabilities(self.tables(), shown)[np.arange(len(held)), answers]
+                loss = -np.log(np.maximum(chance, 1e-9)).mean()
+                misses = 0 if loss < best - GAIN else misses + 1
+                best, kept = (loss, {k: v.copy() for k, v in self.p.items()}) if loss < best else (best, kept)
+                if misses >= PATIENCE:
+                    break
+        self.p = kept or self.p
 
     def _step(self, codes: np.ndarray, labels: np.ndarray) -> None:
         p, n = self.p, len(codes)
@@ -133,31 +149,35 @@ def window_probabilities(model: dict, codes: np.ndarray) -> np.ndarray:
 
 
 def train(labelled: DataFrame, text: str = "text", label: str = "lang", sample_rows: int = SAMPLE_ROWS) -> dict | None:
-    """Fit on a sample of about ``sample_rows`` rows chosen by a hash of their doc_id; None if no row has a label and text."""
-    rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select("doc_id", F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text"))
-    n = rows.select("label").count()
-    share = min(1.0, sample_rows / max(n, 1))
-    rows = rows.where(F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
+    """Fit on ``sample_rows`` rows at most, those of the lowest hash of doc_id and text; None if no row has a label and a letter.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Repeated rows, rows that share a doc_id and rows without one have hashes of their own texts: the bound holds for them too.
+    """
+    rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text"), F.xxhash64(F.lit("language sample"), "doc_id", F.col(text).cast("string")).alias("h"))
+    cut = rows.select("h").groupBy().agg(F.count("*").alias("n")).first()["n"]
+    if cut > sample_rows:  # rows beyond a threshold with room to spare need not be sorted
+        share = min(1.0, (sample_rows + 6 * sample_rows**0.5 + 10) / cut)
+        rows = rows.where(F.col("h") < int(((1 << 64) - 1) * share) - (1 << 63))
+    rows = rows.orderBy("h", "label").limit(sample_rows).select("label", "text")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels = batch.column(0).to_pylist()
-            for a, _, data, offsets in text_slices(batch.column(1)):
+            for a, b, data, offsets in text_slices(batch.column(1)):
                 owner, codes = windows_of(data, offsets)
-                lettered = _IS_LETTER_CLASS[codes].sum(axis=1) >= WINDOW // 8
-                keep = []
-                for k in np.unique(owner):
-                    mine = np.flatnonzero((owner == k) & lettered)
-                    keep += mine[np.linspace(0, len(mine) - 1, min(SAMPLE_WINDOWS, len(mine))).astype(int)].tolist() if len(mine) else []
-                yield pa.record_batch([pa.array([labels[a + k] for k in owner[keep]], pa.string()), pa.array([c.tobytes() for c in codes[keep]], pa.binary())], ["label", "window"])
-
-    found = sorted((r["label"], bytes(r["window"])) for r in rows.drop("doc_id").mapInArrow(cut, "label string, window binary").collect())
+                lettered = _IS_LETTER_CLASS[codes].any(axis=1)
+                owner, codes = owner[lettered], codes[lettered]
+                bounds = np.searchsorted(owner, np.arange(b - a + 1))
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array([codes[i:j].tobytes() for i, j in zip(bounds, bounds[1:])], pa.binary())], ["label", "windows"])
+
+    found = [r for r in rows.mapInArrow(windows, "label string, windows binary").toArrow().to_pylist() if r["windows"]]
     if not found:
         return None
-    languages = sorted({x for x, _ in found})
+    found.sort(key=lambda r: (r["label"], r["windows"]))
+    languages = sorted({r["label"] for r in found})
     network = Network(languages)
     at = {x: i for i, x in enumerate(languages)}
-    network.train(np.frombuffer(b"".join(c for _, c in found), np.uint8).reshape(-1, WINDOW), np.array([at[x] for x, _ in found]))
+    cut_up = [np.frombuffer(r["windows"], np.uint8).reshape(-1, WINDOW) for r in found]
+    network.train(np.concatenate(cut_up), np.repeat(np.arange(len(found)), [len(x) for x in cut_up]), np.array([at[r["label"]] for r in found]))
     return network.tables()
 
 
@@ -169,13 +189,12 @@ def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFram
 
     Null texts and texts without a letter are ``und`` with score 0; so is every text if there is no model.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column(1)):
                 texts = batch.column(1).slice(a, b - a).to_pylist()
-                has = np.array([bool(t) and _LETTER.search(t) is not None for t in texts])
+                has = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts])
                 langs, scores = [UNDETERMINED] * (b - a), np.zeros(b - a)
                 if model is not None and has.any():
                     owner, codes = windows_of(data, offsets)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_words import mix, random_words, shingles_of, text_slices, words_of
-from .durable import durable, read_table, small_batches
+from .durable import durable, read_table
 
 WORDS = 5
 COORDINATES = 256
@@ -83,7 +83,6 @@ _SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<lon
 
 def signatures(docs: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
     """Per document: size and key of its shingle set, a key per band, and the sketch as 16-bit values."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = random_words(BANDS, 7)

@@ -1,7 +1,8 @@
 """Sum-of-squares packing of tokenised documents into sequences of one length.
 
-Tokenising is one pass over the texts. Pieces that fill a sequence are sequences; the others are dealt by a hash into
-groups of bounded size and each group is packed on its own, so neither the driver nor a task holds more than a group.
+Tokenising is one pass over the texts. Pieces that fill a sequence are sequences; the others are dealt by their row
+number into groups of bounded size, repeated rows too, and each group is packed on its own, so neither the driver nor a
+task holds more than a group.
 The waste of a group is a handful of sequences that stay part-filled when its pieces run out.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_bpe_ids
-from .durable import durable, read_table, small_batches
+from .durable import durable, read_table
 
 SEQUENCE = 2048
 #: Pieces that a group has on average; a group is one task's work.
@@ -35,7 +36,6 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int =
     first piece may be shorter, the others have ``size`` ids. Null or empty text: the end id alone. Every row of the
     input is packed, repeated rows and rows with a null doc_id too.
     """
-    small_batches(docs.sparkSession)
     end = np.array([end_id], "<u4")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +91,7 @@ def sum_of_squares(lengths: np.ndarray, size: int = SEQUENCE) -> tuple[np.ndarra
 def pack(cut: DataFrame, size: int = SEQUENCE, group: int = GROUP) -> DataFrame:
     """Add sequence_id and offset to the rows of ``pieces``. ``cut`` is read twice: pass a written table."""
     n_groups = max(1, -(-cut.where(F.col("length") < size).count() // group))
-    dealt = cut.withColumn("packed_in", F.pmod(F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32"), F.lit(n_groups)))
+    dealt = cut.withColumn("packed_in", F.pmod(F.monotonically_increasing_id(), F.lit(n_groups)))
     full = dealt.where(F.col("length") == size).select(
         *cut.columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )

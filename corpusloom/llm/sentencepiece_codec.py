@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .durable import read_table, small_batches
+from .durable import read_table
 
 _MARK = "▁"
 _ENCODED = "doc_id long, ids array<int>, starts array<int>, ends array<int>"
@@ -173,7 +173,6 @@ def encode(docs: DataFrame, model: str, text: str = "text", end: bool = True) ->
     Null and empty texts have the end id alone. Pieces that a replacement made from one source character share its
     span. Repeated rows give repeated rows; other columns are not carried.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec(model)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_bpe_ids
-from .durable import durable, read_table, small_batches
+from .durable import durable, read_table
 
 #: Lengths per block of the two-level sums: no task orders more rows than this or the number of blocks.
 BLOCK = 4096
@@ -22,7 +22,6 @@ BLOCK = 4096
 
 def with_token_count(docs: DataFrame, tokenizer: str, text: str = "text", end_token: bool = True) -> DataFrame:
     """(doc_id, n_tokens): encoded length of every whole text, an end token included. Null or empty: the end token only."""
-    small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

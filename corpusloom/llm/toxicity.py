@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_words import mix, random_words, text_slices, words_of
-from .durable import durable, read_table, small_batches
+from .durable import durable, read_table
 from .language_id import fold
 
 #: Labelled rows that term weights are learned from (expected number; all of them if there are fewer).
@@ -66,7 +66,6 @@ def _contexts(code: np.ndarray) -> np.ndarray:
 
 def character_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(gram, n) over every whole text: how often each of at most 28**4 grams of four characters occurs."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_SYMBOLS**4, np.int64)
@@ -339,7 +338,6 @@ def _weights_of(term: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarra
 
 def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """(doc_id, score) of every row, 0 to 1; null, empty and wordless texts have 0. Repeated rows give repeated rows."""
-    small_batches(docs.sparkSession)
     cost, weight = model["cost"], model["weight"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -247,7 +247,6 @@ def test_op10(spark, texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     got, rows = defaultdict(list), run(spark, "op10_packing").collect()
     for r in rows:
         got[r.doc_id].append(r)
