@@ -1,10 +1,12 @@
 """Brown class-based bigrams: words in classes found by exchange, class transitions, word emissions, smoothed scores.
 
 Texts become blocks of word numbers, each block with a dictionary of its own, so that what depends on a word is worked
-out once a block and word and not once an occurrence. The classes of the most frequent words are found first, by
-sequential exchange over their bigram counts (a matrix of fixed size, from the whole corpus). One exchange step over
-the full vocabulary follows, on Spark: every word gathers the classes of its neighbours from all blocks and takes the
-class that adds most to the mutual information of adjacent classes. Classes and counts go back to the blocks.
+out once a block and word and not once an occurrence. Sequential exchange on the driver puts the most frequent words
+into classes, over their bigram counts in the whole corpus (a matrix of fixed size). From there the whole vocabulary is
+exchanged in sweeps on Spark: blocks count the classes that stand before and behind each of their words, buckets of the
+hash space gather these counts, every word of a bucket, the frequent ones too, moves to the class that adds most to the
+mutual information of adjacent classes, and classes go back to the blocks, which count the class bigrams anew. Words of
+a sweep move at once, against the table of the sweep before.
 
 P(word | previous) = MIX * P(class | previous class) * P(word | class) + (1 - MIX) * (c + 0.1) / (N + 0.1 (V + 1)),
 over the V words of training and one event for all others. Classes discount each word by half a count and leave what
@@ -16,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -24,27 +25,42 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_words import random_words, text_slices, words_of
-from .durable import durable, read_table
+from .durable import durable, read_table, release
 from .language_id import fold
 
 CLASSES = 64
-#: Words that sequential exchange starts from.
-HEAD = 512
+#: Words that sequential exchange starts from, and sweeps over these at most.
+HEAD, HEAD_SWEEPS = 512, 4
 #: A head word is at least this share of the tokens of some block; a word of that share of all tokens always is.
 HEAD_SHARE = 1e-4
+#: Sweeps of the whole vocabulary.
+SWEEPS = 3
 BLOCK_TOKENS = 3_000_000
-SWEEPS = 4
+#: Words of all blocks' dictionaries that meet in one bucket (expected number).
+BUCKET_WORDS = 1_000_000
 MIX, DISCOUNT, ADDED = 0.9, 0.5, 0.1
 
 _END = random_words(1, 20)[0]
-_BLOCK = "block long, doc_ids array<long>, train array<boolean>, held array<boolean>, sizes array<long>, words array<long>, counts array<long>, ids binary"
+_BLOCK = "block long, doc_ids array<long>, train array<boolean>, held array<boolean>, sizes array<long>, n_words long, words binary, counts binary, place binary, ids binary"
+
+
+def _shut(values: np.ndarray, kind: type) -> bytes:
+    """Numbers of one kind, compressed byte plane by byte plane."""
+    raw = np.ascontiguousarray(values, kind)
+    return zstandard.compress(raw.view(np.uint8).reshape(len(raw), -1).T.tobytes(), 1)
+
+
+def _opened(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(kind)
 
 
 def blocks_of(docs: DataFrame, train: Column, held: Column, text: str = "text") -> DataFrame:
     """Texts as numbers: a row for some BLOCK_TOKENS tokens of whole texts, each text closed by an end token.
 
-    ``words`` are the hashes of the block's words, most frequent first, ``ids`` the tokens as places in it (compressed),
-    ``counts`` each word's occurrences in training texts.
+    ``words`` are the hashes of the block's words in order, ``counts`` each word's occurrences in training texts,
+    ``ids`` the tokens as ranks by frequency (small numbers compress well) and ``place`` each rank's place in ``words``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,53 +91,68 @@ def _block(parts: list, made: int) -> pa.RecordBatch:
     order = np.argsort(-n, kind="stable")
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order))
-    tokens = rank[places]
-    counts = np.bincount(tokens[np.repeat(train, sizes)], minlength=len(words))
+    counts = np.bincount(places[np.repeat(train, sizes)], minlength=len(words))
     number = TaskContext.get().partitionId() * (1 << 20) + made
     one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-    return pa.record_batch(
-        [pa.array([number]), one(ids), one(pa.array(train, pa.bool_())), one(pa.array(held, pa.bool_())), one(pa.array(sizes.astype(np.int64))),
-         one(pa.array(words[order].view(np.int64))), one(pa.array(counts.astype(np.int64))), pa.array([zstandard.compress(tokens.tobytes(), 1)])],
-        ["block", "doc_ids", "train", "held", "sizes", "words", "counts", "ids"],
-    )
+    columns = [
+        pa.array([number]), one(ids), one(pa.array(train, pa.bool_())), one(pa.array(held, pa.bool_())), one(pa.array(sizes.astype(np.int64))), pa.array([len(words)]),
+        *(pa.array([x]) for x in (words.tobytes(), _shut(counts, np.int64), _shut(order, np.uint32), _shut(rank[places], np.uint32))),
+    ]
+    return pa.record_batch(columns, [c.split()[0] for c in _BLOCK.split(", ")])
 
 
 class _Open:
-    """A block read back."""
+    """A block read back; ``at`` holds its tokens as places in its sorted words."""
 
     def __init__(self, row: dict):
-        self.number, self.words, self.counts = row["block"], np.array(row["words"], np.int64), np.array(row["counts"], np.int64)
-        self.train, self.sizes = np.array(row["train"], bool), np.array(row["sizes"], np.int64)
-        self.ids = np.frombuffer(zstandard.decompress(row["ids"]), np.uint32)
+        self.number, self.row = row["block"], row
+        self.train, self.sizes = row["train"].to_numpy(zero_copy_only=False), row["sizes"].to_numpy()
+        self.place = _opened(row["place"], np.uint32)
+        self.at = self.place[_opened(row["ids"], np.uint32)]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def words(self) -> np.ndarray:
+        return np.frombuffer(self.row["words"], np.uint64)
 
     def pairs(self, number: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Training tokens' places among the block's words, and ``number`` of the token before each (of an end, at a start)."""
-        before = np.empty(len(self.ids), number.dtype)
-        before[1:] = number[self.ids[:-1]]
-        starts = np.cumsum(self.sizes) - self.sizes
-        before[starts] = end
+        before = np.empty(len(self.at), number.dtype)
+        before[1:] = number[self.at[:-1]]
+        before[self.starts] = end
         keep = np.repeat(self.train, self.sizes)
-        return self.ids[keep], before[keep]
+        return self.at[keep], before[keep]
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows as dictionaries; lists stay Arrow arrays, as numbers beside nulls would lose digits otherwise."""
     for batch in batches:
         for k in range(batch.num_rows):
-            yield {n: (v.values.to_numpy(zero_copy_only=False) if hasattr(v, "values") else v.as_py()) for n, v in zip(batch.schema.names, (batch.column(i)[k] for i in range(batch.num_columns)), strict=True)}
+            yield {n: (v.values if hasattr(v, "values") else v.as_py()) for n, v in zip(batch.schema.names, (batch.column(i)[k] for i in range(batch.num_columns)), strict=True)}
 
 
 def head_words(blocks: DataFrame, most: int = HEAD) -> np.ndarray:
     """Hashes of the most frequent words, the end token first; at most ``most`` (a limit that is the feature here)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            words, counts = np.frombuffer(row["words"], np.int64), _opened(row["counts"], np.int64)
+            often = counts >= max(2, HEAD_SHARE * counts.sum())
+            yield pa.record_batch([pa.array(words[often]), pa.array(counts[often])], ["word", "n"])
+
+    def top(found: DataFrame, n: int) -> list[int]:
+        return [r["word"] for r in found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("word") != end).orderBy(F.desc("n"), "word").limit(n).collect()]
+
+    end = int(_END.view(np.int64))
+    dictionaries = blocks.select("words", "counts")
+    perhaps = np.sort(np.array(top(dictionaries.mapInArrow(some, "word long, n long"), 4 * most), np.int64))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            words, counts = np.array(row["words"]), np.array(row["counts"])
-            some = counts >= max(2, HEAD_SHARE * counts.sum())
-            yield pa.record_batch([pa.array(words[some]), pa.array(counts[some])], ["word", "n"])
+            words, counts = np.frombuffer(row["words"], np.int64), _opened(row["counts"], np.int64)
+            mine = np.isin(words, perhaps)
+            yield pa.record_batch([pa.array(words[mine]), pa.array(counts[mine])], ["word", "n"])
 
-    found = blocks.select("words", "counts").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = [r["word"] for r in found.where(F.col("word") != int(_END.view(np.int64))).orderBy(F.desc("n"), "word").limit(most - 1).collect()]
-    return np.array([int(_END.view(np.int64)), *top], np.int64)
+    return np.array([end, *top(dictionaries.mapInArrow(exact, "word long, n long"), most - 1)], np.int64)
 
 
 def _number(words: np.ndarray, head: np.ndarray) -> np.ndarray:
@@ -139,7 +170,7 @@ def head_bigrams(blocks: DataFrame, head: np.ndarray) -> np.ndarray:
         total = np.zeros(size * size, np.int64)
         for row in _rows(batches):
             block = _Open(row)
-            number = _number(block.words, head)
+            number = _number(block.words().view(np.int64), head)
             word, before = block.pairs(number, 0)
             total += np.bincount(before * size + number[word], minlength=size * size)
         some = np.flatnonzero(total)
@@ -162,7 +193,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     label[order] = np.minimum(np.arange(n - 1), np.arange(n - 1) % (classes - 1))
     xlogx = lambda x: x * np.log(np.maximum(x, 1e-300))
     one = np.eye(classes)
-    for _ in range(SWEEPS):
+    for _ in range(HEAD_SWEEPS):
         moved, table = 0, one[label].T @ bigrams @ one[label]
         for w in order:
             member = one[label]
@@ -189,113 +220,184 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     return label
 
 
-def _neighbours(head: np.ndarray, label: np.ndarray, classes: int):
-    """Per block and word: training occurrences and the classes of the neighbours, as bytes (class, times up to 255)."""
+_PACKETS = "bucket int, block long, words binary, n binary, place binary, many binary, codes binary, times binary, pairs array<long>"
+_CLASSED = "bucket int, block long, n binary, place binary, classes binary, distinct array<long>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            block = _Open(row)
-            known = label[_number(block.words, head)]
-            word, before = block.pairs(known, label[0])
-            after = known[word][1:]
-            last = block.words[word] == _END.view(np.int64)
-            keep = ~last[:-1]
-            key = np.concatenate([word.astype(np.int64) * (2 * classes) + before, word[:-1][keep].astype(np.int64) * (2 * classes) + classes + after[keep]])
-            key, n = np.unique(key, return_counts=True)
-            rep = -(-n // 255)
-            big = np.repeat(key, rep)
-            times = np.full(len(big), 255, np.uint8)
-            times[np.cumsum(rep) - 1] = n - 255 * (rep - 1)
-            codes = np.empty((len(big), 2), np.uint8)
-            codes[:, 0], codes[:, 1] = big % (2 * classes), times
-            bounds = 2 * np.searchsorted(big // (2 * classes), np.arange(len(block.words) + 1))
-            body = codes.tobytes()
-            for a in range(0, len(block.words), 50_000):
-                b = min(a + 50_000, len(block.words))
-                part = (bounds[a : b + 1] - bounds[a]).astype(np.int32)
-                packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(part.tobytes()), pa.py_buffer(body[bounds[a] : bounds[b]])])
-                yield pa.record_batch([pa.array(block.words[a:b]), pa.array((block.number << 24) + np.arange(a, b)), pa.array(block.counts[a:b]), packed], ["word", "place", "n", "codes"])
 
-    return run
+def _edges(buckets: int) -> np.ndarray:
+    """First hash of each bucket but the first; buckets are ranges of the hash space."""
+    return np.array([-(-(k << 64) // buckets) for k in range(1, buckets)], np.uint64)
+
+
+def _packets(block: _Open, known: np.ndarray, buckets: int, classes: int, end: int, sent: list[dict] | None) -> Iterator[dict]:
+    """What a block tells each bucket of its words there: how often which classes stand before and behind each.
+
+    First come the words' hashes and counts; later what the bucket said of them, their numbers in it (``sent``).
+    """
+    word, before = block.pairs(known, end)
+    after = known[word][1:]
+    keep = block.at[np.repeat(block.train, block.sizes)] != int(block.at[-1]) if len(block.at) else np.zeros(0, bool)
+    wide = 2 * classes
+    key = np.concatenate([word.astype(np.int64) * wide + before, word[:-1][keep[:-1]].astype(np.int64) * wide + classes + after[keep[:-1]]])
+    key, times = np.unique(key, return_counts=True)
+    bounds = np.searchsorted(key // wide, np.arange(block.row["n_words"] + 1))
+    if sent is None:
+        words, counts = block.words(), _opened(block.row["counts"], np.int64)
+        cuts = [0, *np.searchsorted(words, _edges(buckets)).tolist(), len(words)]
+        parts = [{"bucket": k, "words": words[a:b].tobytes(), "n": _shut(counts[a:b], np.int64), "from": a, "to": b} for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+    else:
+        upto = np.cumsum([p["size"] for p in sent])
+        parts = [{"bucket": p["bucket"], "n": p["n"], "place": p["place"], "from": int(u) - p["size"], "to": int(u)} for p, u in zip(sent, upto)]
+    for p in parts:
+        a, b = bounds[p["from"]], bounds[p["to"]]
+        many = np.diff(bounds[p["from"] : p["to"] + 1])
+        yield p | {"block": block.number, "many": _shut(many, np.uint32), "codes": _shut(key[a:b] % wide, np.uint8), "times": _shut(times[a:b], np.uint32)}
+
+
+def _batch_of(rows: list[dict], shape: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+    fields = [c.split() for c in shape.split(", ")]
+    return pa.record_batch([pa.array([r.get(name) for r in rows], kinds[kind]) for name, kind in fields], [f[0] for f in fields])
 
 
 def _assign(score: np.ndarray, classes: int):
-    """From rows sorted by word: each row's word's class and count over all blocks, and whether it is the word's first row."""
-
-    def finish(word: np.ndarray, place: np.ndarray, n: np.ndarray, codes: list) -> pa.RecordBatch:
-        first = np.ones(len(word), bool)
-        first[1:] = word[1:] != word[:-1]
-        own = np.cumsum(first) - 1
-        body = np.frombuffer(b"".join(codes), np.uint8).reshape(-1, 2)
-        rows = np.repeat(own, np.array([len(c) for c in codes]) // 2)
-        seen = np.bincount(rows * (2 * classes) + body[:, 0], weights=body[:, 1], minlength=(own[-1] + 1) * 2 * classes)
-        label = (seen.reshape(-1, 2 * classes) @ score).argmax(axis=1)
-        total = np.bincount(own, weights=n).astype(np.int64)
-        return pa.record_batch([pa.array(place >> 24), pa.array((place & (1 << 24) - 1).astype(np.int32)), pa.array(label[own].astype(np.int16)), pa.array(total[own]), pa.array(first)], ["block", "at", "class", "n", "first"])
+    """In a bucket (a partition): the best class of each of its words by all that the blocks tell of it."""
+    wide = 2 * classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        size = 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= 100_000:
-                table = pa.Table.from_batches(held)
-                word = table["word"].to_numpy()
-                cut = int(np.searchsorted(word, word[-1]))  # the last word may go on in the next batch
-                if cut:
-                    done = table.slice(0, cut)
-                    yield finish(word[:cut], done["place"].to_numpy(), done["n"].to_numpy(), done["codes"].to_pylist())
-                    held = table.slice(cut).to_batches()
-                    size -= cut
-        if size:
-            table = pa.Table.from_batches(held)
-            yield finish(table["word"].to_numpy(), table["place"].to_numpy(), table["n"].to_numpy(), table["codes"].to_pylist())
+        rows = [r for r in _rows(batches) if r["block"] is not None]
+        if not rows:
+            return
+        if rows[0]["words"] is not None:
+            each = [np.frombuffer(r["words"], np.uint64) for r in rows]
+            words, own = np.unique(np.concatenate(each), return_inverse=True)
+            size, lengths = len(words), [len(x) for x in each]
+        else:
+            each = [np.cumsum(_opened(r["place"], np.uint32), dtype=np.int64) for r in rows]
+            own, lengths = np.concatenate(each), [len(x) for x in each]
+            size = int(own.max()) + 1
+        del each
+        n = np.concatenate([_opened(r["n"], np.int64) for r in rows])
+        if rows[0]["words"] is not None:  # counts of one block each: the corpus's
+            n = np.bincount(own, weights=n, minlength=size).astype(np.int64)[own]
+        entry = np.repeat(own.astype(np.uint32), np.concatenate([_opened(r["many"], np.uint32) for r in rows]))
+        code, times = (np.concatenate([_opened(r[c], t) for r in rows]) for c, t in (("codes", np.uint8), ("times", np.uint32)))
+        order = np.argsort(entry, kind="stable")
+        entry, code, times = entry[order], code[order], times[order]
+        label = np.empty(size, np.uint8)
+        for a in range(0, size, 16384):
+            b = min(a + 16384, size)
+            i, j = np.searchsorted(entry, [a, b])
+            seen = np.bincount((entry[i:j] - a).astype(np.int64) * wide + code[i:j], weights=times[i:j], minlength=(b - a) * wide)
+            label[a:b] = (seen.reshape(-1, wide) @ score).argmax(axis=1)
+        trained = np.zeros(size, bool)
+        trained[own[n > 0]] = True
+        out, at = [{"bucket": rows[0]["bucket"], "distinct": np.bincount(label[trained], minlength=classes).tolist()}], 0
+        for r, length in zip(rows, lengths):
+            mine = own[at : at + length]
+            place = _shut(np.diff(mine, prepend=0), np.uint32) if r["words"] is not None else r["place"]
+            out.append({"bucket": r["bucket"], "block": r["block"], "n": _shut(n[at : at + length], np.int64), "place": place, "classes": _shut(label[mine], np.uint8)})
+            at += length
+            if len(out) >= 100:
+                yield _batch_of(out, _CLASSED)
+                out = []
+        yield _batch_of(out, _CLASSED)
 
     return run
 
 
-_LEARNED = "block long, doc_ids array<long>, train array<boolean>, held array<boolean>, sizes array<long>, ids binary, class binary, n binary, distinct array<long>"
+def _gathered(found: pa.Table) -> tuple[list[dict], np.ndarray]:
+    """A block's packets in the order of their buckets, and the classes of its words."""
+    sent = sorted(found.to_pylist(), key=lambda r: r["bucket"])
+    each = [_opened(r["classes"], np.uint8) for r in sent]
+    for r, x in zip(sent, each):
+        r["size"] = len(x)
+    return sent, np.concatenate(each)
+
 
+def _first(table: pa.Table) -> dict:
+    return next(_rows(table.combine_chunks().to_batches()))
 
-def _learn(classes: int):
-    def run(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        if not len(block):
-            return pd.DataFrame(columns=[c.split()[0] for c in _LEARNED.split(", ")])
-        found = found.sort_values("at")
-        label, n = found["class"].to_numpy(np.uint8), found["n"].to_numpy(np.int64)
-        mine = found["first"].to_numpy(bool) & (n > 0)
-        out = block[["block", "doc_ids", "train", "held", "sizes", "ids"]].copy()
-        out["class"] = [zstandard.compress(label.tobytes(), 1)]
-        out["n"] = [zstandard.compress(n.tobytes(), 1)]
-        out["distinct"] = [np.bincount(label[mine], minlength=classes)]
-        return out
+
+def _again(buckets: int, classes: int):
+    """Of a block and its words' new classes: its class bigrams and the next packets."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows:
+            block = _Open(_first(left))
+            sent, label = _gathered(right)
+            end = int(label[block.at[-1]])
+            word, before = block.pairs(label.astype(np.int64), end)
+            out.append({"bucket": -1, "pairs": np.bincount(before * classes + label[word], minlength=classes * classes).tolist()})
+            out += _packets(block, label.astype(np.int64), buckets, classes, end, sent)
+        return pa.Table.from_batches([_batch_of(out, _PACKETS)])
 
     return run
 
 
-def class_table(blocks: DataFrame, classes: int = CLASSES) -> DataFrame:
-    """The blocks with each of their words' class and count in all training texts; ``distinct``: words of each class."""
+_LEARNED = "block long, doc_ids array<long>, train array<boolean>, held array<boolean>, sizes array<long>, ids binary, class binary, n binary"
+
+
+def _learn(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A block with each of its words' class and count in all training texts, in the order of its ranks."""
+    if not left.num_rows:
+        return pa.Table.from_batches([_batch_of([], _LEARNED)])
+    sent, label = _gathered(right)
+    place = _opened(left["place"][0].as_py(), np.uint32)
+    n = np.concatenate([_opened(r["n"], np.int64) for r in sent])
+    out = left.select(["block", "doc_ids", "train", "held", "sizes", "ids"])
+    return out.append_column("class", pa.array([_shut(label[place], np.uint8)])).append_column("n", pa.array([_shut(n[place], np.int64)]))
+
+
+def _informs(table: np.ndarray) -> np.ndarray:
+    """What a neighbour's class (left ones, then right ones) adds to the mutual information by own class."""
+    table = table + 0.1
+    gain = np.log(table * table.sum() / table.sum(axis=1, keepdims=True) / table.sum(axis=0, keepdims=True))
+    return np.concatenate([gain, gain.T])
+
+
+def class_table(blocks: DataFrame, classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple[DataFrame, np.ndarray]:
+    """The blocks with each of their words' class and count in all training texts; how many training words each class has."""
+    size = blocks.agg(F.sum("n_words").alias("words"), F.count("*").alias("blocks")).first()
+    buckets, tasks = max(1, -(-(size["words"] or 0) // BUCKET_WORDS)), max(1, size["blocks"])
     head = head_words(blocks)
     bigrams = head_bigrams(blocks, head)
     label = exchange(bigrams, classes)
     member = np.eye(classes)[label]
-    table = member.T @ bigrams @ member + 0.1
-    informs = np.log(table * table.sum() / table.sum(axis=1, keepdims=True) / table.sum(axis=0, keepdims=True))
-    score = np.concatenate([informs, informs.T])  # left neighbours' classes, then right ones', by own class
-    rows = blocks.mapInArrow(_neighbours(head, label, classes), "word long, place long, n long, codes binary")
-    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = rows.repartition(n, "word").sortWithinPartitions("word")
-    found = sorted_.mapInArrow(_assign(score, classes), "block long, at int, class short, n long, first boolean")
-    texts = blocks.drop("words", "counts")  # the rows found carry what is needed of these
-    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(_learn(classes), _LEARNED)
 
-
-def _transitions(learned: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class bigram counts over training texts and distinct words of each class."""
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            block = _Open(row)
+            known = label[_number(block.words().view(np.int64), head)]
+            yield _batch_of(list(_packets(block, known, buckets, classes, int(label[0]), None)), _PACKETS)
+
+    packets, table, dealt = blocks.drop("doc_ids", "held").mapInArrow(start, _PACKETS), member.T @ bigrams @ member, None
+    for sweep in range(max(1, sweeps)):
+        found = durable(packets.where("bucket >= 0").repartitionById(buckets, F.col("bucket")).mapInArrow(_assign(_informs(table), classes), _CLASSED), "classes")
+        if dealt is not None:
+            release(packets, dealt)
+        dealt = found
+        distinct = np.array(found.where("block IS NULL").select("distinct").toArrow()["distinct"].to_pylist(), float).reshape(-1, classes).sum(axis=0)
+        sides = [blocks.repartition(tasks, "block"), found.where("block IS NOT NULL").drop("distinct").repartition(tasks, "block")]
+        if sweep + 1 < sweeps:
+            narrow = blocks.select("block", "train", "sizes", "n_words", "place", "ids").repartition(tasks, "block")
+            packets = durable(narrow.groupBy("block").cogroup(sides[1].groupBy("block")).applyInArrow(_again(buckets, classes), _PACKETS), "packets")
+            pairs = packets.where("bucket < 0").select(F.posexplode("pairs").alias("cell", "n")).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+            table = np.zeros(classes * classes)
+            table[pairs["cell"].to_numpy()] = pairs["n"].to_numpy()
+            table = table.reshape(classes, classes)
+    left = blocks.select("block", "doc_ids", "train", "held", "sizes", "place", "ids").repartition(tasks, "block")
+    learned = durable(left.groupBy("block").cogroup(sides[1].groupBy("block")).applyInArrow(_learn, _LEARNED), "learned")
+    release(found)
+    return learned, distinct
+
+
+def _transitions(learned: DataFrame, classes: int) -> np.ndarray:
+    """Class bigram counts over training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(classes * classes + classes, np.int64)
+        total = np.zeros(classes * classes, np.int64)
         for row in _rows(batches):
             label, ids = _columns(row)[:2]
             end = label[ids[-1]] if len(ids) else 0
@@ -303,24 +405,23 @@ def _transitions(learned: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarr
                 own = label[ids[a:b]].astype(np.int64)
                 before = np.concatenate([[end], own[:-1]])
                 before[starts] = end
-                total[: classes * classes] += np.bincount((before * classes + own)[keep], minlength=classes * classes)
-            total[classes * classes :] += row["distinct"]
+                total += np.bincount((before * classes + own)[keep], minlength=classes * classes)
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some), pa.array(total[some])], ["cell", "n"])
 
-    rows = learned.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(classes * classes + classes)
+    rows = learned.select("train", "sizes", "ids", "class", "n").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(classes * classes)
     out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
-    return out[: classes * classes].reshape(classes, classes), out[classes * classes :]
+    return out.reshape(classes, classes)
 
 
 def _columns(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return (np.frombuffer(zstandard.decompress(row["class"]), np.uint8), np.frombuffer(zstandard.decompress(row["ids"]), np.uint32), np.frombuffer(zstandard.decompress(row["n"]), np.int64))
+    return _opened(row["class"], np.uint8), _opened(row["ids"], np.uint32), _opened(row["n"], np.int64)
 
 
 def _pieces(row: dict, most: int = 400_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Token ranges of some whole texts, which of their tokens train, and where texts start in them."""
-    sizes, train = np.array(row["sizes"]), np.array(row["train"], bool)
+    sizes, train = row["sizes"].to_numpy(), row["train"].to_numpy(zero_copy_only=False)
     edge = np.concatenate([[0], np.cumsum(sizes)])
     at = 0
     while at < len(sizes):
@@ -340,8 +441,9 @@ def fit_and_score(docs: DataFrame, train: Column, held: Column, text: str = "tex
     table gives no rows.
     """
     blocks = durable(blocks_of(docs, F.coalesce(train, F.lit(False)), F.coalesce(held, F.lit(False)), text), "blocks")
-    learned = durable(class_table(blocks, classes), "learned")
-    table, distinct = _transitions(learned, classes)
+    learned, distinct = class_table(blocks, classes)
+    release(blocks)
+    table = _transitions(learned, classes)
     tokens, vocabulary = int(table.sum()), int(distinct.sum())
     size = table.sum(axis=0)
     move = (table + 0.1 * (size / max(tokens, 1))[None, :] * classes) / np.maximum(table.sum(axis=1, keepdims=True) + 0.1 * classes, 1e-300)
@@ -362,11 +464,8 @@ def fit_and_score(docs: DataFrame, train: Column, held: Column, text: str = "tex
                 for out, value in zip(done, (np.log10(plain), np.log10(mixed), c > 0), strict=True):
                     out.append(np.add.reduceat(value.astype(np.float64), starts))
             base, score, known = map(np.concatenate, done)
-            yield pa.record_batch(
-                [pa.array(np.array(row["doc_ids"], dtype=object), pa.int64(), from_pandas=True) if row["doc_ids"].dtype != np.int64 else pa.array(row["doc_ids"]), pa.array(row["held"].astype(bool)), pa.array(np.array(row["sizes"], np.int64)),
-                 pa.array(known.astype(np.int64)), pa.array(np.full(len(known), tokens)), pa.array(base), pa.array(score)],
-                [c.split()[0] for c in _SCORED.split(", ")],
-            )
+            columns = [row["doc_ids"], row["held"], row["sizes"], pa.array(known.astype(np.int64)), pa.array(np.full(len(known), tokens)), pa.array(base), pa.array(score)]
+            yield pa.record_batch(columns, [c.split()[0] for c in _SCORED.split(", ")])
 
     return learned.mapInArrow(run, _SCORED)
 
