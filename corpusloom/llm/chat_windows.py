@@ -1,9 +1,10 @@
 """Conversations as training windows of a token budget, with the mask of what is to be learned.
 
-Prefix sums of the turns' tokens place every turn: turns that lie within one stretch of the sum make a window, a turn
-across the border of two stretches has one to itself. Each window opens with the conversation's system turn and then
-repeats turns before it, as many as fit the history's budget; repeated turns are never learned again. Everything is
-keyed by (conversation, stretch), so a long conversation spreads over many tasks.
+Prefix sums of the turns' tokens place every turn in its conversation. A window takes the turns from where the last one
+ended for as long as the system turn, the history and they themselves fit the budget; the history are the turns just
+before, as many as fit a budget of their own, fewer where the first new turn would not fit otherwise. The system turn
+opens every window. Repeated turns are never learned again. Sums are two-level and windows are chosen within stretches
+of MANY budgets, so a long conversation spreads over many tasks; only the last window of a stretch may be left part-filled.
 
 A turn reads ``<|turn:ROLE|>`` newline TEXT ``<|end|>`` newline. Inside texts a backslash goes into every control string
 behind its first character and any backslashes there, which also holds for control strings that had some: reversible,
@@ -15,21 +16,26 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import groupby
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .byte_bpe import byte_bpe_ids
 from .durable import durable, read_table
 
 BUDGET, HISTORY = 1024, 192
-#: A window's own turns get at least so many tokens, however long the system turn is.
-LEAST = 256
-#: Turn numbers per block of the two-level prefix sums.
-STRETCH = 256
+#: Budgets of tokens in a stretch.
+MANY = 64
+#: Numbers of a stretch's windows.
+_NUMBERS = 1 << 20
 
 _CONTROL = r"(\||/?s>|</?SYS>>|/?INST\])"
 _ESCAPE, _UNESCAPE = r"(<|\[)(\\*)" + _CONTROL, re.compile(r"(<|\[)(\\*)\\" + _CONTROL)
@@ -58,14 +64,108 @@ def rendered(conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", "role", "opening", "body", F.concat("opening", "body", F.lit("<|end|>\n")).alias("turn_text"), (F.col("role") == "assistant").alias("learned"))
 
 
+def in_order(turns: DataFrame) -> DataFrame:
+    """Turns with ``start``, the tokens of their conversation before them, by turn, role and a hash of the text.
+
+    Turns are sorted by ranges and summed in each range; only a range's sum of each conversation meets the others.
+    """
+    n = max(1, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = ["conv_id", "turn", "role", "mixed", "uid"]
+    turns = turns.withColumn("mixed", F.xxhash64("turn_text")).withColumn("uid", F.monotonically_increasing_id())
+    turns = turns.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("range", F.spark_partition_id()).drop("mixed", "uid")
+    ranged = durable(turns.mapInArrow(_summed, T.StructType([*turns.schema.fields, T.StructField("upto", T.LongType())])), "ranged")
+    totals = ranged.groupBy("conv_id", "range").agg(F.sum("tokens").alias("total"))
+    before = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(F.col("conv_id").alias("c"), F.col("range").alias("r"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    placed = ranged.join(totals, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("range") == F.col("r")))
+    return placed.withColumn("start", F.col("base") + F.col("upto") - F.col("tokens")).drop("c", "r", "base", "upto", "range")
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add ``upto``: tokens of the conversation in this range so far, the row's own too. Rows come in order."""
+    last, so_far = object(), 0
+    for batch in batches:
+        if batch.num_rows:
+            convs = batch.column("conv_id")
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = pc.not_equal(pc.fill_null(convs[1:], 0), pc.fill_null(convs[:-1], 0)).to_numpy(zero_copy_only=False) | (convs[1:].is_null().to_numpy(zero_copy_only=False) != convs[:-1].is_null().to_numpy(zero_copy_only=False))
+            new[0] = convs[0].as_py() != last
+            upto = np.cumsum(batch.column("tokens").to_numpy())
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            base = np.where(first > 0, upto[first - 1], 0 if new[0] else -so_far)
+            upto = upto - base
+            last, so_far = convs[-1].as_py(), int(upto[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(upto)], names=[*batch.schema.names, "upto"])
+
+
+_SPAN = "start long, stop long, turn long, role string, repeated boolean, loss_start long, loss_stop long"
+_WINDOW = f"conv_id long, window long, text string, spans array<struct<{_SPAN.replace(' ', ':').replace(',:', ',')}>>, n_tokens long"
+_SPAN_KIND = pa.struct([(n, {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[k]) for n, k in (c.split() for c in _SPAN.split(", "))])
+
+
+class _Turn(NamedTuple):
+    turn: int
+    role: str
+    opening: str
+    body: str
+    whole: str
+    tokens: int
+    learned: bool
+
+
+def _row(conv: int | None, number: int, system: _Turn | None, first: bool, again: list[_Turn], own: list[_Turn]) -> tuple:
+    spans, texts, at, tokens = [], [], 0, 0
+    for turn, repeated in [*([(system, not first)] if system else []), *((t, True) for t in again), *((t, False) for t in own)]:
+        learn = turn.learned and not repeated
+        loss = at + len(turn.opening)
+        spans.append({"start": at, "stop": at + len(turn.whole), "turn": turn.turn, "role": turn.role, "repeated": repeated, "loss_start": loss if learn else None, "loss_stop": loss + len(turn.body) if learn else None})
+        texts.append(turn.whole)
+        at += len(turn.whole)
+        tokens += turn.tokens
+    return conv, number, "".join(texts), spans, tokens
+
+
+def _chosen(conv: int | None, stretch: int, rows: Iterator[tuple[int, _Turn]], budget: int, history: int) -> Iterator[tuple]:
+    """Windows of one stretch, from (kind, turn) in order: 0 the system turn, 1 turns of the stretch before, 2 turns of its own."""
+    system, number = None, stretch * _NUMBERS
+    before: list[_Turn] = []  # the turns that a history may take, latest last
+    again: list[_Turn] = []
+    own: list[_Turn] = []
+    made = False
+
+    def remembered(turn: _Turn) -> None:
+        before.append(turn)
+        while sum(t.tokens for t in before) > history:
+            before.pop(0)
+
+    for kind, turn in rows:
+        if kind == 0:
+            system = turn
+            continue
+        if kind == 2:
+            room = budget - (system.tokens if system else 0)
+            if own and sum(t.tokens for t in again) + sum(t.tokens for t in own) + turn.tokens > room:
+                yield _row(conv, number, system, number == 0, again, own)
+                number, made, own = number + 1, True, []
+            if not own:
+                again = list(before)
+                while again and sum(t.tokens for t in again) + turn.tokens > room:
+                    again.pop(0)
+            own.append(turn)
+        remembered(turn)
+    if own or system is not None and not made and stretch == 0:
+        yield _row(conv, number, system, number == 0, again if own else [], own)
+
+
 def windows(conversations: DataFrame, tokenizer: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """(conv_id, window, text, spans, n_tokens), windows of a conversation in order.
 
     ``spans`` lists the turns of a window: turn, role, start and stop (code points of ``text``, marks included), repeated
     (system turn or history that an earlier window has), and loss_start and loss_stop: the text to be learned, of
-    assistant turns that are not repeated, else null. A window has at most ``budget`` tokens unless one turn, or the
-    system turn, alone is too long. Turns that share a number are ordered by role, then text; null turns come first; a
-    null conv_id is a conversation. An empty table gives no windows.
+    assistant turns that are not repeated, else null. A window has at most ``budget`` tokens unless the system turn and
+    one other are too long for it together; then it has no others. A conversation that fits the budget is one window.
+    Turns that share a number are ordered by role, then a hash of their texts; null turns come first; a null conv_id is
+    a conversation. A first turn of role ``system`` is the system turn. An empty table gives no windows.
     """
 
     @F.pandas_udf("long")
@@ -73,51 +173,41 @@ def windows(conversations: DataFrame, tokenizer: str, budget: int = BUDGET, hist
         return text.map(lambda x: len(byte_bpe_ids(x, tokenizer))).astype("int64")
 
     turns = durable(rendered(conversations).withColumn("tokens", tokens("turn_text")), "turns")
-    first = turns.groupBy("conv_id").agg(F.min(F.struct("turn", "role", "turn_text", "tokens", "opening", "body")).alias("first"))
-    system = first.where("first.role = 'system'").select("conv_id", "first.*").withColumn("stretch", F.floor(F.col("turn") / STRETCH))
-    room = first.select("conv_id", F.greatest(F.lit(LEAST), F.lit(budget - history) - F.when(F.col("first.role") == "system", F.col("first.tokens")).otherwise(0)).alias("room"))
-    room = room.withColumnRenamed("conv_id", "c")
-
-    turns = turns.withColumn("stretch", F.floor(F.col("turn") / STRETCH))
-    opens = system.select(F.col("conv_id").alias("c"), F.col("stretch").alias("s"), F.col("turn").alias("t"))
-    inside = Window.partitionBy("conv_id", "stretch").orderBy("turn", "role", "turn_text")
-    turns = turns.withColumn("nth", F.row_number().over(inside))
-    turns = turns.join(opens, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("stretch") == F.col("s")) & (F.col("turn") == F.col("t")) & (F.col("nth") == 1), "left_anti")
-    inside = inside.orderBy("nth")
-    turns = turns.withColumn("upto", F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    totals = turns.groupBy("conv_id", "stretch").agg(F.sum("tokens").alias("total"))
-    before = Window.partitionBy("conv_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(F.col("conv_id").alias("c2"), F.col("stretch").alias("s2"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    placed = turns.join(totals, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("stretch") == F.col("s2"))).join(room, F.col("conv_id").eqNullSafe(F.col("c")))
-    placed = placed.withColumn("stop", F.col("base") + F.col("upto")).withColumn("start", F.col("stop") - F.col("tokens"))
-    part = F.floor(F.col("start") / F.col("room"))
-    across = part != F.floor((F.col("stop") - 1) / F.col("room"))
-    keep = ["conv_id", "turn", "nth", "role", "opening", "body", "turn_text", "tokens", "learned"]
-    placed = durable(placed.select(*keep, (2 * part + across.cast("int")).alias("window"), "start"), "placed")
-
-    starts = placed.groupBy("conv_id", "window").agg(F.min("start").alias("from"))
-    alone = system.join(starts.select("conv_id").distinct().withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")), "left_anti")
-    starts = starts.unionByName(alone.select("conv_id", F.lit(0).cast("long").alias("window"), F.lit(0).cast("long").alias("from")))
-    starts = starts.select(F.col("conv_id").alias("c"), F.col("window").alias("w"), F.col("from"), F.floor(F.col("from") / history).alias("near"))
-    firsts = starts.groupBy("c").agg(F.min("w").alias("first_window")).withColumnRenamed("c", "cf")
-
-    own = placed.select(*keep, "window", F.lit(2).alias("kind"), F.lit(False).alias("repeated"))
-    reach = placed.withColumn("near_turn", F.explode(F.array(F.floor(F.col("start") / history), F.floor(F.col("start") / history) + 1)))
-    again = reach.join(starts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("near_turn") == F.col("near")) & (F.col("start") < F.col("from")) & (F.col("start") >= F.col("from") - history))
-    again = again.select(*keep, F.col("w").alias("window"), F.lit(1).alias("kind"), F.lit(True).alias("repeated"))
-    head = system.join(starts, F.col("conv_id").eqNullSafe(F.col("c"))).join(firsts, F.col("conv_id").eqNullSafe(F.col("cf")))
-    head = head.select("conv_id", "turn", F.lit(0).alias("nth"), "role", "opening", "body", "turn_text", "tokens", F.lit(False).alias("learned"), F.col("w").alias("window"), F.lit(0).alias("kind"), (F.col("w") != F.col("first_window")).alias("repeated"))
-
-    order = Window.partitionBy("conv_id", "window").orderBy("kind", "turn", "nth").rowsBetween(Window.unboundedPreceding, 0)
-    rows = own.unionByName(again).unionByName(head).withColumn("stop", F.sum(F.char_length("turn_text")).over(order))
-    rows = rows.withColumn("start", F.col("stop") - F.char_length("turn_text"))
-    learn = F.col("learned") & ~F.col("repeated")
-    loss = F.when(learn, F.col("start") + F.char_length("opening"))
-    span = F.struct("start", "stop", "turn", "role", "repeated", loss.alias("loss_start"), (loss + F.char_length("body")).alias("loss_stop"), "turn_text")
-    grouped = rows.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(span)).alias("all"), F.sum("tokens").alias("n_tokens"))
-    return grouped.select(
-        "conv_id", "window", F.array_join(F.transform("all", lambda x: x["turn_text"]), "").alias("text"), F.transform("all", lambda x: x.dropFields("turn_text")).alias("spans"), "n_tokens"
-    )
+    placed = in_order(turns)
+    long = budget * MANY
+    placed = placed.withColumn("stretch", F.floor(F.col("start") / long)).withColumn("head", (F.col("start") == 0) & (F.col("role") == "system"))
+    placed = durable(placed, "placed")
+    named = ["turn", "role", "opening", "body", "turn_text", "tokens", "learned"]
+    own = placed.where("NOT head").select("conv_id", "stretch", F.lit(2).alias("kind"), "start", *named)
+    # the turns just before a stretch, which its first window may repeat
+    near = placed.where(~F.col("head") & (F.col("start") >= (F.col("stretch") + 1) * long - history)).select("conv_id", (F.col("stretch") + 1).alias("stretch"), F.lit(1).alias("kind"), "start", *named)
+    heads = placed.where("head").select(F.col("conv_id").alias("c"), F.col("start"), *named)
+    there = placed.select("conv_id", "stretch").distinct()
+    system = there.join(heads, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "stretch", F.lit(0).alias("kind"), "start", *named)
+    n = max(1, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = own.unionByName(near).unionByName(system).repartition(n, "conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", "kind", "start")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+        out, size = [], 0
+        for (conv, stretch), group in groupby(each(), key=lambda r: r[:2]):
+            for row in _chosen(conv, stretch, ((r[2], _Turn(*r[4:])) for r in group), budget, history):
+                out.append(row)
+                size += len(row[2])
+                if size > 1 << 22:
+                    yield _windows_of(out)
+                    out, size = [], 0
+        yield _windows_of(out)
+
+    return rows.mapInArrow(run, _WINDOW)
+
+
+def _windows_of(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(_SPAN_KIND), pa.int64())
+    return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["conv_id", "window", "text", "spans", "n_tokens"])
 
 
 _READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"

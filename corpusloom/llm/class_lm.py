@@ -35,7 +35,7 @@ HEAD, HEAD_SWEEPS = 512, 4
 HEAD_SHARE = 1e-4
 #: Sweeps of the whole vocabulary.
 SWEEPS = 3
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 2_000_000
 #: Words of all blocks' dictionaries that meet in one bucket (expected number).
 BUCKET_WORDS = 1_000_000
 MIX, DISCOUNT, ADDED = 0.9, 0.5, 0.1
