@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .byte_words import text_slices
-from .durable import read_table
+from .durable import read_table, with_columns
 
 WINDOW = 128
 WIDTHS = (2, 3, 4, 5)
@@ -184,30 +185,35 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", sample_r
 _IS_LETTER_CLASS = np.arange(CLASSES) >= 5
 
 
-def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every row: score is the mean probability of the predicted language, 0 to 1.
+def predicted(docs: DataFrame, model: dict | None, text: str = "text") -> tuple[DataFrame, str, str]:
+    """Every row of ``docs`` with the language of its own text and its score, and the names of the two columns.
 
-    Null texts and texts without a letter are ``und`` with score 0; so is every text if there is no model.
+    The score is the mean probability of the language, 0 to 1. Null texts and texts without a letter are ``und`` with
+    score 0; so is every text if there is no model. Repeated rows and rows with a null doc_id are judged each.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in text_slices(batch.column(1)):
-                texts = batch.column(1).slice(a, b - a).to_pylist()
-                has = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts])
-                langs, scores = [UNDETERMINED] * (b - a), np.zeros(b - a)
-                if model is not None and has.any():
-                    owner, codes = windows_of(data, offsets)
-                    weight = _IS_LETTER_CLASS[codes].sum(axis=1) + 1e-6
-                    total = np.zeros((b - a, len(model["languages"])))
-                    np.add.at(total, owner, window_probabilities(model, codes) * weight[:, None])
-                    total /= np.maximum(total.sum(axis=1, keepdims=True), 1e-12)
-                    for k in np.flatnonzero(has):
-                        top = int(total[k].argmax())
-                        langs[k], scores[k] = model["languages"][top], min(1.0, float(total[k, top]))
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(langs), pa.array(scores)], ["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    def of(column: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
+        for a, b, data, offsets in text_slices(column):
+            has = np.array([bool(t) and any(map(str.isalpha, t)) for t in column.slice(a, b - a).to_pylist()])
+            langs, scores = [UNDETERMINED] * (b - a), np.zeros(b - a)
+            if model is not None and has.any():
+                owner, codes = windows_of(data, offsets)
+                weight = _IS_LETTER_CLASS[codes].sum(axis=1) + 1e-6
+                total = np.zeros((b - a, len(model["languages"])))
+                np.add.at(total, owner, window_probabilities(model, codes) * weight[:, None])
+                total /= np.maximum(total.sum(axis=1, keepdims=True), 1e-12)
+                for k in np.flatnonzero(has):
+                    top = int(total[k].argmax())
+                    langs[k], scores[k] = model["languages"][top], min(1.0, float(total[k, top]))
+            yield a, b, [pa.array(langs), pa.array(scores)]
+
+    rows, names = with_columns(docs, text, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], of)
+    return rows, *names
+
+
+def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score) of every row, as ``predicted`` has it."""
+    return predicted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), model)[0].select("doc_id", "lang_pred", "score")
 
 
 def fold(doc_id: str, of: int) -> Column:

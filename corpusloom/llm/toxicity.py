@@ -23,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .byte_words import mix, random_words, text_slices, words_of
-from .durable import durable, read_table
+from .durable import durable, read_table, with_columns
 from .language_id import fold
 
 #: Labelled rows that term weights are learned from (expected number; all of them if there are fewer).
@@ -336,20 +337,28 @@ def _weights_of(term: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarra
     return out
 
 
-def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """(doc_id, score) of every row, 0 to 1; null, empty and wordless texts have 0. Repeated rows give repeated rows."""
+def scored(docs: DataFrame, model: dict, text: str = "text") -> tuple[DataFrame, str]:
+    """Every row of ``docs`` with the score of its own text, 0 to 1, and the name of that column.
+
+    Null, empty and wordless texts have 0; repeated rows and rows with a null doc_id are scored each.
+    """
     cost, weight = model["cost"], model["weight"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(texts: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
         restorer = Restorer(cost.value)
-        for batch in batches:
-            for a, b, data, offsets in text_slices(batch.column(1)):
-                owner, term = terms_of(data, offsets, restorer)
-                best = np.zeros(b - a)
-                np.maximum.at(best, owner, _weights_of(term, weight.value))
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(np.minimum(best, 1.0))], ["doc_id", "score"])
+        for a, b, data, offsets in text_slices(texts):
+            owner, term = terms_of(data, offsets, restorer)
+            best = np.zeros(b - a)
+            np.maximum.at(best, owner, _weights_of(term, weight.value))
+            yield a, b, [pa.array(np.minimum(best, 1.0))]
+
+    rows, names = with_columns(docs, text, [T.StructField("score", T.DoubleType())], of)
+    return rows, names[0]
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+
+def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
+    """(doc_id, score) of every row, as ``scored`` has it."""
+    return scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), model)[0].select("doc_id", "score")
 
 
 def learning_labels(labels: DataFrame) -> DataFrame:
