@@ -1,8 +1,8 @@
 """A training corpus from raw documents: toxic ones out, unreadable ones out, near-duplicates to one, the rest packed.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. Models are learned from the
-documents of the stage and, for toxicity, the labels beside them. Rows with a null doc_id or repeated rows are judged
-by their own text; an empty table passes through empty.
+documents of the stage and, for toxicity, the labels beside them. Rows with a null doc_id and repeated rows are judged
+by their own texts, and of repeated ones the third stage leaves one; an empty table passes through empty.
 """
 
 from __future__ import annotations
@@ -16,29 +16,40 @@ from corpusloom.llm import language_id, minhash_dedup, packing, toxicity
 LEAST_CERTAIN = 0.3
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    return docs.join(rejected.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", "left_anti").select(*docs.columns)
+#: Ids for rows without one, from a hash of their texts: above all ids in use, so that a document with an id stays before one without.
+_OWN_ID = 1 << 62
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays under the limit."""
+    """Rows whose own toxicity score stays under the limit."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scores = toxicity.score(docs, toxicity.train(docs, toxicity.learning_labels(labels)))
-    return _without(docs, scores.where(F.col("score") >= toxicity.REJECT))
+    rows, score = toxicity.scored(docs, toxicity.train(docs, toxicity.learning_labels(labels)))
+    return rows.where(F.col(score) < toxicity.REJECT).select(*docs.columns)
 
 
 def keep_readable(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters in a language that is recognised; without any labelled language, all with letters."""
+    """Rows whose own text has letters and a language that is recognised; without any labelled language, all with letters."""
     model = language_id.train(docs.where(F.coalesce(language_id.fold("doc_id", 4), F.lit(0)) != 2))
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = language_id.predict(docs, model)
-    return _without(docs, found.where((F.col("lang_pred") == language_id.UNDETERMINED) | (F.col("score") < LEAST_CERTAIN)))
+    rows, language, score = language_id.predicted(docs, model)
+    return rows.where((F.col(language) != language_id.UNDETERMINED) & (F.col(score) >= LEAST_CERTAIN)).select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group linked at a similarity of 0.8."""
-    return _without(docs, minhash_dedup.near_duplicates(docs, percent=80).where("NOT kept"))
+    """One row of each group linked at a similarity of 0.8: of its smallest id, else (all ids null) of one text.
+
+    Of rows that repeat an id one stays. Texts without words are linked with nothing; of equal ones without an id one stays.
+    """
+    own_id = F.coalesce(F.col("doc_id").cast("long"), _OWN_ID + F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 3))
+    found = packing.durable(minhash_dedup.near_duplicates(docs.select(own_id.alias("doc_id"), "text"), percent=80), "groups")
+    away = found.where("NOT kept").select(F.col("doc_id").alias("_away")).distinct()
+    rows = docs.withColumn("_own", own_id)
+    rows = rows.join(away, F.col("_own") == F.col("_away"), "left_anti")
+    many = found.where("kept").groupBy(F.col("doc_id").alias("_many")).count().where("count > 1").select("_many")
+    single = rows.join(many, F.col("_own") == F.col("_many"), "left_anti")
+    one = rows.join(many, F.col("_own") == F.col("_many"), "left_semi").dropDuplicates(["_own"])
+    return single.unionByName(one).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
