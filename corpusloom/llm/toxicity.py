@@ -1,9 +1,12 @@
 """Toxicity of texts whose words may be disguised: a noisy channel restores them, then restored words are scored.
 
-Channel: a sign may stand for a letter, signs and blanks may be thrown between letters, letters may be repeated. A token
-that shows any of this becomes a lattice of what its characters may have been, and the path that a character language
-model and the channel's costs like best is what was meant; parts between separators are decoded by themselves, too. Other tokens have one path, themselves. The language model
-counts four characters at a time over the whole corpus.
+Channel: a sign may stand for a letter, signs and blanks may be thrown between letters, letters may be repeated, and
+accents, wide forms and letters of other scripts may stand for the letters they look like. A token that shows any of
+this becomes a lattice of what its characters may have been, and the path that a character language model and the
+channel's costs like best is what was meant; parts between separators are decoded by themselves, too. Letters that look
+like others are read either way: a text's tokens as they are, and tokens of such letters once more as what they look
+like. A token whose one sign of disguise is a letter twice has two paths, compared for all such tokens at once. Other
+tokens have one path, themselves. The language model counts four characters at a time over the whole corpus.
 
 Score: the terms of a restored text are its words and their first letters, as 64-bit hashes. A first pass over labelled
 texts counts in a table of fixed size how often terms come in toxic and in clean ones. A second gives each toxic text's
@@ -14,6 +17,7 @@ its most telling term. The labelled texts may be a bounded sample.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 from itertools import groupby
@@ -44,6 +48,15 @@ STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 #: Costs in nats: a sign for a letter, a sign thrown in, a blank thrown in, a letter twice, more often, a sign that means itself.
 SIGN, THROWN, SPACED, DOUBLED, REPEATED, ITSELF = 1.0, 1.0, 0.3, 2.5, 0.2, 5.0
 
+#: Letters that look like Latin ones (fixed values of the channel); accents and wide forms fold by Unicode's own tables.
+LOOKS_LIKE = {
+    "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x",
+    "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ł": "l", "ø": "o",
+}
+_LOOKS, _FOLDED, _MARKS = re.compile(f"[{''.join(LOOKS_LIKE)}]"), str.maketrans(LOOKS_LIKE), re.compile("[\u0300-\u036f]+")
+#: Tokens without such letters that are longer than one character: what looks like nothing else is not read again.
+_AS_IT_IS = re.compile(r"(?<![^ \t-\r])[!-~]{2,}(?![^ \t-\r])")
+
 #: Signs that join words or letters to one token and stand for no letter.
 _SEPARATORS = re.compile(r"[-._/\\,;:~*#=&?%'\"<>\[\]{})^` ]+")
 
@@ -178,8 +191,8 @@ def _written(path: tuple) -> str:
     return "".join(reversed(out))
 
 
-def _disguised(data: np.ndarray, words) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Which tokens show a disguise, and runs [first, last] of at least three one-character tokens of a text."""
+def _disguised(data: np.ndarray, words) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
+    """Which tokens show a disguise, runs [first, last] of at least three one-character tokens of a text, and which tokens show only one letter twice."""
     code = _CODE[data]
     letter = code > 0
 
@@ -188,21 +201,43 @@ def _disguised(data: np.ndarray, words) -> tuple[np.ndarray, list[tuple[int, int
         return sums[words.end] - sums[words.start]
 
     letters, size = per_word(letter), words.end - words.start
-    inner = np.zeros(len(data), bool)  # signs with a letter close on either side
-    inner[1:-1] = (_SIGNS[data] | ~letter)[1:-1] & letter[:-2] | (~letter)[1:-1] & letter[2:]
+    same = np.zeros(len(data), bool)
+    same[1:] = (data[1:] == data[:-1]) & (letter | _SIGNS[data])[1:]
     thrice = np.zeros(len(data), bool)
-    thrice[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & (letter | _SIGNS[data])[2:]
+    thrice[1:] = same[1:] & same[:-1]
+    doubled = per_word(same & (code < _OTHER))  # the halves of a letter of two bytes are no letter twice
+    repeated = (per_word(thrice) > 0) | (doubled > 1)
     signs = per_word(_SIGNS[data] | ((~letter) & (data > 32)))
-    show = (letters > 0) & ((per_word(thrice) > 0) | (signs > 0))
     # punctuation around a word is no disguise: signs must lie inside, or be ones that stand for letters
     first, last = data[words.start], data[words.end - 1] if len(words.end) else data[:0]
     edge = (~_letter_or_sign(first)).astype(int) + (~_letter_or_sign(last)).astype(int)
-    show &= (per_word(thrice) > 0) | (signs > edge)
+    show = (letters > 0) & (repeated | (signs > edge))
     single = (size == 1) & (letter | _SIGNS[data])[words.start] if len(size) else np.zeros(0, bool)
     change = np.flatnonzero(np.diff(np.concatenate([[0], (single * (words.text + 1))])))
     edges = [*change.tolist(), len(single)]
     runs = [(a, b - 1) for a, b in zip(edges, edges[1:]) if b - a >= 3 and single[a]]
-    return show, runs
+    return show, runs, ~show & (doubled == 1) & (letters == size)
+
+
+def _once(data: np.ndarray, words, which: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Tokens of letters with one letter twice that are likelier with it once: their numbers, and how they then read."""
+    which = np.flatnonzero(which)
+    size = words.end[which] - words.start[which] + 1  # and a blank
+    start = np.cumsum(size) - size
+    stream = np.full(int(size.sum()), 32, np.uint8)
+    inside = np.ones(len(stream), bool)
+    inside[start + size - 1] = False
+    stream[inside] = data[np.repeat(words.start[which] - start, size)[inside] + np.flatnonzero(inside)]
+    twice = np.zeros(len(stream), bool)
+    twice[1:] = (stream[1:] == stream[:-1]) & (_CODE[stream] > 0)[1:] & (_CODE[stream] < _OTHER)[1:]
+    flat = cost.reshape(-1)
+
+    def price(bytes_: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(flat[_contexts(_CODE[bytes_])].astype(float), np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
+
+    likelier = np.flatnonzero(price(stream[~twice], size - 1) + DOUBLED < price(stream, size))
+    kept = [stream[start[k] : start[k] + size[k] - 1][~twice[start[k] : start[k] + size[k] - 1]].tobytes() for k in likelier]
+    return which[likelier], kept
 
 
 def _letter_or_sign(x: np.ndarray) -> np.ndarray:
@@ -211,8 +246,25 @@ def _letter_or_sign(x: np.ndarray) -> np.ndarray:
 
 def terms_of(data: np.ndarray, offsets: np.ndarray, restorer: Restorer) -> tuple[np.ndarray, np.ndarray]:
     """(text, 64-bit term) of every word of the restored texts: the whole word and each of its prefixes."""
+    text, term = _terms(data, offsets, restorer)
+    bounds = np.concatenate([[0], np.cumsum(data > 127)])
+    others = np.flatnonzero(np.diff(bounds[offsets]))
+    if not len(others):
+        return text, term
+    folded = [folded_text(data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace")).encode() for k in others]
+    more, again = _terms(np.frombuffer(b"".join(folded), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in folded])]), restorer)
+    return np.concatenate([text, others[more]]), np.concatenate([term, again])
+
+
+def folded_text(text: str) -> str:
+    """The tokens of a text that have letters which look like others, as those, and its one-character tokens; others become ``--``."""
+    text = _MARKS.sub("", unicodedata.normalize("NFKD", _AS_IT_IS.sub("--", text).lower()))
+    return text.translate(_FOLDED) if _LOOKS.search(text) else text
+
+
+def _terms(data: np.ndarray, offsets: np.ndarray, restorer: Restorer) -> tuple[np.ndarray, np.ndarray]:
     tokens = words_of(data, offsets)
-    show, runs = _disguised(tokens.data, tokens)
+    show, runs, twice = _disguised(tokens.data, tokens)
     raw = tokens.data
     owner, extra = [], []
     for i in np.flatnonzero(show).tolist():
@@ -223,6 +275,10 @@ def terms_of(data: np.ndarray, offsets: np.ndarray, restorer: Restorer) -> tuple
         found = restorer.words(b" ".join(raw[tokens.start[k] : tokens.end[k]].tobytes() for k in range(a, b + 1)))
         owner += [tokens.text[a]] * len(found)
         extra += found
+    which, once = _once(raw, tokens, twice, restorer.cost)
+    owner += tokens.text[which].tolist()
+    extra += once
+    show[which] = True
     # the letters of the other tokens
     letter = _CODE[raw] > 0
     hide = np.zeros(len(raw) + 1, np.int64)
@@ -233,9 +289,8 @@ def terms_of(data: np.ndarray, offsets: np.ndarray, restorer: Restorer) -> tuple
     if not extra:
         return text_a, term_a
     joined = np.frombuffer(b" ".join(extra), np.uint8)
-    lengths = np.array([len(x) for x in extra])
     own = words_of(joined, np.array([0, len(joined)]))
-    assert len(own.start) == len(lengths)
+    assert len(own.start) == len(extra)
     own.text = np.array(owner, np.int64)
     text_b, term_b = _hashed(own)
     return np.concatenate([text_a, text_b]), np.concatenate([term_a, term_b])
