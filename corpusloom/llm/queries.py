@@ -1,9 +1,36 @@
-"""The queries of this subpackage and the SQL for those that SQL can express."""
+"""The queries of this subpackage and the SQL for those that SQL can express.
+
+Where SQL can say only some of a query's columns, these are a query of their own (``digest_…``).
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from . import additive_ann, chat_windows, class_lm, fingerprints, language_id, minhash_dedup, packing, sentencepiece_codec, token_counts, toxicity
 
+
+def digest_op4_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and base scores of op4."""
+    return class_lm.op4_class_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def digest_op5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns and learned texts that op5 reads back."""
+    return chat_windows.op5_chat_windows(spark, sf_dir).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+
+
+def digest_op6_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edited texts of op6."""
+    return fingerprints.op6_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def digest_op9_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whom op9 finds; the SQL is exact, so the two differ where the index misses one."""
+    return additive_ann.op9_nearest(spark, sf_dir).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id")
+
+
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_language_id": language_id.op2_language_id,
@@ -15,5 +42,35 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_nearest": additive_ann.op9_nearest,
     "op10_packing": packing.op10_packing,
+    "digest_op4_base": digest_op4_base,
+    "digest_op5_turns": digest_op5_turns,
+    "digest_op6_edits": digest_op6_edits,
+    "digest_op9_ranks": digest_op9_ranks,
+}
+
+_WORDS = "regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+_BYTES = "list_transform(string_split(CAST(doc_id AS VARCHAR),''), lambda c: CAST(ascii(c) AS BIGINT))"
+_BITS = "list_reduce(list_prepend(xor(h,b), range(8)), lambda x, i: CASE WHEN x%2=1 THEN xor(x//2, 3988292384) ELSE x//2 END)"
+_CRC32 = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {_BYTES}), lambda h, b: {_BITS}), 4294967295)"
+
+ORACLE_SQL = {
+    "op3_near_duplicates": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w)=0 THEN [] WHEN len(w)<5 THEN [array_to_string(w,' ')] ELSE list_distinct(list_transform(range(1,len(w)-3), lambda i: array_to_string(w[i:i+4],' '))) END AS s FROM w),
+e AS (SELECT doc_id, unnest(s) AS x FROM s), i AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM e a JOIN e b ON a.x=b.x AND a.doc_id<b.doc_id GROUP BY 1,2),
+l AS (SELECT u, v FROM i JOIN s a ON a.doc_id=u JOIN s b ON b.doc_id=v WHERE 100*n>=85*(len(a.s)+len(b.s)-n)), b AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT r.doc_id, b.v FROM r JOIN b ON b.u=r.c),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id=component_id AS kept FROM s JOIN m USING (doc_id)""",
+    "digest_op4_base": f"""WITH w AS (SELECT doc_id, {_CRC32}%10=0 AS held_out, list_append({_WORDS}, '') AS w FROM documents),
+t AS (SELECT doc_id, held_out, unnest(w) AS x FROM w), c AS (SELECT x, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1), z AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c.c) AS n_known, n AS train_tokens, round(sum(log10((coalesce(c.c,0)+0.1::DOUBLE)/(n+0.1::DOUBLE*(v+1)))),4) AS base_score
+FROM t LEFT JOIN c USING (x), z GROUP BY doc_id, held_out, n""",
+    "digest_op5_turns": """WITH t AS (SELECT conv_id, turn, role, coalesce(text,'') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role||chr(10)||text||chr(10), '' ORDER BY turn) AS x, coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role='assistant'), '') AS y FROM t GROUP BY 1)
+SELECT conv_id, n_turns, sha256(x) AS turns_sha256, length(y) AS loss_chars, sha256(y) AS loss_sha256 FROM a""",
+    "digest_op6_edits": """WITH d AS (SELECT doc_id, coalesce(text,'') AS t FROM documents), n AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS f FROM d)
+SELECT doc_id, n AS n_chars, sha256(substr(t, 1, n-n//2)||substr(f, 1, n//2)) AS edited_sha256 FROM n""",
+    "digest_op9_ranks": """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x)))=0 AND len(list_filter(embedding, lambda x: x<>0))>0),
+s AS (SELECT q.vec_id AS query_id, u.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, u.e) DESC, u.vec_id) AS rank FROM u q JOIN u ON q.vec_id<>u.vec_id WHERE q.vec_id%20=0)
+SELECT query_id, rank, vec_id FROM s WHERE rank<=20""",
 }
-ORACLE_SQL: dict[str, str] = {}
