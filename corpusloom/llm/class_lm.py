@@ -47,13 +47,13 @@ _BLOCK = "block long, doc_ids array<long>, train array<boolean>, held array<bool
 def _shut(values: np.ndarray, kind: type) -> bytes:
     """Numbers of one kind, compressed byte plane by byte plane."""
     raw = np.ascontiguousarray(values, kind)
-    return zstandard.compress(raw.view(np.uint8).reshape(len(raw), -1).T.tobytes(), 1)
+    return zstandard.compress(raw.view(np.uint8).reshape(len(raw), raw.itemsize).T.tobytes(), 1)
 
 
 def _opened(data: bytes, kind: type) -> np.ndarray:
     width = np.dtype(kind).itemsize
     raw = np.frombuffer(zstandard.decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(kind)
+    return np.ascontiguousarray(raw.reshape(width, len(raw) // width).T).reshape(-1).view(kind)
 
 
 def blocks_of(docs: DataFrame, train: Column, held: Column, text: str = "text") -> DataFrame:

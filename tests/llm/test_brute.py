@@ -129,6 +129,57 @@ def test_op4(spark, texts):
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
+def test_op4_score(spark, texts):
+    """The score recomputed word by word from the classes learned: one class a word in all blocks, bigrams counted here."""
+    from corpusloom.llm import byte_words, class_lm
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    train = class_lm.fold("doc_id", 10) != 0
+    blocks = class_lm.durable(class_lm.blocks_of(docs, train, ~train), "blocks").cache()
+    learned, _ = class_lm.class_table(blocks)
+    words_of_block = {r["block"]: (np.frombuffer(r["words"], np.uint64), class_lm._opened(r["place"], np.uint32)) for r in blocks.collect()}
+    label = {}
+    for r in learned.collect():
+        hashes, place = words_of_block[r["block"]]
+        for h, c, n in zip(hashes[place].tolist(), class_lm._opened(r["class"], np.uint8).tolist(), class_lm._opened(r["n"], np.int64).tolist()):
+            assert label.setdefault(h, (c, n)) == (c, n)
+    end = int(class_lm._END)
+
+    def stream(t):
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        return [*byte_words.words_of(data, np.array([0, len(data)])).hashes().tolist(), end]
+
+    toks = {i: stream(t) for i, t in texts.items()}
+    taught = [t for i, t in toks.items() if zlib.crc32(str(i).encode()) % 10]
+    c = Counter(w for t in taught for w in t)
+    assert all(label[w][1] == n for w, n in c.items())
+    pairs = Counter((label[a][0], label[b][0]) for t in taught for a, b in zip([end, *t], t))
+    total, vocabulary, k = sum(c.values()), len(c), class_lm.CLASSES
+    size, row, distinct = Counter(), Counter(), Counter(label[w][0] for w in c)
+    for (a, b), n in pairs.items():
+        size[b] += n
+        row[a] += n
+    move = {(a, b): (pairs[a, b] + 0.1 * size[b] / total * k) / (row[a] + 0.1 * k) for a in range(k) for b in range(k)}
+    unknown = {a: sum(move[a, b] * 0.5 * distinct[b] / max(size[b], 1) for b in range(k)) for a in range(k)}
+    got = {r.doc_id: r.score for r in run(spark, "op4_class_lm").collect()}
+    for i, t in toks.items():
+        want = 0.0
+        for a, b in zip([end, *t], t):
+            before = label[a][0]
+            by_class = move[before, label[b][0]] * (c[b] - 0.5) / size[label[b][0]] if c[b] else unknown[before]
+            want += math.log10(0.9 * by_class + 0.1 * (c[b] + 0.1) / (total + 0.1 * (vocabulary + 1)))
+        assert got[i] == pytest.approx(want, rel=1e-9)
+
+
+def test_op4_large_ids(spark):
+    """Ids above 2**53 stay exact beside a null one."""
+    from corpusloom.llm import class_lm
+
+    rows = [(9007199254740993, "a b c"), (9007199254740995, "a b d"), (None, "a b"), (-9007199254740993, None)]
+    got = class_lm.fit_and_score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), F.lit(True), F.lit(False))
+    assert {r.doc_id for r in got.collect()} == {r[0] for r in rows}
+
+
 def test_op5(spark):
     talk = defaultdict(list)
     for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
@@ -142,8 +193,39 @@ def test_op5(spark):
         want = len(t), hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in t).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()
         assert tuple(got[i])[1:5] == want
     made = chat_windows.windows(spark.read.parquet(f"{SF}/conversations.parquet"), public_tokenizers.path("byte_bpe_50k.json"), budget=400, history=100).collect()
-    for w in made:
-        assert w.n_tokens <= 400 or len([s for s in w.spans if not s.repeated]) == 1 or w.spans[0].role == "system"
+    for w in made:  # over the budget only by one turn beside the system turn, with no history before it
+        assert w.n_tokens <= 400 or len([s for s in w.spans if s.role != "system"]) == 1
+
+
+def test_op5_windows(spark):
+    """Windows chosen again turn by turn: filled in order, history before them, one window where all fits."""
+    from corpusloom.llm.byte_bpe import byte_bpe_ids
+
+    bpe, rng = public_tokenizers.path("byte_bpe_50k.json"), np.random.default_rng(6)
+    talk = [(c, 7 if c == 3 else t, "system" if t == 0 and c < 3 else ("user", "assistant")[t % 2], "word " * int(rng.integers(0, 150)) + str(t)) for c in range(5) for t in range((1500, 40, 3, 30, 2)[c])]
+    rows = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
+    made = defaultdict(list)
+    for w in chat_windows.windows(rows, bpe, budget=600, history=150).orderBy("window").collect():
+        made[w.conv_id].append(w)
+    for c in range(5):
+        own = [s for w in made[c] for s in w.spans if not s.repeated]
+        assert len(own) == sum(t[0] == c for t in talk)
+        long = 600 * chat_windows.MANY
+        sizes, at, ends = [], 0, []
+        for w in made[c]:
+            parts = [(s, len(byte_bpe_ids(w.text[s.start : s.stop], bpe))) for s in w.spans]
+            head = [n for s, n in parts if s.role == "system"]
+            again, fresh = [n for s, n in parts if s.repeated and s.role != "system"], [n for s, n in parts if not s.repeated and s.role != "system"]
+            assert w.n_tokens == sum(n for _, n in parts) and sum(again) <= 150
+            assert w.n_tokens <= 600 or len(again) + len(fresh) == 1
+            if ends:  # the first new turn did not fit the window before, unless a stretch began
+                before = ends[-1]
+                assert before[0] + fresh[0] > 600 or (before[1] // long != at // long)
+            at += (sum(head) if not ends else 0) + sum(fresh)
+            ends.append((w.n_tokens, at - fresh[-1]))
+            sizes.append(w.n_tokens)
+        if sum(n for w in made[c][:1] for n in [w.n_tokens]) and c in (2, 4) and sum(len(byte_bpe_ids(w.text, bpe)) for w in made[c]) <= 600:
+            assert len(made[c]) == 1
 
 
 def test_op6(spark, texts):
@@ -201,6 +283,72 @@ def test_op7_long_tokens(spark):
     assert min(scores[:5]) >= 0.7 and max(scores[5:]) < 0.7
 
 
+def toxic_model(spark):
+    plain = ["the river runs over the old stones", "a market opens early in the morning", "she reads letters near the window", "they walk the dog along the shore"]
+    rows = [(i, f"{plain[i % 4]} for you {i % 13}") for i in range(120)] + [(200 + i, f"{plain[i % 4]} you idiot") for i in range(40)]
+    labels = spark.createDataFrame([(i, int("idiot" in t)) for i, t in rows], "doc_id long, toxic int")
+    return toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+
+
+def test_op7_look_alikes(spark):
+    """Doubled letters, accents, wide forms and letters of other scripts; clean ones of each stay."""
+    tests = ["iddiioott", "idiiot", "ｉｄｉｏｔ", "іdіоt", "ídíót", "і d і о t", "１ｄ１０ｔ", "iddiott " * 30, "été ça où naïve", "letters and stones run", "ñ ü ß привет"]
+    scores = [r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), toxic_model(spark)).orderBy("doc_id").collect()]
+    assert min(scores[:8]) >= 0.7 and max(scores[8:]) < 0.7
+
+
+def test_op7_viterbi(spark):
+    """The best path of a lattice against all of its paths."""
+    cost = toxic_model(spark)["cost"].value
+    restorer, n = toxicity.Restorer(cost), 28
+
+    def paths(text):
+        """(price, text) of every way to read ``text``, as the channel defines them."""
+        states = [(0, "", 0.0, "")]
+        for at, char in enumerate(text):
+            options = [(char, 0.0)] if char.isalpha() else [(x, toxicity.SIGN) for x in toxicity.STANDS_FOR.get(char, "")]
+            again = toxicity.REPEATED if at > 1 and char == text[at - 1] == text[at - 2] or text[at + 1 : at + 2] == char == text[at - 1 : at] else toxicity.DOUBLED
+            new = []
+            for context, last, price, out in states:
+                for letter, more in options:
+                    code = ord(letter) - 96 if "a" <= letter <= "z" else 27
+                    new.append(((context * n + code) % n**3, letter, price + more + float(cost[context, code]), out + letter))
+                    if letter == last and at:
+                        new.append((context, last, price + more + again, out))
+                if not char.isalpha():
+                    if 0 < at < len(text) - 1:
+                        new.append((context, last, price + (toxicity.SPACED if char == " " else toxicity.THROWN), out))
+                    new.append((0, "", price + (float(cost[context, 0]) if context else 0.0) + (0.0 if char == " " else toxicity.ITSELF), out + char))
+            states = new
+        return [(price + float(cost[context, 0]), out) for context, _, price, out in states]
+
+    for text in ("1d10t", "i d i o t", "iddiott", "r.u-n", "st0nes", "lett3r", "aa1!", "d0g s", "o@o", "winddow"):
+        every = paths(text)
+        got = restorer.decode(text)
+        assert min(p for p, out in every if out == got) == pytest.approx(min(every)[0])
+
+
+def test_op7_query(spark):
+    """Held-out labels of the query itself: no clean text rejected, most toxic ones found (some labels are noise)."""
+    folder = SF.replace("0.001", "0.01")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    seen = queries.QUERIES["op7_toxicity"](spark, folder).join(labels, "doc_id").where("held_out").groupBy("toxic").agg(F.avg("predicted").alias("share")).collect()
+    share = {r.toxic: r.share for r in seen}
+    assert share[0] <= 0.02 and share[1] >= 0.6
+
+
+def test_special_tokens():
+    from tokenizers import Tokenizer
+
+    from corpusloom.llm.byte_bpe import byte_bpe_ids
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    for text in ("a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext |>", "é <|endoftext|>", "plain"):
+        assert byte_bpe_ids(text, path).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert 50256 in byte_bpe_ids("a <|endoftext|> b", path)
+
+
 def test_op8(spark, texts):
     from tokenizers import Tokenizer
 
@@ -223,12 +371,48 @@ def test_op9(spark):
         hits += len(found & {i for _, i in best})
     assert len(got) == sum(i % 20 == 0 for i in e) and hits >= 0.9 * 20 * len(got)
     x = np.random.default_rng(1).normal(size=(3000, 32))
-    books = additive_ann.train_books(x[:1500], books=8, words=64, rounds=3)
+    books = additive_ann.train_books(x[:1500], cells=16, books=7, words=64, rounds=3)
     codes = additive_ann.encode(x, books)
     rest = x - sum(books[m][codes[:, m]] for m in range(8))
     assert (rest**2).sum() < 0.45 * (x**2).sum()
 
 
+def nearest_by_force(x, q, k=20):
+    score = (x * x[q]).sum(axis=1)
+    return [i for i in np.lexsort((np.arange(len(x)), -score)).tolist() if i != q][:k]
+
+
+def recall(spark, x, asked):
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in additive_ann.nearest(v, v.where(F.col("vec_id").isin(asked))).orderBy("query_id", "rank").collect():
+        assert r.score == pytest.approx(float((x[r.query_id] * x[r.vec_id]).sum()), rel=1e-12)
+        got[r.query_id].append(r.vec_id)
+    return sum(len(set(got[q]) & set(nearest_by_force(x, q))) for q in asked) / 20 / len(asked)
+
+
+def test_op9_recall(spark):
+    """Many vectors, without structure and in clusters: against brute force."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(12_000, 32)), rng.normal(size=(80, 32)).repeat(100, 0) + 0.3 * rng.normal(size=(8000, 32))])
+    assert recall(spark, x, list(range(0, 20_000, 200))) >= 0.95
+
+
+@pytest.mark.parametrize("scale", [1e30, 1e-30, None])
+def test_op9_scale(spark, scale):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 16)) * (scale or 10.0 ** rng.uniform(-30, 30, 2000)[:, None])
+    assert recall(spark, x, list(range(0, 2000, 50))) >= 0.95
+
+
+def test_op9_repeated_ids(spark):
+    """A vec_id with two vectors is found once by each, never by a query of that id, and asks with the lesser one."""
+    rows = [(7, [1.0, 2.0]), (7, [2.0, 1.0]), (7, [2.0, 1.0]), (20, [1.0, 1.0]), (20, [0.0, 1.0]), (30, [0.5, 0.5])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = additive_ann.nearest(v, v.where("vec_id = 20")).orderBy("rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(20, 1, 7, 2.0), (20, 2, 7, 1.0), (20, 3, 30, 0.5)]
+
+
 def test_op9_hot_cluster(spark):
     """More close vectors than any fixed number of candidates, and queries that must tell them apart: as brute force has it."""
     rng = np.random.default_rng(3)
@@ -239,8 +423,7 @@ def test_op9_hot_cluster(spark):
     for r in additive_ann.nearest(v, v.where("vec_id % 500 = 100 OR vec_id = 7")).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.vec_id)
     for q in [*range(100, 5000, 500), 7]:
-        score = (x[q] * x).sum(axis=1)
-        assert got[q] == [i for i in np.lexsort((np.arange(len(x)), -score)).tolist() if i != q][:20]
+        assert got[q] == nearest_by_force(x, q)
 
 
 def test_op10(spark, texts):
@@ -300,8 +483,27 @@ def test_pipeline(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     want = brute_components({i: shingles(t) for i, t in texts.items()}, 80)
     assert {r.doc_id for r in kept.collect()} == {i for i, c in want.items() if i == c}
+    some = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g"), (None, "x y z w v u t"), (None, "x y z w v u t"), (2, None), (2, None), (3, "q")]
+    left = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(some, "doc_id long, text string"), SF).collect()
+    assert sorted(map(str, map(tuple, left))) == sorted(map(str, [(1, "a b c d e f g"), (None, "x y z w v u t"), (2, None), (3, "q")]))
     clean = corpus_pipeline.keep_clean(spark, docs, SF)
     readable = corpus_pipeline.keep_readable(spark, docs, SF)
     assert clean.count() > 0.8 * len(texts) and readable.count() > 0.95 * len(texts)
+    toxic = {r.doc_id for r in toxicity.score(docs, toxicity.train(docs, toxicity.learning_labels(spark.read.parquet(f"{SF}/labels.parquet")))).where(F.col("score") >= toxicity.REJECT).collect()}
+    assert {r.doc_id for r in clean.collect()} == set(texts) - toxic
+    without = docs.withColumn("doc_id", F.lit(None).cast("long"))  # rows without an id are judged by their texts
+    assert Counter(r.text for r in corpus_pipeline.keep_clean(spark, docs.unionByName(without), SF).where("doc_id IS NULL").collect()) == Counter(r.text for r in clean.collect())
     packed = corpus_pipeline.run(spark, SF)
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_against_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want, got = con.sql(queries.ORACLE_SQL[name]), run(spark, name)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(want.fetchall())

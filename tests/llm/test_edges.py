@@ -53,6 +53,9 @@ def test_language(docs, none):
     assert all(got[k].lang_pred == "und" and got[k].score == 0 for k in (2, 3, 4, 9))
     assert got[6].lang_pred == "en" and 0 <= got[6].score <= 1
     assert language_id.train(none) is None
+    assert [r.lang_pred for r in language_id.predict(docs.sparkSession.createDataFrame([(1, "½ ²"), (2, "12 ③")], "doc_id long, text string"), model).collect()] == ["und", "und"]
+    short = docs.sparkSession.createDataFrame([(None, f"ab{i}", "xx") for i in range(50)], "doc_id long, text string, lang string")
+    assert language_id.train(short, sample_rows=10)["languages"] == ["xx"]  # short texts are learned, and a bound holds without ids
     assert language_id.predict(docs, None).where("lang_pred <> 'und'").count() == 0
     assert language_id.predict(none, model).count() == 0
 
