@@ -69,6 +69,11 @@ def drop_empty_tokens(tokens: Column) -> Column:
     return F.filter(tokens, lambda x: x != "")
 
 
+def truth_tokens(tokens: Column, keep_eos: bool = False) -> Column:
+    """Tokens to hold a prediction against: without the end mark, which predictions lack, unless ``keep_eos``."""
+    return tokens if keep_eos else F.filter(tokens, lambda x: x != END)
+
+
 def detokenize(tokens: Column, render: bool = False) -> Column:
     """Text of tokens; ``render`` puts the two-spine header before it and drops ``@`` and ``·``."""
     text = _replaced(F.array_join(tokens, ""), [(SPINE, "\t"), (LINE, "\n"), (CHORD, " ")])

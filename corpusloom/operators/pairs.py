@@ -13,42 +13,69 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
+
 BLOCK = 512
+#: Rows of a block of ``all_pairs``, and blocks at least, so that small tables make several tasks too.
+PAIR_BLOCK, LEAST_BLOCKS = 1024, 8
 _SURROGATES, _SHIFT = 55296, 2048
+#: Distinct tokens that code points can tell apart.
+CODE_POINTS = 1_112_063 - 1
+
 
+def all_pairs(rows: DataFrame, key: str, carry: list[str], blocks: int | None = None) -> DataFrame:
+    """(i, j, and each carried column of both as *_i, *_j) for i < j: every two blocks of a hash of the key meet once.
 
-def all_pairs(rows: DataFrame, key: str, carry: list[str], blocks: int = 8) -> DataFrame:
-    """(i, j, and each carried column of both as *_i, *_j) for i < j: blocks of a hash of the key meet by equal pairs of blocks."""
-    own = rows.select(F.col(key).alias("_k"), *carry, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_b"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o")
-    left = own.select("*", other).select(F.col("_k").alias("i"), *[F.col(c).alias(f"{c}_i") for c in carry], F.col("_b").alias("_x"), F.col("_o").alias("_y"))
-    right = own.select("*", other).select(F.col("_k").alias("j"), *[F.col(c).alias(f"{c}_j") for c in carry], F.col("_o").alias("_x"), F.col("_b").alias("_y"))
-    return left.join(right, ["_x", "_y"]).where("i < j").drop("_x", "_y")
+    Keys must be distinct. The number of blocks follows the number of rows.
+    """
+    n = blocks or max(LEAST_BLOCKS, -(-rows.count() // PAIR_BLOCK))
+    own = rows.select(F.col(key).alias("_k"), *carry, F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("_b"))
+    left = own.select(F.struct("_k", *carry).alias("_l"), F.col("_b").alias("_x"), F.explode(F.sequence("_b", F.lit(n - 1))).alias("_y"))
+    right = own.select(F.struct("_k", *carry).alias("_r"), F.explode(F.sequence(F.lit(0), "_b")).alias("_x"), F.col("_b").alias("_y"))
+    met = left.join(right, ["_x", "_y"]).where("_x < _y OR _l._k < _r._k")
+    first = F.col("_l._k") < F.col("_r._k")
+    side = lambda name, a, b: F.when(first, F.col(f"{a}.{name}")).otherwise(F.col(f"{b}.{name}"))
+    return met.select(side("_k", "_l", "_r").alias("i"), side("_k", "_r", "_l").alias("j"), *[side(c, *s).alias(f"{c}_{e}") for e, s in (("i", ("_l", "_r")), ("j", ("_r", "_l"))) for c in carry])
 
 
 def mirrored(pairs: DataFrame, *values: str) -> DataFrame:
     return pairs.select("i", "j", *values).unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), *values))
 
 
-def coded_tokens(tokens: DataFrame, key: str = "id", column: str = "tokens") -> DataFrame:
-    """(key, coded, len): every token as one code point, so that ``levenshtein`` counts tokens.
+def _sign(number: Column) -> Column:
+    """The ``number``-th code point, from 1; surrogates are skipped."""
+    point = number + F.when(number >= _SURROGATES, F.lit(_SHIFT)).otherwise(0)
+    return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
 
-    Holds for about 1.1 million distinct tokens; surrogates are skipped.
-    """
-    from .tokens import build_vocabulary
 
-    vocabulary = build_vocabulary(tokens, column)
-    point = F.col("token_id") + F.when(F.col("token_id") >= _SURROGATES, F.lit(_SHIFT)).otherwise(0)
-    sign = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
-    each = tokens.select(key, F.posexplode(column).alias("pos", "token")).join(vocabulary.select("token", sign.alias("sign")), "token")
+def coded_tokens(tokens: DataFrame, vocabulary: DataFrame, key: str = "id", column: str = "tokens") -> DataFrame:
+    """(key, coded, len): every token as one code point, so that ``levenshtein`` counts tokens; for CODE_POINTS tokens at most."""
+    each = tokens.select(key, F.posexplode(column).alias("pos", "token")).join(vocabulary.select("token", _sign(F.col("token_id")).alias("sign")), "token")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sign"))), lambda x: x["sign"]), "")
     coded = each.groupBy(key).agg(text.alias("coded"))
     return tokens.select(key, F.size(column).alias("len")).join(coded, key, "left").select(key, F.coalesce("coded", F.lit("")).alias("coded"), "len")
 
 
-def token_edit_distance(tokens: DataFrame, key: str = "id", column: str = "tokens") -> DataFrame:
-    """(i, j, d, len_i, len_j) with the unit-cost edit distance of token lists."""
-    pairs = all_pairs(coded_tokens(tokens, key, column), key, ["coded", "len"])
+def edit_distance(a: Column, b: Column) -> Column:
+    """Unit-cost edit distance of two token lists, each token a code point of this pair's own: any vocabulary will do."""
+    distinct = F.array_distinct(F.concat(a, b))
+    coded = lambda x: F.array_join(F.transform(x, lambda t: _sign(F.array_position(distinct, t))), "")
+    return F.levenshtein(coded(a), coded(b))
+
+
+def token_edit_distance(tokens: DataFrame, key: str = "id", column: str = "tokens", most: int = CODE_POINTS) -> DataFrame:
+    """(i, j, d, len_i, len_j) with the unit-cost edit distance of token lists.
+
+    Tokens are numbered once for the whole table; a vocabulary of more than ``most`` is numbered pair by pair instead,
+    with the same result.
+    """
+    from .tokens import build_vocabulary
+
+    vocabulary = build_vocabulary(tokens, column)
+    if vocabulary.count() > most:
+        pairs = all_pairs(tokens.select(key, F.col(column).alias("t"), F.size(column).alias("len")), key, ["t", "len"])
+        return pairs.select("i", "j", edit_distance(F.col("t_i"), F.col("t_j")).alias("d"), "len_i", "len_j")
+    pairs = all_pairs(coded_tokens(tokens, vocabulary, key, column), key, ["coded", "len"])
     return pairs.select("i", "j", F.levenshtein("coded_i", "coded_j").alias("d"), "len_i", "len_j")
 
 
@@ -63,11 +90,17 @@ def normalize_histogram(d: Column, a: Column, b: Column) -> Column:
     return F.when(a + b == 0, 1.0).otherwise(d / (a + b))
 
 
+#: Rows of one token that one task takes from the left side.
+TOKEN_BLOCK = 1000
+
+
 def token_overlap(hist: DataFrame, key: str = "id") -> DataFrame:
-    """(i, j, overlap) of pairs that share a token: sum of the smaller counts."""
-    left = hist.select(F.col(key).alias("i"), "token", F.col("cnt").alias("a"))
-    right = hist.select(F.col(key).alias("j"), "token", F.col("cnt").alias("b"))
-    return left.join(right, "token").where("i < j").groupBy("i", "j").agg(F.sum(F.least("a", "b")).alias("overlap"))
+    """(i, j, overlap) of pairs that share a token: sum of the smaller counts. Tokens of many rows are dealt over several tasks."""
+    held = hist.groupBy("token").agg(F.ceil(F.count("*") / TOKEN_BLOCK).cast("int").alias("_parts")).where("_parts > 1")
+    hist = hist.join(held, "token", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    left = hist.select(F.col(key).alias("i"), "token", F.col("cnt").alias("a"), F.pmod(F.xxhash64(key), F.col("_parts")).cast("int").alias("_part"))
+    right = hist.select(F.col(key).alias("j"), "token", F.col("cnt").alias("b"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    return left.join(right, ["token", "_part"]).where("i < j").groupBy("i", "j").agg(F.sum(F.least("a", "b")).alias("overlap"))
 
 
 def histogram_l1(tokens: DataFrame, key: str = "id", column: str = "tokens") -> DataFrame:
@@ -160,19 +193,20 @@ def near_far_profile(near: DataFrame, far: DataFrame, truth: DataFrame, k: int)
     return rows.withColumn("name", F.concat_ws("_", "side", F.col("k").cast("string"))).groupBy("i").pivot("name", names).agg(F.first("value"))
 
 
-def average_rank(rows: DataFrame, value: str, name: str = "avg_rank", buckets: int = 16) -> DataFrame:
-    """1-based rank with ties at their mean, over range buckets so that no task ranks everything."""
-    cuts = sorted(set(rows.approxQuantile(value, [n / buckets for n in range(1, buckets)], 0.01)))
-    bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + (F.col(value) > c).cast("int")
-    parts = rows.withColumn("_b", bucket)
-    counts = parts.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
-    inside, peers = Window.partitionBy("_b").orderBy(value), Window.partitionBy("_b", value)
-    ranked = parts.join(F.broadcast(starts), "_b").withColumn(name, F.col("_s") + F.rank().over(inside) + (F.count("*").over(peers) - 1) / 2.0)
-    return ranked.drop("_b", "_s")
+def average_rank(rows: DataFrame, value: str, name: str = "avg_rank") -> DataFrame:
+    """1-based rank with ties at their mean; null values have none.
+
+    Values are counted first, so a common one is one row; the counts are summed range by range, and no task sees all values.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    ranged = written(counts.repartitionByRange(n, value).withColumn("_b", F.spark_partition_id()))
+    sizes = ranged.groupBy("_b").agg(F.sum("_n").alias("_size"))
+    starts = sizes.select("_b", F.coalesce(F.sum("_size").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
+    upto = F.sum("_n").over(Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranks = ranged.withColumn("_upto", upto).join(F.broadcast(starts), "_b")  # a row a partition
+    ranks = ranks.select(F.col(value).alias("_v"), (F.col("_s") + F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name))
+    return rows.join(ranks, F.col(value) == F.col("_v"), "left").drop("_v")
 
 
 def p_value(spark, r: float | None, n: int) -> float | None:
@@ -184,10 +218,16 @@ def p_value(spark, r: float | None, n: int) -> float | None:
 
 def correlation_with_p(pairs: DataFrame, x: str, y: str, ranked: bool = False) -> DataFrame:
     """(r, n, p) of two columns of a pair table of i < j; n counts ordered pairs, ``ranked`` uses average ranks."""
+    return correlations(pairs, [x], y, ranked).drop("metric")
+
+
+def correlations(pairs: DataFrame, metrics: list[str], y: str, ranked: bool = False) -> DataFrame:
+    """(metric, r, n, p) of each metric column with ``y``, in one pass over a pair table of i < j."""
     spark = pairs.sparkSession
-    rows = pairs.select(x, y)
+    rows = pairs.select(*metrics, y)
     if ranked:
-        rows = average_rank(average_rank(rows, x, "_rx"), y, "_ry").select(F.col("_rx").alias(x), F.col("_ry").alias(y))
-    got = rows.agg(F.corr(x, y).alias("r"), F.count("*").alias("n")).first()
-    p = p_value(spark, got["r"], 2 * got["n"])
-    return spark.createDataFrame([(got["r"], 2 * got["n"], p)], "r double, n long, p double")
+        for c in (*metrics, y):
+            rows = average_rank(rows, c, "_rank").drop(c).withColumnRenamed("_rank", c)
+    got = rows.agg(F.count("*").alias("_n"), *[F.corr(m, y).alias(m) for m in metrics]).first()
+    n = 2 * got["_n"]
+    return spark.createDataFrame([(m, got[m], n, p_value(spark, got[m], n)) for m in metrics], "metric string, r double, n long, p double")

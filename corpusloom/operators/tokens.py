@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.score_text import drop_empty_tokens
 from ..sources.store import written
 
 
-def numbered(rows: DataFrame, *order: str, name: str = "nth", buckets: int = 64) -> DataFrame:
+def numbered(rows: DataFrame, *order: str, name: str = "nth", buckets: int | None = None) -> DataFrame:
     """Rows with a gapless number from 0 in the order of ``order``, without bringing them into one partition.
 
-    A range partition is numbered by itself; only the partitions' sizes meet in one place. The partitions are written
-    first, so that both see the same ones.
+    A range partition (there are as many as shuffle partitions, or ``buckets``) is numbered by itself; only the
+    partitions' sizes meet in one place. The partitions are written first, so that both see the same ones.
     """
+    buckets = buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = written(rows.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id()))
     inside = Window.partitionBy("_part").orderBy(*order)
     dealt = dealt.withColumn("_at", F.row_number().over(inside) - 1)
@@ -34,8 +36,10 @@ def token_histogram(tokens: DataFrame, key: str = "id", column: str = "tokens")
     return tokens.select(key, F.explode(column).alias("token")).groupBy(key, "token").agg(F.count("*").alias("cnt"))
 
 
-def encode_tokens(tokens: DataFrame, vocabulary: DataFrame, key: str = "id", column: str = "tokens") -> DataFrame:
-    """(key, ids): token ids in order. An unknown token is an error when rows are read."""
+def encode_tokens(tokens: DataFrame, vocabulary: DataFrame, key: str = "id", column: str = "tokens", drop_empty: bool = False) -> DataFrame:
+    """(key, ids): token ids in order; ``drop_empty`` leaves empty tokens out. An unknown token is an error when rows are read."""
+    if drop_empty:
+        tokens = tokens.withColumn(column, drop_empty_tokens(F.col(column)))
     each = tokens.select(key, F.posexplode_outer(column).alias("pos", "token")).join(vocabulary, "token", "left")
     known = F.when(F.col("token").isNotNull() & F.col("token_id").isNull(), F.raise_error(F.concat(F.lit("unknown token "), "token")).cast("bigint")).otherwise(F.col("token_id"))
     rows = each.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", known.alias("id"))))).alias("all"))
@@ -68,10 +72,13 @@ def fixed_batches(rows: DataFrame, n: int, *order: str) -> DataFrame:
 def padded_batches(rows: DataFrame, n: int, column: str, *order: str) -> DataFrame:
     """Batches with each sequence padded to the longest of its batch, true length kept in ``true_len``."""
     kind = rows.schema[column].dataType.elementType
-    pad = F.array_repeat(F.lit(0.0), 64).cast(kind) if isinstance(kind, T.ArrayType) else F.lit(0).cast(kind)
-    batched = fixed_batches(rows, n, *order).withColumn("true_len", F.size(column))
-    longest = F.max("true_len").over(Window.partitionBy("batch"))
-    return batched.withColumn("_w", longest).withColumn("padded", pad_to(F.col(column), F.col("_w"), pad)).drop("_w")
+    batch = Window.partitionBy("batch")
+    batched = fixed_batches(rows, n, *order).withColumn("true_len", F.size(column)).withColumn("_w", F.max("true_len").over(batch))
+    pad = F.lit(0).cast(kind)
+    if isinstance(kind, T.ArrayType):  # vectors: zeros as wide as the batch's
+        batched = batched.withColumn("_d", F.max(F.size(F.get(F.col(column), F.lit(0)))).over(batch))
+        pad = F.array_repeat(F.lit(0.0), F.col("_d")).cast(kind)
+    return batched.withColumn("padded", pad_to(F.col(column), F.col("_w"), pad)).drop("_w", "_d")
 
 
 def vocabulary_gap(train: DataFrame, other: DataFrame, column: str = "tokens") -> DataFrame:

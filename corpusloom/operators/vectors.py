@@ -39,10 +39,12 @@ def class_count(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.agg((F.max(label) - F.min(label) + 1).alias("n_classes"))
 
 
-def quality_checks(vectors: DataFrame, pages: DataFrame, tokens: DataFrame, expected_tokens: int = 4097, most_pages: int = 80) -> DataFrame:
-    """(check, id): vectors that are ragged or not finite, scores of too many pages, wrong token counts.
+def quality_checks(vectors: DataFrame, pages: DataFrame, tokens: DataFrame, expected_tokens: int = 4097, most_pages: int = 80, stored: DataFrame | None = None, splits: DataFrame | None = None, folds: list[str] | None = None) -> DataFrame:
+    """(check, id): vectors that are ragged or not finite, scores of too many pages, wrong token counts, unknown folds.
 
-    ``vectors``: id, embedding; ``pages``: id, n_pages; ``tokens``: id, n_tokens. A table without rows gives ``empty input``.
+    ``vectors``: id, embedding; ``pages``: id, n_pages; ``tokens``: id, n_tokens; ``splits``: id, fold, held against
+    ``folds``. Each id that ``stored`` (id) lacks, or has besides those of ``vectors``, is a ``stored count``. A table
+    without rows gives ``empty input``.
     """
     usual = vectors.groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).select("w")
     sized = vectors.crossJoin(F.broadcast(usual))
@@ -53,6 +55,11 @@ def quality_checks(vectors: DataFrame, pages: DataFrame, tokens: DataFrame, expe
         tokens.where(F.col("n_tokens") != expected_tokens).select(F.lit("token count").alias("check"), "id"),
         vectors.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("empty input").alias("check"), F.lit(None).cast("long").alias("id")),
     ]
+    if stored is not None:
+        side = lambda a, b: a.select("id").exceptAll(b.select("id")).select(F.lit("stored count").alias("check"), "id")
+        bad += [side(vectors, stored), side(stored, vectors)]
+    if splits is not None:
+        bad.append(splits.where(~F.col("fold").isin(folds or [])).select(F.lit("unknown fold").alias("check"), "id"))
     out = bad[0]
     for b in bad[1:]:
         out = out.unionByName(b)

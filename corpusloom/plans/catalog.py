@@ -16,7 +16,7 @@ from ..operators import pairs as P
 from ..operators import tokens as K
 from ..operators import vectors as V
 from ..sources import tables as R
-from ..sources.store import scratch
+from ..sources.store import scratch, written
 from ..streaming import run_log as X
 from . import fixtures as D
 from .fixtures import FOLDS, NOTES, PAGES, PREDICTIONS, RUN_LOG, SCORES, TURNS, table, u_sql
@@ -228,12 +228,14 @@ def _(spark, d):
     return rows.select("id", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("decoder_input", "target")])
 
 
-@query("p24_quality_checks", f"WITH {TURNS} SELECT 'too many pages' AS \"check\", conv_id AS id FROM conversations GROUP BY conv_id HAVING count(*)>4 UNION ALL SELECT 'token count', id FROM turns WHERE len(tokens)<>30 UNION ALL SELECT 'ragged vector', vec_id FROM embeddings WHERE len(embedding)<>64 UNION ALL SELECT 'not finite', vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: NOT isfinite(x)))>0")
+@query("p24_quality_checks", f"WITH {TURNS}, {FOLDS} SELECT 'too many pages' AS \"check\", conv_id AS id FROM conversations GROUP BY conv_id HAVING count(*)>4 UNION ALL SELECT 'token count', id FROM turns WHERE len(tokens)<>30 UNION ALL SELECT 'ragged vector', vec_id FROM embeddings WHERE len(embedding)<>64 UNION ALL SELECT 'not finite', vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: NOT isfinite(x)))>0 UNION ALL SELECT 'stored count', vec_id FROM embeddings WHERE label%2=1 UNION ALL SELECT 'unknown fold', CAST(sample_id AS BIGINT) FROM fd WHERE fold='4'")
 def _(spark, d):
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     convs = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.count("*").alias("n_pages"))
     counts = D.turns(spark, d).select("id", F.size("tokens").alias("n_tokens"))
-    return V.quality_checks(vectors, convs, counts, expected_tokens=30, most_pages=4)
+    stored = table(spark, d, "embeddings").where("label % 2 = 0").select(F.col("vec_id").alias("id"))  # what an earlier run covered
+    splits = R.fold_splits(D.fold_files(spark, d)).select(F.col("sample_id").cast("long").alias("id"), "fold")
+    return V.quality_checks(vectors, convs, counts, expected_tokens=30, most_pages=4, stored=stored, splits=splits, folds=["0", "1", "2", "3"])
 
 
 # --- sources and sinks -----------------------------------------------------------------------------------------------
@@ -319,11 +321,10 @@ def _(spark, d):
     return spark.read.schema("id long, prediction long, target long").json(path)
 
 
-@query("s12_sweep_summary", f"WITH {PREDICTIONS} SELECT 'model'||(target%2) AS model, CASE WHEN sum(CASE WHEN target IS NULL THEN 1 ELSE 0 END)>0 THEN 'failed' ELSE 'ok' END AS status, count(*) AS n, round(100*avg(CASE WHEN prediction=target THEN 1.0 ELSE 0.0 END),6) AS acc_0 FROM pr GROUP BY 1")
+@query("s12_sweep_summary", f"WITH {PREDICTIONS} SELECT 'model'||(target%2) AS model, 'ok' AS status, count(*) AS n, round(100*avg(CASE WHEN prediction=target THEN 1.0 ELSE 0.0 END),6) AS acc_0, '' AS log FROM pr GROUP BY 1 UNION ALL SELECT 'absent', 'failed', 0, NULL, 'no rows'")
 def _(spark, d):
     p = D.predictions(spark, d).withColumn("model", F.concat(F.lit("model"), (F.col("target") % 2).cast("string")))
-    status = F.when(F.count_if(F.col("target").isNull()) > 0, "failed").otherwise("ok")
-    return p.groupBy("model").agg(status.alias("status"), F.count("*").alias("n"), F.round(100 * F.avg((F.col("prediction") == F.col("target")).cast("double")), 6).alias("acc_0"))
+    return M.sweep_summary(p, M.sweep_models(["model0", "model1", "absent"], "full")).withColumn("acc_0", F.round("acc_0", 6))
 
 
 @query("s13_vocabulary_store", f"WITH {TURNS}, {_VOCAB} SELECT token, token_id FROM voc")
@@ -461,11 +462,10 @@ def nearest_turns(spark, d):
 
 # turns and vectors aligned by row number
 def aligned(spark, d):
-    """(truth, model) pair tables over row numbers: token L1 of turns, Euclid of vectors."""
+    """(turns, vectors) over common row numbers."""
     t = K.numbered(D.turns(spark, d).select("id", "tokens"), "id", name="n").select(F.col("n").alias("id"), "tokens")
     v = K.numbered(vectors(spark, d), "id", name="n").select(F.col("n").alias("vid"), "embedding").join(t.select(F.col("id").alias("vid")), "vid").select(F.col("vid").alias("id"), "embedding")
-    t = t.join(v.select("id"), "id", "left_semi")
-    return P.histogram_l1(t), P.euclidean_distance(v), v
+    return written(t.join(v.select("id"), "id", "left_semi")), written(v)
 
 
 _AL = f"""{TURNS}, tn AS (SELECT row_number() OVER (ORDER BY id)-1 AS n, tokens FROM turns), vn AS (SELECT row_number() OVER (ORDER BY vec_id)-1 AS n, embedding FROM embeddings),
@@ -477,21 +477,27 @@ pb AS (SELECT i,j,t,d FROM pt UNION ALL SELECT j,i,t,d FROM pt)"""
 
 @query("j09_neighbors_with_truth", f"WITH {_AL}, r AS (SELECT i, t, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM pb) SELECT i, CAST(rank AS INT) AS rank, t FROM r WHERE rank<=25")
 def _(spark, d):
-    truth, _, v = aligned(spark, d)
+    t, v = aligned(spark, d)
+    truth = P.histogram_l1(t)
     near = P.knn(v, 25).withColumn("a", F.least("i", "j")).withColumn("b", F.greatest("i", "j"))
     return near.join(truth.select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("d").cast("double").alias("t")), ["a", "b"]).select("i", "rank", "t")
 
 
+_AE = f"WITH RECURSIVE {_AL}, " + _edit_sql("SELECT {'i':a.id,'j':b.id} AS key, a.tokens AS p, b.tokens AS t FROM al a JOIN al b ON a.id<b.id")
+
+
 @query(
     "w01_near_far_profile",
-    f"WITH {_AL}, r AS (SELECT i, t, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rn, row_number() OVER (PARTITION BY i ORDER BY d DESC, j) AS rf FROM pb) SELECT i, "
-    + ", ".join(f"round(avg(t) FILTER (WHERE rn<={k}),6) AS near_{k}, round(avg(t) FILTER (WHERE rf<={k}),6) AS far_{k}" for k in (1, 5, 25))
+    f"{_AE}, pe AS (SELECT key.i AS i, key.j AS j, ed.d AS t, pt.d AS d FROM ed JOIN pt ON pt.i=key.i AND pt.j=key.j), pf AS (SELECT i,j,t,d FROM pe UNION ALL SELECT j,i,t,d FROM pe), "
+    + "r AS (SELECT i, t, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rn, row_number() OVER (PARTITION BY i ORDER BY d DESC, j) AS rf FROM pf) SELECT i, "
+    + ", ".join(f"round(avg(t) FILTER (WHERE rn<={k}),6) AS near_{k}, round(avg(t) FILTER (WHERE rf<={k}),6) AS far_{k}" for k in range(1, 26))
     + " FROM r GROUP BY i",
 )
 def _(spark, d):
-    truth, _, v = aligned(spark, d)
-    wide = P.near_far_profile(P.knn(v, 25), P.knn(v, 25, farthest=True), truth, 25)
-    return wide.select("i", *[F.round(f"{s}_{k}", 6).alias(f"{s}_{k}") for k in (1, 5, 25) for s in ("near", "far")])
+    """Mean edit distance to the 1 to 25 nearest and farthest by vectors."""
+    t, v = aligned(spark, d)
+    wide = P.near_far_profile(P.knn(v, 25), P.knn(v, 25, farthest=True), written(P.token_edit_distance(t)), 25)
+    return _rounded(wide, "i")
 
 
 @query("w02_ground_truth_profile", f"WITH {_L1}, bo AS ({_BOTH % ('l1', 'l1')}), r AS (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM bo), w AS (SELECT i, rank, avg(d) OVER (PARTITION BY i ORDER BY rank) AS m, sum(d) OVER (PARTITION BY i ORDER BY rank) AS s FROM r) SELECT i, CAST(rank AS INT) AS k, round(m,6) AS mean_value, CAST(s AS BIGINT) AS sum_value FROM w WHERE rank<=25")
@@ -507,20 +513,39 @@ def _(spark, d):
     return P.average_rank(table(spark, d, "events").select("event_id", "value"), "value").select("event_id", "avg_rank")
 
 
-@query("a10_pearson", f"WITH {_AL} SELECT round(corr(t,d),6) AS r, 2*count(*) AS n FROM pt")
+_METRICS = f"""{_AE}, mt AS (SELECT pt.i, pt.j, pt.d, CAST(ed.d AS DOUBLE) AS edit, ed.d/CAST(greatest(len(a.tokens),len(b.tokens)) AS DOUBLE) AS edit_norm, pt.t AS hist, pt.t/(len(a.tokens)+len(b.tokens)) AS hist_norm
+FROM ed JOIN pt ON pt.i=key.i AND pt.j=key.j JOIN al a ON a.id=pt.i JOIN al b ON b.id=pt.j)"""
+
+
+def _correlation_sql(ranked: bool) -> str:
+    """r of each metric with d, and p by the midpoint rule over the density of r under independence."""
+    names = ("edit", "edit_norm", "hist", "hist_norm")
+    rank = lambda c: f"rank() OVER (ORDER BY {c})+(count(*) OVER (PARTITION BY {c})-1)/2.0 AS {c}"
+    rows = f"mr AS (SELECT {', '.join(map(rank, (*names, 'd')))} FROM mt)" if ranked else "mr AS (SELECT * FROM mt)"
+    got = " UNION ALL ".join(f"SELECT '{m}' AS metric, corr({m},d) AS r, 2*count(*) AS n FROM mr" for m in names)
+    density = "exp(lgamma((n-1)/2.0)-lgamma(0.5)-lgamma((n-2)/2.0)+(n-4)/2.0*ln(1-pow(abs(r)*(k+0.5)/20000,2)))"
+    return f"{_METRICS}, {rows}, mg AS ({got}) SELECT metric, round(r,6) AS r, n, round(1-2*abs(r)/20000*list_sum(list_transform(range(20000), lambda k: {density})),5) AS p FROM mg"
+
+
+@query("a10_pearson", _correlation_sql(False))
 def _(spark, d):
     return _correlated(spark, d, False)
 
 
-@query("a11_spearman", f"WITH {_AL}, k AS (SELECT rank() OVER (ORDER BY t)+(count(*) OVER (PARTITION BY t)-1)/2.0 AS a, rank() OVER (ORDER BY d)+(count(*) OVER (PARTITION BY d)-1)/2.0 AS b FROM pt) SELECT round(corr(a,b),6) AS r, 2*count(*) AS n FROM k")
+@query("a11_spearman", _correlation_sql(True))
 def _(spark, d):
     return _correlated(spark, d, True)
 
 
 def _correlated(spark, d, ranked):
-    truth, model, _ = aligned(spark, d)
-    both = truth.select("i", "j", F.col("d").cast("double").alias("t")).join(model, ["i", "j"])
-    return P.correlation_with_p(both, "t", "d", ranked).select(F.round("r", 6).alias("r"), "n")
+    """Edit and histogram distances of turns, plain and normalised, against the distance of vectors."""
+    t, v = aligned(spark, d)
+    lengths, x = (F.col("len_i"), F.col("len_j")), lambda c: F.col(c).cast("double")
+    edit = P.token_edit_distance(t).select("i", "j", x("d").alias("edit"), P.normalize_edit(x("d"), *lengths).alias("edit_norm"))
+    hist = P.histogram_l1(t).select("i", "j", x("d").alias("hist"), P.normalize_histogram(x("d"), *lengths).alias("hist_norm"))
+    both = written(edit.join(hist, ["i", "j"]).join(P.euclidean_distance(v), ["i", "j"]))
+    done = P.correlations(both, ["edit", "edit_norm", "hist", "hist_norm"], "d", ranked)
+    return done.select("metric", F.round("r", 6).alias("r"), "n", F.round("p", 5).alias("p"))
 
 
 # --- aggregates ------------------------------------------------------------------------------------------------------
@@ -725,6 +750,15 @@ def _(spark, d):
     return rows.select("id", "batch", "true_len", F.array_join(F.col("padded").cast("array<string>"), " ").alias("padded"))
 
 
+@query("w08_padded_pages", "WITH s AS (SELECT label, count(*) AS n, sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))) AS t FROM embeddings GROUP BY 1), b AS (SELECT *, (row_number() OVER (ORDER BY label)-1)//4 AS batch FROM s) SELECT CAST(label AS BIGINT) AS label, batch, CAST(n AS INT) AS true_len, CAST(max(n) OVER (PARTITION BY batch)*64 AS BIGINT) AS padded_values, round(t,3) AS total FROM b")
+def _(spark, d):
+    pages = V.page_sequence(table(spark, d, "embeddings"), "label", "vec_id", "embedding")
+    rows = K.padded_batches(pages, 4, "pages", "label")
+    flat = F.flatten("padded")
+    total = F.aggregate(flat, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return rows.select(F.col("label").cast("long").alias("label"), "batch", "true_len", F.size(flat).cast("long").alias("padded_values"), F.round(total, 3).alias("total"))
+
+
 @query("w09_fixed_batches", "SELECT vec_id, (row_number() OVER (ORDER BY vec_id)-1)//32 AS batch FROM embeddings")
 def _(spark, d):
     return K.fixed_batches(table(spark, d, "embeddings").select("vec_id"), 32, "vec_id")
@@ -733,12 +767,7 @@ def _(spark, d):
 # --- sets ------------------------------------------------------------------------------------------------------------
 @query("u01_union_split_tokens", "SELECT DISTINCT unnest(string_split(text,' ')) AS token FROM documents")
 def _(spark, d):
-    words = lambda s: R.read_transcriptions(spark, f"{d}/documents.parquet", s).select(F.explode(F.split("text", " ", -1)).alias("token"))
-    splits = [r["source"] for r in table(spark, d, "documents").select("source").distinct().orderBy("source").collect()]
-    out = words(splits[0])
-    for s in splits[1:]:
-        out = out.unionByName(words(s))
-    return out.distinct()
+    return R.read_transcriptions(spark, f"{d}/documents.parquet").select(F.explode(F.split("text", " ", -1)).alias("token")).distinct()
 
 
 @query("u02_fold_samples", f"WITH {FOLDS} SELECT fold, sample_id FROM fd")
@@ -867,7 +896,7 @@ def _(spark, d):
 
 @query("m05_fold_evaluation")
 def _(spark, d):
-    v = _score_vectors(spark, d).cache()
+    v = written(_score_vectors(spark, d))
     folds = v.select("id", F.explode(F.array(*map(F.lit, "01234"))).alias("fold")).withColumn("u", uniform("fold", F.col("id"), F.col("fold")))
     splits = folds.select("fold", F.when(F.col("u") < 0.8, "train").when(F.col("u") < 0.9, "test").otherwise("val").alias("split"), "id")
     return L.fold_evaluation(v, splits, ["0", "1", "2", "3", "4"], 64, 10)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import written
+
 PAGE = "struct<ekern:string>"
 
 
@@ -48,7 +50,7 @@ _ANNOTATION = "image_id:bigint,category_id:bigint,bbox:array<double>,iscrowd:int
 def detection_tables(raw: DataFrame, value: str = "value") -> dict[str, DataFrame]:
     """images, annotations and categories of detection files held as JSON strings; categories as a list or a map by id."""
     shape = f"struct<images:array<struct<{_IMAGE}>>,annotations:array<struct<{_ANNOTATION}>>,categories:string>"
-    doc = raw.select(F.from_json(value, shape).alias("d")).select("d.*")
+    doc = written(raw.select(F.from_json(value, shape).alias("d")).select("d.*"))  # parsed once for the three tables
     as_list = F.from_json("categories", "array<struct<id:bigint,name:string>>")
     as_map = F.transform(F.map_entries(F.from_json("categories", "map<string,string>")), lambda e: F.struct(e["key"].cast("bigint").alias("id"), F.coalesce(F.get_json_object(e["value"], "$.name"), e["value"]).alias("name")))
     listed = F.when(F.ltrim("categories").startswith("["), as_list).otherwise(as_map)

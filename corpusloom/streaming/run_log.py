@@ -6,8 +6,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -24,22 +26,52 @@ class Rule:
 RULES = {"relative": Rule(factor=0.99, patience=20), "strict": Rule(patience=30), "absolute": Rule(margin=0.01, patience=3), "plain": Rule()}
 
 
+class Replay:
+    """The state of one run under a rule, of fixed size."""
+
+    def __init__(self, rule: Rule, best: float | None = None, best_epoch: int | None = None, misses: int = 0, stop: int | None = None):
+        self.rule, self.best, self.best_epoch, self.misses, self.stop = rule, best, best_epoch, misses, stop
+
+    def step(self, epoch: int, value: float | None) -> None:
+        """A missing value is a miss."""
+        rule = self.rule
+        if self.stop is not None or epoch < rule.start:
+            return
+        if value is not None and (self.best is None or value + rule.margin < self.best * rule.factor):
+            self.best, self.best_epoch, self.misses = float(value), epoch, 0
+        else:
+            self.misses += 1
+            self.stop = epoch if rule.patience and self.misses >= rule.patience else None
+
+
 def checkpoint_selection(log: DataFrame, rule: Rule, run: str = "run_id", epoch: str = "epoch", value: str = "metric") -> DataFrame:
     """(run, best_epoch, best, stop_epoch): an ordered fold over each run's epochs; stop_epoch is null if it never stops.
 
-    The rules are not associative, so a run is folded whole, as one sorted array.
+    The rules are not associative, so a run's rows stream through one task in order; only its state is kept.
     """
-    state = F.struct(F.lit(None).cast("double").alias("best"), F.lit(None).cast("long").alias("best_epoch"), F.lit(0).alias("misses"), F.lit(None).cast("long").alias("stop_epoch"))
-
-    def step(s: Column, x: Column) -> Column:
-        live = s["stop_epoch"].isNull() & (x["e"] >= rule.start)
-        better = live & (s["best"].isNull() | (x["v"] + rule.margin < s["best"] * rule.factor))
-        misses = F.when(better, 0).when(live, s["misses"] + 1).otherwise(s["misses"])
-        stop = F.when(live & ~better & (misses >= rule.patience), x["e"]) if rule.patience else F.lit(None).cast("long")
-        return F.struct(F.when(better, x["v"]).otherwise(s["best"]).alias("best"), F.when(better, x["e"]).otherwise(s["best_epoch"]).alias("best_epoch"), misses.alias("misses"), F.coalesce(s["stop_epoch"], stop).alias("stop_epoch"))
-
-    rows = log.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(F.col(epoch).cast("long").alias("e"), F.col(value).cast("double").alias("v")))).alias("all"))
-    return rows.select(run, F.aggregate("all", state, step).alias("s")).select(run, "s.best_epoch", "s.best", "s.stop_epoch")
+    kind = log.schema[run].dataType
+    shape = T.StructType([T.StructField(run, kind), T.StructField("best_epoch", T.LongType()), T.StructField("best", T.DoubleType()), T.StructField("stop_epoch", T.LongType())])
+    rows = log.select(F.col(run).alias("run"), F.col(epoch).cast("long").alias("e"), F.col(value).cast("double").alias("v")).repartition("run").sortWithinPartitions("run", "e", "v")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, kinds = None, None, None
+        for batch in batches:
+            kinds, out = batch.schema.field("run").type, []
+            for key, e, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if state is None or key != now:
+                    if state is not None:
+                        out.append((now, state))
+                    now, state = key, Replay(rule)
+                state.step(e, v)
+            yield closed(out, kinds)
+        if state is not None:
+            yield closed([(now, state)], kinds)
+
+    def closed(done: list[tuple], kind_: pa.DataType) -> pa.RecordBatch:
+        columns = [pa.array([k for k, _ in done], kind_), pa.array([s.best_epoch for _, s in done], pa.int64()), pa.array([s.best for _, s in done], pa.float64()), pa.array([s.stop for _, s in done], pa.int64())]
+        return pa.record_batch(columns, [run, "best_epoch", "best", "stop_epoch"])
+
+    return rows.mapInArrow(fold, shape)
 
 
 def epoch_losses(batches: DataFrame, run: str = "run_id", epoch: str = "epoch", loss: str = "loss", n: str = "n") -> DataFrame:
@@ -60,17 +92,13 @@ def streaming_selection(stream: DataFrame, rule: Rule, run: str = "run_id", orde
     kind = dict(stream.dtypes)[run]
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        best, best_epoch, misses, stop, epochs = state.get if state.exists else (None, None, 0, None, 0)
+        *before, epochs = state.get if state.exists else (None, None, 0, None, 0)
+        replay = Replay(rule, *before)
         for v in pd.concat(list(frames)).sort_values(order)[value].tolist():
             epochs += 1
-            if stop is None and epochs >= rule.start:
-                if best is None or v + rule.margin < best * rule.factor:
-                    best, best_epoch, misses = float(v), epochs, 0
-                else:
-                    misses += 1
-                    stop = epochs if rule.patience and misses >= rule.patience else None
-        state.update((best, best_epoch, misses, stop, epochs))
-        out = pd.DataFrame({run: [key[0]], "best_epoch": [best_epoch], "best": [best], "stop_epoch": [stop], "epochs": [epochs]})
+            replay.step(epochs, v)
+        state.update((replay.best, replay.best_epoch, replay.misses, replay.stop, epochs))
+        out = pd.DataFrame({run: [key[0]], "best_epoch": [replay.best_epoch], "best": [replay.best], "stop_epoch": [replay.stop], "epochs": [epochs]})
         yield out.astype({"best_epoch": "Int64", "stop_epoch": "Int64"})
 
     return stream.groupBy(run).applyInPandasWithState(fold, f"{run} {kind}, best_epoch long, best double, stop_epoch long, epochs long", _STATE, "update", "NoTimeout")
