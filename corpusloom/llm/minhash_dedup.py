@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_words import mix, random_words, shingles_of, text_slices, words_of
-from .durable import durable, read_table
+from .durable import durable, read_table, release
 
 WORDS = 5
 COORDINATES = 256
@@ -169,6 +169,7 @@ def components(edges: DataFrame) -> DataFrame:
     one, then its smaller ones do. A node's neighbours are only ever aggregated to their minimum; each step is written.
     """
     edges = durable(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    before = _summary(edges)
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -179,9 +180,17 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u")
         new = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
         new = durable(new.distinct(), "edges")
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
-            return new.select(F.col("u").alias("node"), F.col("v").alias("component")).union(new.select("v", "v").distinct())
-        edges = new
+        release(edges)
+        edges, now = new, _summary(new)
+        if now == before:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+        before = now
+
+
+def _summary(edges: DataFrame) -> tuple:
+    """Count and two sums over distinct edges: the same for the same edges."""
+    mixed = [F.sum(F.xxhash64(F.lit(k), "u", "v").cast("decimal(38,0)")) for k in (1, 2)]
+    return tuple(edges.agg(F.count("*"), *mixed).first())
 
 
 class _Forest:
@@ -270,9 +279,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", word
     found = durable(components(links.union(links2)), "components") if not links2.isEmpty() else found
 
     known = classes.join(found, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(known, ["set_a", "set_b"], "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    out = out.withColumn("component_id", F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")))
+    rows = signed.select("doc_id", "n_shingles", "set_a", "set_b")
+    alone = rows.where(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = rows.where(linked).join(known, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", "component_id").unionByName(alone)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
