@@ -182,3 +182,42 @@ def test_entry_without_llm():
 
     code = "import sys; sys.modules['corpusloom.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q) and set(e.oracle_sql()) <= set(q)"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True, cwd=__file__.rpartition("/tests/")[0]).returncode == 0
+
+
+def test_edit_distance_of_any_vocabulary(spark):
+    """Numbered pair by pair, tokens give the same distances as numbered once for the table."""
+    rows = spark.createDataFrame([(i, [f"t{(i * k) % 7}" for k in range(i % 9)]) for i in range(30)], "id long, tokens array<string>")
+    assert sorted(map(tuple, P.token_edit_distance(rows).collect())) == sorted(map(tuple, P.token_edit_distance(rows, most=2).collect()))
+
+
+def test_hot_tokens(spark, monkeypatch):
+    """A token that many rows share is dealt over several tasks with the same result."""
+    hist = spark.createDataFrame([(i, t, 1 + i % 3) for i in range(60) for t in ("all", f"t{i % 5}")], "id long, token string, cnt long")
+    want = sorted(map(tuple, P.token_overlap(hist).collect()))
+    monkeypatch.setattr(P, "TOKEN_BLOCK", 7)
+    assert sorted(map(tuple, P.token_overlap(hist).collect())) == want and len(want) == 60 * 59 // 2
+
+
+def test_sweep(spark):
+    rows = spark.createDataFrame([("a", 1, 1), ("a", 2, 1), ("b", None, 1), ("c", 3, 3)], "model string, target int, prediction int")
+    got = {r.model: (r.status, r.n, r.acc_0) for r in M.sweep_summary(rows, ["a", "b", "absent"]).collect()}
+    assert got == {"a": ("ok", 2, 50.0), "b": ("failed", 1, None), "absent": ("failed", 0, None)}
+    with pytest.raises(Exception, match="absent: no rows"):
+        M.sweep_summary(rows, ["a", "absent"], stop_on_error=True).collect()
+    assert M.sweep_models(list("wxyz"), "light") == ["w"] and M.sweep_models(list("wxyz"), "default") == list("wxy") and M.sweep_models(list("wxyz"), "full") == list("wxyz")
+    with pytest.raises(ValueError, match="unknown preset"):
+        M.sweep_models([], "huge")
+
+
+def test_vector_padding(spark):
+    rows = spark.createDataFrame([(1, [[1.0, 2.0, 3.0]]), (2, [[1.0, 1.0, 1.0], [2.0, 2.0, 2.0]])], "id long, pages array<array<double>>")
+    got = {r.id: r.padded for r in K.padded_batches(rows, 2, "pages", "id").collect()}
+    assert got == {1: [[1.0, 2.0, 3.0], [0.0, 0.0, 0.0]], 2: [[1.0, 1.0, 1.0], [2.0, 2.0, 2.0]]}
+
+
+def test_end_marks_and_empty_tokens(spark):
+    assert array_of(spark, S.truth_tokens, ["a", "<eos>"]) == ["a"]
+    assert array_of(spark, lambda t: S.truth_tokens(t, keep_eos=True), ["a", "<eos>"]) == ["a", "<eos>"]
+    rows = spark.createDataFrame([(1, ["a", "", "b"])], "id long, tokens array<string>")
+    vocabulary = spark.createDataFrame([("", 1), ("a", 2), ("b", 3)], "token string, token_id long")
+    assert K.encode_tokens(rows, vocabulary).first().ids == [2, 1, 3] and K.encode_tokens(rows, vocabulary, drop_empty=True).first().ids == [2, 3]
