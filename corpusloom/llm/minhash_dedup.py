@@ -31,8 +31,9 @@ BANDS, ROWS = 36, 7
 #: Pairs whose sketches agree on a smaller share than the limit less this are not looked at closer: 4.5 standard
 #: deviations of the agreement of a pair at the limit.
 SLACK = 0.1
-#: Nodes of a bucket in one task.
+#: Nodes of a bucket, and shingles of their sets, in one block; a set that is larger by itself is a block's only large one.
 BLOCK = 1500
+BLOCK_SHINGLES = 4_000_000
 #: Size of the bitmap that tells which texts need not be read again; 4 MB as rows.
 FILTER_BITS = 1 << 24
 
@@ -253,10 +254,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", word
     classes = durable(classes, "classes")
     # one row a class: copies are met again only through the class
     nodes = live.join(classes.withColumnRenamed("set_a", "a").withColumnRenamed("set_b", "b"), (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b")) & (F.col("doc_id") == F.col("node")), "left_semi")
-    nodes = nodes.select(F.col("doc_id").alias("node"), "bands", "sketch").dropDuplicates(["node"])
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.min("node").alias("center"), F.count("*").alias("size")).where("size > 1")
-    shared = durable(banded.join(buckets, ["band", "key"]), "buckets")
+    nodes = nodes.select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sketch").dropDuplicates(["node"])
+    banded = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    buckets = banded.groupBy("band", "key").agg(F.min("node").alias("center"), F.count("*").alias("size"), F.sum("n_shingles").alias("shingles")).where("size > 1")
+    blocks = F.least("size", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES))).cast("int")
+    buckets = buckets.select("band", "key", "center", "size", blocks.alias("blocks"))
+    shared = durable(banded.drop("n_shingles").join(buckets, ["band", "key"]), "buckets")
 
     sketches = durable(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "sketch"), "sketches")
     stars = shared.where("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
@@ -288,8 +291,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", word
 
 def _links_in_blocks(labelled: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between the nodes of each bucket: every block by itself, then, of larger buckets, every two blocks."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    spread = labelled.select("band", "key", "node", "component", blocks.alias("n"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
+    spread = labelled.select("band", "key", "node", "component", F.col("blocks").alias("n"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"))
     # a pair of blocks (x, y), x <= y, is one task; a node goes to the pairs of its own block
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     spread = spread.select("band", "key", "node", "component", "n", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.col("own").alias("side"))

@@ -100,7 +100,8 @@ def test_op3(spark, texts):
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == {(i, len(sets[i]), c, c == i) for i, c in want.items()}
 
 
-def test_near_copies_of_all_degrees(spark, monkeypatch):
+@pytest.mark.parametrize("bound, size", [("BLOCK", 20), ("BLOCK_SHINGLES", 3000)])
+def test_near_copies_of_all_degrees(spark, monkeypatch, bound, size):
     rng = np.random.default_rng(3)
     base = [f"w{k}" for k in range(150)]
     rows = []
@@ -109,7 +110,7 @@ def test_near_copies_of_all_degrees(spark, monkeypatch):
         for k in rng.choice(150, rng.integers(0, 14), replace=False):
             w[k] = f"x{rng.integers(9_999)}"
         rows.append((i, " ".join(w)))
-    monkeypatch.setattr(minhash_dedup, "BLOCK", 20)  # several blocks a bucket
+    monkeypatch.setattr(minhash_dedup, bound, size)  # several blocks a bucket
     want = brute_components({i: shingles(t) for i, t in rows}, 85)
     got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()
     assert {r.doc_id: r.component_id for r in got} == want and len(set(want.values())) > 5
