@@ -508,6 +508,19 @@ def _(spark, d):
     return mean.select("i", "k", F.round("value", 6).alias("mean_value")).join(total.select("i", "k", F.col("value").cast("long").alias("sum_value")), ["i", "k"])
 
 
+@query(
+    "s10_profile_report",
+    f"WITH {_L1}, bo AS ({_BOTH % ('l1', 'l1')}), r AS (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rn, row_number() OVER (PARTITION BY i ORDER BY d DESC, j) AS rf FROM bo) SELECT CAST(i AS VARCHAR) AS i, "
+    + ", ".join(f"replace(printf('%.4f', CAST(avg(d) FILTER (WHERE {n}<={k}) AS DOUBLE)),'.',',') AS {s}_{k}" for k in range(1, 26) for s, n in (("near", "rn"), ("far", "rf")))
+    + " FROM r GROUP BY i",
+)
+def _(spark, d):
+    """The wide profile of token L1 to the 1 to 25 nearest and farthest turns, as a report file."""
+    truth, path = written(P.histogram_l1(D.turns(spark, d))), scratch(spark)
+    R.write_decimal_comma_csv(P.near_far_profile(P.neighbours(truth, 25), P.neighbours(truth, 25, farthest=True), truth, 25), path)
+    return spark.read.option("sep", ";").option("header", True).csv(path)
+
+
 @query("w03_average_rank", "SELECT event_id, rank() OVER (ORDER BY value)+(count(*) OVER (PARTITION BY value)-1)/2.0 AS avg_rank FROM events")
 def _(spark, d):
     return P.average_rank(table(spark, d, "events").select("event_id", "value"), "value").select("event_id", "avg_rank")
@@ -880,7 +893,8 @@ def _(spark, d):
 
 @query("m03_margin_classify")
 def _(spark, d):
-    return _rounded(M.f_scores(L.fit_predict(*_halves(spark, d), L.margin())))
+    train, test = map(written, L.rbf_features(*_halves(spark, d)))
+    return _rounded(M.f_scores(L.fit_predict(train, test, L.margin())))
 
 
 def _score_vectors(spark, d):
@@ -900,3 +914,16 @@ def _(spark, d):
     folds = v.select("id", F.explode(F.array(*map(F.lit, "01234"))).alias("fold")).withColumn("u", uniform("fold", F.col("id"), F.col("fold")))
     splits = folds.select("fold", F.when(F.col("u") < 0.8, "train").when(F.col("u") < 0.9, "test").otherwise("val").alias("split"), "id")
     return L.fold_evaluation(v, splits, ["0", "1", "2", "3", "4"], 64, 10)
+
+
+@query("m05_fold_choice", f"""WITH {FOLDS}, {PREDICTIONS}, cd AS (SELECT id, 5 AS max_iter, prediction AS p, target AS t FROM pr UNION ALL SELECT id, 15, (prediction+id%3)%10, target FROM pr),
+g AS (SELECT fold, max_iter, split, 100*avg(CASE WHEN p=t THEN 1.0 ELSE 0.0 END) AS acc_0, 100*avg(CASE WHEN abs(p-t)<=1 THEN 1.0 ELSE 0.0 END) AS acc_1, avg(CAST((p-t)*(p-t) AS DOUBLE)) AS mse, avg(CAST(abs(p-t) AS DOUBLE)) AS mean_dist
+FROM cd JOIN fd ON CAST(sample_id AS BIGINT)=id GROUP BY 1,2,3), r AS (SELECT g.*, row_number() OVER (PARTITION BY g.fold ORDER BY v.mse NULLS LAST, g.max_iter) AS q FROM g LEFT JOIN g v ON v.fold=g.fold AND v.max_iter=g.max_iter AND v.split='val' WHERE g.split='test')
+SELECT fold, max_iter, round(acc_0,6) AS acc_0, round(acc_1,6) AS acc_1, round(mse,6) AS mse, round(mean_dist,6) AS mean_dist FROM r WHERE q=1""")
+def _(spark, d):
+    """How a fold's candidate is chosen and reported, for two candidates whose predictions are given."""
+    p = D.predictions(spark, d)
+    second = p.withColumn("prediction", (F.col("prediction") + F.col("id") % 3) % 10)
+    both = p.withColumn("max_iter", F.lit(5)).unionByName(second.withColumn("max_iter", F.lit(15)))
+    splits = R.fold_splits(D.fold_files(spark, d)).select(F.col("sample_id").cast("long").alias("id"), "fold", "split")
+    return _rounded(L.chosen_by_validation(both.join(splits, "id")), "fold", "max_iter")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import score_text as S
 from corpusloom.functions.uniform import uniform
 from corpusloom.operators import generation as G
+from corpusloom.operators import learning as L
 from corpusloom.operators import metrics as M
 from corpusloom.operators import pairs as P
 from corpusloom.operators import tokens as K
@@ -221,3 +222,30 @@ def test_end_marks_and_empty_tokens(spark):
     rows = spark.createDataFrame([(1, ["a", "", "b"])], "id long, tokens array<string>")
     vocabulary = spark.createDataFrame([("", 1), ("a", 2), ("b", 3)], "token string, token_id long")
     assert K.encode_tokens(rows, vocabulary).first().ids == [2, 1, 3] and K.encode_tokens(rows, vocabulary, drop_empty=True).first().ids == [2, 3]
+
+
+def test_kernel_features(spark):
+    """Inner products come close to the kernel, and a ring around a disc is told from it by margins."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    turn, far = rng.uniform(0, 2 * np.pi, 300), np.where(np.arange(300) % 2, 3.0, 1.0)
+    x = np.c_[far * np.cos(turn), far * np.sin(turn)]
+    rows = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "id long, embedding array<double>, label long")
+    train, test = L.rbf_features(rows.where("id < 200"), rows.where("id >= 200"), size=2048)
+    z = np.array([r.embedding for r in test.orderBy("id").collect()])
+    gamma = 1 / (2 * x[:200].var())
+    want = np.exp(-gamma * ((x[200:, None] - x[None, 200:]) ** 2).sum(axis=2))
+    assert np.abs(z @ z.T - want).max() < 0.15
+    train, test = L.rbf_features(rows.where("id < 200"), rows.where("id >= 200"), size=64)
+    done = L.fit_predict(train, test, L.margin()).collect()
+    assert len(done) == 100 and sum(r.target == r.prediction for r in done) >= 95
+    none = rows.where("false")
+    assert [t.count() for t in L.rbf_features(none, none)] == [0, 0]
+
+
+def test_choice_by_validation(spark):
+    rows = [("0", 5, "val", 1, 1.0), ("0", 15, "val", 1, 2.0), ("0", 5, "test", 3, 4.0), ("0", 15, "test", 3, 3.0), ("1", 5, "test", 1, 1.0), ("1", 15, "test", 1, 2.0)]
+    seen = spark.createDataFrame(rows, "fold string, max_iter int, split string, target int, prediction double")
+    got = {r.fold: (r.max_iter, r.acc_0, r.mse) for r in L.chosen_by_validation(seen).collect()}
+    assert got == {"0": (5, 0.0, 1.0), "1": (5, 100.0, 0.0)}
