@@ -249,3 +249,15 @@ def test_choice_by_validation(spark):
     seen = spark.createDataFrame(rows, "fold string, max_iter int, split string, target int, prediction double")
     got = {r.fold: (r.max_iter, r.acc_0, r.mse) for r in L.chosen_by_validation(seen).collect()}
     assert got == {"0": (5, 0.0, 1.0), "1": (5, 100.0, 0.0)}
+
+
+def test_sampled_systems_of_odd_pages(spark):
+    """A page that no meter serves draws nothing; meters that only just serve one do."""
+    from corpusloom.operators import generation
+
+    index = spark.createDataFrame([("a", 1, 0, 1), ("b", 2, 0, 2), ("b", 3, 1, 2)], "meter string, id int, nth long, size long")
+    pages = spark.createDataFrame([(1, None), (2, 0), (3, 3), (4, 2), (5, 1)], "page_id int, n int")
+    got = generation.sample_systems(pages, index)
+    assert sorted((r.page_id, r.meter, r.id) for r in got.where("page_id <> 5").collect()) == [(4, "b", 2), (4, "b", 3)]
+    assert got.where("page_id = 5").count() == 1
+    assert generation.sample_systems(pages.limit(0), index).count() == generation.sample_systems(pages, index.limit(0)).count() == 0
