@@ -38,7 +38,8 @@ class CharacterMap:
             return None
         unit, pos, found = units[0], 0, None
         pos ^= _offset(unit)
-        for n, byte in enumerate(data[at:], 1):
+        for n in range(1, len(data) - at + 1):
+            byte = data[at + n - 1]
             pos ^= byte
             unit = units[pos]
             if unit & 0x800000FF != byte:  # a unit's label is its low byte; leaves have the top bit
