@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_ann, chat_windows, class_lm, fingerprints, language_id, minhash_dedup, packing, sentencepiece_codec, token_counts, toxicity
+from . import additive_ann, chat_windows, class_lm, fill_in_middle, fingerprints, language_id, minhash_dedup, packing, sentencepiece_codec, token_counts, toxicity
 
 
 def digest_op4_base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,7 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_nearest": additive_ann.op9_nearest,
     "op10_packing": packing.op10_packing,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
     "digest_op4_base": digest_op4_base,
     "digest_op5_turns": digest_op5_turns,
     "digest_op6_edits": digest_op6_edits,
@@ -70,6 +71,12 @@ a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role||chr(10)||text||chr(1
 SELECT conv_id, n_turns, sha256(x) AS turns_sha256, length(y) AS loss_chars, sha256(y) AS loss_sha256 FROM a""",
     "digest_op6_edits": """WITH d AS (SELECT doc_id, coalesce(text,'') AS t FROM documents), n AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS f FROM d)
 SELECT doc_id, n AS n_chars, sha256(substr(t, 1, n-n//2)||substr(f, 1, n//2)) AS edited_sha256 FROM n""",
+    "op11_fill_in_middle": """WITH t AS (SELECT doc_id, coalesce(text,'') AS x, sha256('42:'||doc_id) AS h FROM documents),
+u AS (SELECT doc_id, x, list_transform(regexp_extract_all(x, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+'), lambda s: length(s)) AS l, list_transform(range(4), lambda i: CAST('0x'||substr(h, 8*i+1, 8) AS BIGINT)) AS h FROM t),
+c AS (SELECT *, len(l) AS n, least(h[1]%(len(l)+1), h[2]%(len(l)+1)) AS i, greatest(h[1]%(len(l)+1), h[2]%(len(l)+1)) AS j FROM u),
+f AS (SELECT doc_id, n, x, CASE WHEN x='' OR contains(x,'<P>') OR contains(x,'<S>') OR contains(x,'<M>') OR h[3]%100>=50 THEN 'plain' WHEN h[4]%100<80 THEN 'spm' ELSE 'psm' END AS form, CAST(coalesce(list_sum(l[:i]),0) AS BIGINT) AS p, CAST(coalesce(list_sum(l[i+1:j]),0) AS BIGINT) AS m FROM c)
+SELECT doc_id, n, form, CASE WHEN form<>'plain' THEN p END AS prefix_chars, CASE WHEN form<>'plain' THEN m END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>'||substr(x,1,p)||'<S>'||substr(x,p+m+1)||'<M>'||substr(x,p+1,m) ELSE '<S>'||substr(x,p+m+1)||'<P>'||substr(x,1,p)||'<M>'||substr(x,p+1,m) END) AS output_sha256, sha256(x) AS restored_sha256 FROM f""",
     "digest_op9_ranks": """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x)))=0 AND len(list_filter(embedding, lambda x: x<>0))>0),
 s AS (SELECT q.vec_id AS query_id, u.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, u.e) DESC, u.vec_id) AS rank FROM u q JOIN u ON q.vec_id<>u.vec_id WHERE q.vec_id%20=0)
 SELECT query_id, rank, vec_id FROM s WHERE rank<=20""",
