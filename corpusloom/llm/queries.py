@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_ann, chat_windows, class_lm, fill_in_middle, fingerprints, language_id, minhash_dedup, packing, sentencepiece_codec, token_counts, toxicity
+from . import additive_ann, chat_windows, class_lm, conversation_repair, fill_in_middle, fingerprints, language_id, minhash_dedup, packing, sentencepiece_codec, token_counts, toxicity
 
 
 def digest_op4_base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,7 @@ QUERIES = {
     "op9_nearest": additive_ann.op9_nearest,
     "op10_packing": packing.op10_packing,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
     "digest_op4_base": digest_op4_base,
     "digest_op5_turns": digest_op5_turns,
     "digest_op6_edits": digest_op6_edits,
@@ -50,9 +51,34 @@ QUERIES = {
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
-_BYTES = "list_transform(string_split(CAST(doc_id AS VARCHAR),''), lambda c: CAST(ascii(c) AS BIGINT))"
 _BITS = "list_reduce(list_prepend(xor(h,b), range(8)), lambda x, i: CASE WHEN x%2=1 THEN xor(x//2, 3988292384) ELSE x//2 END)"
-_CRC32 = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {_BYTES}), lambda h, b: {_BITS}), 4294967295)"
+
+
+def _crc32(key: str) -> str:
+    """crc32 of an ASCII string expression."""
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({key},''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, b: {_BITS}), 4294967295)"
+
+
+_CRC32 = _crc32("CAST(doc_id AS VARCHAR)")
+
+
+def _ways(*ways: tuple[str, str, str, str]) -> str:
+    """The least (cost, audit) of several: state gone on from, cost, letter, text added."""
+    return "list_min([" + ", ".join(f"{{'c': {z}.c+{cost}, 'a': {z}.a||'{letter}', 'x': {z}.x||{text}}}" for z, cost, letter, text in ways) + "])"
+
+
+def _inserted(z: str) -> str:
+    """State ``z`` after insertions: of a user turn, then of an assistant turn."""
+    user = _ways(("zu", "0", "", "''"), *[(f"z{q}", "3", "I", "'user:'||chr(10)") for q in "0sa"])
+    return {"u": user, "a": _ways(("za", "0", "", "''"), ("(" + user + ")", "3", "I", "'assistant:'||chr(10)"))}.get(z, f"z{z}")
+
+
+def _turn(state: str, before: str, role: str) -> str:
+    """State after a turn: deleted, or kept or given a role from the states before."""
+    own, cut = f"CASE WHEN i='{state}' THEN 0 ELSE 900000 END", "CASE WHEN fault='t' THEN 3 ELSE 0 END+CASE WHEN fault IN ('b','d') THEN 900000 ELSE 0 END"
+    kept = [(f"y{p}", f"{own}+{cut}", "K", "role||':'||text||chr(10)") for p in before]
+    given = [(f"y{p}", f"3+{cut}", "R", f"'{role}:'||text||chr(10)") for p in before] if role else []
+    return _ways((f"y{state}", "4", "D", "''"), *kept, *given)
 
 ORACLE_SQL = {
     "op3_near_duplicates": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -77,6 +103,17 @@ c AS (SELECT *, len(l) AS n, least(h[1]%(len(l)+1), h[2]%(len(l)+1)) AS i, great
 f AS (SELECT doc_id, n, x, CASE WHEN x='' OR contains(x,'<P>') OR contains(x,'<S>') OR contains(x,'<M>') OR h[3]%100>=50 THEN 'plain' WHEN h[4]%100<80 THEN 'spm' ELSE 'psm' END AS form, CAST(coalesce(list_sum(l[:i]),0) AS BIGINT) AS p, CAST(coalesce(list_sum(l[i+1:j]),0) AS BIGINT) AS m FROM c)
 SELECT doc_id, n, form, CASE WHEN form<>'plain' THEN p END AS prefix_chars, CASE WHEN form<>'plain' THEN m END AS middle_chars,
 sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>'||substr(x,1,p)||'<S>'||substr(x,p+m+1)||'<M>'||substr(x,p+1,m) ELSE '<S>'||substr(x,p+m+1)||'<P>'||substr(x,1,p)||'<M>'||substr(x,p+1,m) END) AS output_sha256, sha256(x) AS restored_sha256 FROM f""",
+    "op12_conversation_repair": f"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role,' ') AS role, coalesce(text,' ') AS text, {_crc32("coalesce(CAST(conv_id AS VARCHAR),' ')||':'||coalesce(CAST(turn AS VARCHAR),' ')")}%20 AS k FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN k=4 THEN 'user' ELSE role END AS role, CASE WHEN k=1 THEN '' WHEN k=2 THEN regexp_replace(text,'[.!?]','','g') ELSE text END AS text, unnest(range(CASE WHEN k=3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE k<>0),
+o AS (SELECT *, left(role,1) AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS n FROM d),
+f AS (SELECT conv_id, turn, role, text, i, n, CASE WHEN NOT regexp_matches(text,'[^\\x20\\x09-\\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n)>1 THEN 'd' WHEN NOT regexp_matches(text,'[.!?][\\x20\\x09-\\x0D]*$') THEN 't' ELSE '' END AS fault, lag(i) OVER (PARTITION BY conv_id ORDER BY n)||i NOT IN ('su','ua','au') AS illegal FROM o),
+c AS (SELECT conv_id, coalesce(max(turn)-min(turn)+1-count(DISTINCT turn),0) AS gaps, count(*) FILTER (fault='b') AS blank, count(*) FILTER (fault='d') AS duplicate, count(*) FILTER (fault='t') AS truncated, count(*) FILTER (illegal) AS illegal, count(*) AS rows FROM f GROUP BY 1),
+z AS (SELECT conv_id, CAST(0 AS BIGINT) AS n, {{'c': CAST(0 AS BIGINT), 'a': '', 'x': ''}} AS z0, {{'c': CAST(900000 AS BIGINT), 'a': '', 'x': ''}} AS zs, {{'c': CAST(900000 AS BIGINT), 'a': '', 'x': ''}} AS zu, {{'c': CAST(900000 AS BIGINT), 'a': '', 'x': ''}} AS za FROM (SELECT DISTINCT conv_id FROM conversations)
+UNION ALL SELECT s.conv_id, f.n, {_turn("0", "", "")}, {_turn("s", "0", "")}, {_turn("u", "0sa", "user")}, {_turn("a", "u", "assistant")}
+FROM (SELECT conv_id, n, z0 AS y0, zs AS ys, {_inserted("u")} AS yu, {_inserted("a")} AS ya FROM z) s JOIN f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.n=s.n+1),
+e AS (SELECT z.conv_id, list_min([z0, {_inserted("a")}]) AS w FROM z LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM z.conv_id WHERE z.n=coalesce(c.rows,0))
+SELECT e.conv_id, coalesce(gaps,0) AS gaps, coalesce(blank,0) AS blank, coalesce(duplicate,0) AS duplicate, coalesce(truncated,0) AS truncated, coalesce(illegal,0) AS illegal, w.c AS cost, w.a AS audit, sha256(left(w.x, greatest(length(w.x)-1,0))) AS repaired_sha256
+FROM e LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM e.conv_id""",
     "digest_op9_ranks": """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x)))=0 AND len(list_filter(embedding, lambda x: x<>0))>0),
 s AS (SELECT q.vec_id AS query_id, u.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, u.e) DESC, u.vec_id) AS rank FROM u q JOIN u ON q.vec_id<>u.vec_id WHERE q.vec_id%20=0)
 SELECT query_id, rank, vec_id FROM s WHERE rank<=20""",
