@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_ann, chat_windows, class_lm, conversation_repair, fill_in_middle, fingerprints, language_id, minhash_dedup, packing, sentencepiece_codec, token_counts, toxicity
+from . import additive_ann, chat_windows, class_lm, conversation_repair, fill_in_middle, fingerprints, language_id, minhash_dedup, packing, personal_data, sentencepiece_codec, token_counts, toxicity
 
 
 def digest_op4_base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,11 @@ def digest_op9_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return additive_ann.op9_nearest(spark, sf_dir).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id")
 
 
+def digest_op13_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of op13."""
+    return personal_data.op13_personal_data(spark, sf_dir).drop("spans", "n_spans")
+
+
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_language_id": language_id.op2_language_id,
@@ -44,10 +49,12 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_personal_data": personal_data.op13_personal_data,
     "digest_op4_base": digest_op4_base,
     "digest_op5_turns": digest_op5_turns,
     "digest_op6_edits": digest_op6_edits,
     "digest_op9_ranks": digest_op9_ranks,
+    "digest_op13_base": digest_op13_base,
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
@@ -80,6 +87,10 @@ def _turn(state: str, before: str, role: str) -> str:
     given = [(f"y{p}", f"3+{cut}", "R", f"'{role}:'||text||chr(10)") for p in before] if role else []
     return _ways((f"y{state}", "4", "D", "''"), *kept, *given)
 
+_BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
 ORACLE_SQL = {
     "op3_near_duplicates": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w)=0 THEN [] WHEN len(w)<5 THEN [array_to_string(w,' ')] ELSE list_distinct(list_transform(range(1,len(w)-3), lambda i: array_to_string(w[i:i+4],' '))) END AS s FROM w),
@@ -114,6 +125,14 @@ FROM (SELECT conv_id, n, z0 AS y0, zs AS ys, {_inserted("u")} AS yu, {_inserted(
 e AS (SELECT z.conv_id, list_min([z0, {_inserted("a")}]) AS w FROM z LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM z.conv_id WHERE z.n=coalesce(c.rows,0))
 SELECT e.conv_id, coalesce(gaps,0) AS gaps, coalesce(blank,0) AS blank, coalesce(duplicate,0) AS duplicate, coalesce(truncated,0) AS truncated, coalesce(illegal,0) AS illegal, w.c AS cost, w.a AS audit, sha256(left(w.x, greatest(length(w.x)-1,0))) AS repaired_sha256
 FROM e LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM e.conv_id""",
+    "digest_op13_base": f"""WITH t AS (SELECT doc_id, coalesce(text,'') AS t FROM documents),
+{", ".join(f"m{k} AS (SELECT doc_id, {k} AS k, regexp_extract_all(t, '{p}') AS h, string_split_regex(t, '{p}') AS g FROM t)" for k, p in enumerate(_BASE.values()))},
+m AS ({" UNION ALL ".join(f"FROM m{k}" for k in range(4))}),
+s AS (SELECT doc_id, k, unnest(list_transform(range(1, len(h)+1), lambda i: {{'v': h[i], 's': CAST(list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[:i-1], lambda x: length(x))), 0) AS BIGINT)}})) AS m FROM m),
+d AS (SELECT doc_id, k, m.s AS a, m.s+length(m.v) AS b, m.v AS v, list_transform(list_reverse(regexp_extract_all(m.v, '[0-9]')), lambda x: CAST(x AS BIGINT)) AS d FROM s),
+b AS (SELECT doc_id, k, a, b FROM d WHERE CASE k WHEN 0 THEN true WHEN 1 THEN list_max(list_transform(string_split(v,'.'), lambda x: CAST(x AS HUGEINT)))<=255
+WHEN 2 THEN len(d) BETWEEN 14 AND 19 AND list_sum(list_transform(d, lambda x, i: CASE WHEN i%2=0 THEN 2*x-CASE WHEN x>4 THEN 9 ELSE 0 END ELSE x END))%10=0 ELSE len(d) BETWEEN 10 AND 15 END)
+SELECT t.doc_id, {", ".join(f"count(*) FILTER (k={k}) AS n_{kind}" for k, kind in enumerate(_BASE))}, sha256(coalesce(string_agg(['email','ip','card','phone'][k+1]||':'||a||':'||b, ',' ORDER BY a, k, b), '')) AS base_sha256 FROM t LEFT JOIN b USING (doc_id) GROUP BY 1""",
     "digest_op9_ranks": """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x)))=0 AND len(list_filter(embedding, lambda x: x<>0))>0),
 s AS (SELECT q.vec_id AS query_id, u.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, u.e) DESC, u.vec_id) AS rank FROM u q JOIN u ON q.vec_id<>u.vec_id WHERE q.vec_id%20=0)
 SELECT query_id, rank, vec_id FROM s WHERE rank<=20""",
