@@ -264,5 +264,5 @@ def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents searched; the columns that the contract names (counts are of base spans) and the number of all spans."""
     found = personal_data(read_table(spark, sf_dir, "documents"))
     base = F.filter("found", lambda s: s["base"])
-    counts = [F.size(F.filter("found", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    counts = [F.expr(f"bigint(size(filter(found, s -> s.base AND s.kind = {k})))").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"), F.size("found").cast("long").alias("n_spans"))
