@@ -5,7 +5,7 @@ hash) that reaches a coordinate stays. As many rounds again throw every element
 filled; most sets fill theirs in a few rounds, and the share of equal coordinates concentrates around the similarity
 as with independent hash functions (Dahlgaard, Knudsen and Thorup, 2017).
 
-Linking: documents with equal sets are one node. Nodes that agree on a whole band share a bucket. A node is first held
+Linking: documents with equal sets are one node, and nodes that rows of one doc_id have are linked. Nodes that agree on a whole band share a bucket. A node is first held
 against the smallest node of each of its buckets; buckets that then still hold several components are worked through in
 blocks, sketch against sketch, and what may be similar is held set against set, until all that is linked is connected.
 No bucket is cut short, and no step lists all pairs of a bucket.
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_words import mix, random_words, shingles_of, text_slices, words_of
@@ -109,7 +109,7 @@ def signatures(docs: DataFrame, text: str = "text", words: int = WORDS) -> DataF
 
 
 def shingle_sets(docs: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
-    """(node, shingles): the full set of each document, as sorted 64-bit values."""
+    """(doc_id, set_a, set_b, shingles): the full set of each document, as sorted 64-bit values, and its key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,9 +117,11 @@ def shingle_sets(docs: DataFrame, text: str = "text", words: int = WORDS) -> Dat
                 owner, element = shingles_of(words_of(data, offsets), words)
                 bounds = np.searchsorted(owner, np.arange(b - a + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(bounds, element.view(np.int64))
-                yield pa.record_batch([batch.column(0).slice(a, b - a), lists], ["node", "shingles"])
+                keys = map(pa.array, _set_keys(owner, element, b - a))
+                yield pa.record_batch([batch.column(0).slice(a, b - a), *keys, lists], ["doc_id", "set_a", "set_b", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("node"), F.col(text).cast("string").alias("text")).mapInArrow(run, "node long, shingles array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, set_a long, set_b long, shingles array<long>")
 
 
 def _similar(a: str, b: str, percent: int):
@@ -147,20 +149,17 @@ def _with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "of_u", "of_v")
 
 
-def _perhaps_in(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The documents whose place in a bitmap of FILTER_BITS bits some wanted node holds too; others need not move.
+def _perhaps_in(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents whose place in a bitmap of FILTER_BITS bits some wanted doc_id holds too, as others need not move; and the bitmap.
 
     The bitmap is at most FILTER_BITS / 64 rows whatever the input; where it fills up, it merely lets more pass.
     """
-
-    def place(id_: str):
-        return F.pmod(F.xxhash64(F.lit("filter"), id_), F.lit(FILTER_BITS))
-
-    bit = F.expr(f"shiftleft(1L, int(pmod(xxhash64('filter', node), {FILTER_BITS}L) % 64))")
-    bitmap = wanted.groupBy(F.floor(place("node") / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    place = F.expr(f"pmod(xxhash64('filter', doc_id), {FILTER_BITS}L)")
+    bit = F.expr(f"shiftleft(1L, int(pmod(xxhash64('filter', doc_id), {FILTER_BITS}L) % 64))")
+    bitmap = durable(wanted.groupBy(F.floor(place / 64).alias("word")).agg(F.bit_or(bit).alias("bits")), "bitmap")
     held = F.expr(f"(shiftright(bits, int(pmod(xxhash64('filter', doc_id), {FILTER_BITS}L) % 64)) & 1L) = 1L")
-    near = docs.withColumn("word", F.floor(place("doc_id") / 64)).join(F.broadcast(durable(bitmap, "bitmap")), "word")
-    return near.where(held).select(*docs.columns)
+    near = docs.withColumn("word", F.floor(place / 64)).join(F.broadcast(bitmap), "word")
+    return near.where(held).select(*docs.columns), bitmap
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -218,7 +217,7 @@ def _block_links(percent: int, across: bool):
         coded = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(-1, COORDINATES)
         forest, links = _Forest(rows["component"].to_numpy()), []
         sets = [np.asarray(s) for s in rows["shingles"]]
-        bands = coded[:, : BANDS * ROWS].reshape(len(rows), BANDS, ROWS)
+        bands = np.stack([np.asarray(b) for b in rows["bands"]])
         for i in range(len(rows) - 1):
             rest = slice(i + 1, None)
             agree = (coded[rest] == coded[i]).mean(axis=1) >= least
@@ -226,7 +225,7 @@ def _block_links(percent: int, across: bool):
                 agree &= side[rest] != side[i]
             later = i + 1 + np.flatnonzero(agree)
             if band and len(later):  # pairs that meet in an earlier band are dealt with there
-                later = later[~(bands[later, :band] == bands[i, :band]).all(axis=2).any(axis=1)]
+                later = later[~(bands[later, :band] == bands[i, :band]).any(axis=1)]
             for j in later.tolist():
                 a, b = forest.root(i), forest.root(j)
                 if a != b:
@@ -250,28 +249,35 @@ def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", word
     """
     signed = durable(signatures(docs, text, words), "signatures")
     live = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = live.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
-    classes = durable(classes, "classes")
+    classes, node = _classes(live)
+    nodes = live.withColumn("node", node).join(classes.select("node", F.col("least").alias("doc_id")), ["node", "doc_id"])
+    repeated = durable(live.withColumn("node", node).groupBy("doc_id").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1"), "repeated")
+    unique = repeated.isEmpty()
     # one row a class: copies are met again only through the class
-    nodes = live.join(classes.withColumnRenamed("set_a", "a").withColumnRenamed("set_b", "b"), (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b")) & (F.col("doc_id") == F.col("node")), "left_semi")
-    nodes = nodes.select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sketch").dropDuplicates(["node"])
+    nodes = nodes.select("node", "n_shingles", "bands", "sketch")
+    nodes = nodes if unique else nodes.dropDuplicates(["node"])
     banded = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.min("node").alias("center"), F.count("*").alias("size"), F.sum("n_shingles").alias("shingles")).where("size > 1")
     blocks = F.least("size", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES))).cast("int")
     buckets = buckets.select("band", "key", "center", "size", blocks.alias("blocks"))
     shared = durable(banded.drop("n_shingles").join(buckets, ["band", "key"]), "buckets")
 
-    sketches = durable(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "sketch"), "sketches")
+    sketches = durable(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "sketch", "bands"), "sketches")
     stars = shared.where("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
     stars = durable(_agree_at_least(_with_both(stars, sketches, "sketch"), percent / 100 - SLACK), "stars")
 
     rest_keys = shared.where("size > 2").select("node").distinct()
     wanted = stars.select(F.explode(F.array("u", "v")).alias("node")).union(rest_keys).distinct()
-    sources = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    wanted = durable(wanted, "wanted")
-    sources = _perhaps_in(sources, wanted)
-    sets = durable(shingle_sets(sources.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), "text", words), "sets")
-    links = durable(_with_both(stars, sets, "shingles").where(_similar("of_u", "of_v", percent)).select("u", "v"), "links")
+    wanted = durable(wanted.join(classes, "node").select("node", F.col("least").alias("doc_id")), "wanted")
+    sources, bitmap = _perhaps_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), wanted)
+    sets = shingle_sets(sources.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), "text", words).select(node.alias("node"), "shingles")
+    if not unique:  # a doc_id brings all its texts: those asked for stay, once
+        sets = sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    sets = durable(sets, "sets")
+    links = _with_both(stars, sets, "shingles").where(_similar("of_u", "of_v", percent)).select("u", "v")
+    if not unique:
+        links = links.unionByName(live.withColumn("u", node).join(repeated, "doc_id").where("u <> v").select("u", "v").distinct())
+    links = durable(links, "links")
     found = components(links)
 
     # buckets in which the others are not all connected yet
@@ -279,16 +285,36 @@ def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", word
     others = labelled.where("node <> center").groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     labelled = durable(labelled.join(others.where("low <> high").select("band", "key"), ["band", "key"], "left_semi"), "unsettled")
     links2 = durable(_links_in_blocks(labelled, sketches, sets, percent), "links2")
-    found = durable(components(links.union(links2)), "components") if not links2.isEmpty() else found
+    found = components(links.union(links2)) if not links2.isEmpty() else found
+    # a component's id is its least doc_id
+    members = found.join(classes.select("node", "least"), "node")
+    least = members.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = durable(members.join(least, "component").join(classes.select("node", "set_a", "set_b"), "node").select("set_a", "set_b", "component_id"), "components")
+    release(repeated, shared, sketches, stars, wanted, bitmap, sets, links, labelled, links2)
 
-    known = classes.join(found, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component_id"))
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     rows = signed.select("doc_id", "n_shingles", "set_a", "set_b")
     alone = rows.where(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    known = classes.join(known, ["set_a", "set_b"], "left").select("set_a", "set_b", F.coalesce("component_id", "least").alias("component_id"))
     out = rows.where(linked).join(known, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", "component_id").unionByName(alone)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _classes(live: DataFrame) -> tuple[DataFrame, Column]:
+    """(set_a, set_b, least, node): the distinct sets, the least doc_id that has each, and a number of its own; and the number as an expression.
+
+    Numbers are hashes of the set's key; another seed is taken should two of a table be equal.
+    """
+    sets = live.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("least"))
+    for seed in range(64):
+        node = F.xxhash64(F.lit(seed), "set_a", "set_b")
+        classes = durable(sets.withColumn("node", node), "classes")
+        if classes.groupBy("node").count().where("count > 1").isEmpty():
+            return classes, node
+        release(classes)
+    raise RuntimeError("no seed keeps the sets apart")
+
+
 def _links_in_blocks(labelled: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between the nodes of each bucket: every block by itself, then, of larger buckets, every two blocks."""
     spread = labelled.select("band", "key", "node", "component", F.col("blocks").alias("n"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"))

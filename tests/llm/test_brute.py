@@ -508,3 +508,14 @@ def test_against_sql(spark, name):
     want, got = con.sql(queries.ORACLE_SQL[name]), run(spark, name)
     assert sorted(got.columns) == sorted(want.columns)
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_op3_repeated_ids(spark):
+    """Rows of one doc_id with unlike texts are one document with the links of both, wherever the rows are."""
+    a, b = ([f"{x}{i}" for i in range(200)] for x in "ab")
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (8, " ".join([*a, "more"])), (9, " ".join([*b, "more"])), (9, " ".join([*b, "more"])), (7, "something else altogether"), (5, " ".join(b)), (3, "something else altogether")]
+    for order in (rows, rows[::-1]):
+        for parts in (1, 5):
+            got = minhash_dedup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(parts), percent=85).collect()
+            assert len(got) == len(rows)
+            assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(5, 5, True), (8, 5, False), (9, 5, False), (7, 3, False), (3, 3, True)}
