@@ -50,16 +50,19 @@ def _sign(number: Column) -> Column:
 
 def coded_tokens(tokens: DataFrame, vocabulary: DataFrame, key: str = "id", column: str = "tokens") -> DataFrame:
     """(key, coded, len): every token as one code point, so that ``levenshtein`` counts tokens; for CODE_POINTS tokens at most."""
-    each = tokens.select(key, F.posexplode(column).alias("pos", "token")).join(vocabulary.select("token", _sign(F.col("token_id")).alias("sign")), "token")
+    signs = vocabulary.select(F.col("token").alias("_t"), _sign(F.col("token_id")).alias("sign"))
+    each = tokens.select(key, F.posexplode(column).alias("pos", "token")).join(signs, F.col("token").eqNullSafe(F.col("_t")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sign"))), lambda x: x["sign"]), "")
     coded = each.groupBy(key).agg(text.alias("coded"))
-    return tokens.select(key, F.size(column).alias("len")).join(coded, key, "left").select(key, F.coalesce("coded", F.lit("")).alias("coded"), "len")
+    sizes = tokens.select(key, F.coalesce(F.size(column), F.lit(0)).alias("len"))
+    return sizes.join(coded, key, "left").select(key, F.coalesce("coded", F.lit("")).alias("coded"), "len")
 
 
 def edit_distance(a: Column, b: Column) -> Column:
-    """Unit-cost edit distance of two token lists, each token a code point of this pair's own: any vocabulary will do."""
+    """Unit-cost edit distance of two token lists, each token a code point of this pair's own: any vocabulary will do. A null token is a token."""
     distinct = F.array_distinct(F.concat(a, b))
-    coded = lambda x: F.array_join(F.transform(x, lambda t: _sign(F.array_position(distinct, t))), "")
+    number = lambda t: F.coalesce(F.array_position(distinct, t), F.size(distinct) + F.lit(1))
+    coded = lambda x: F.array_join(F.transform(x, lambda t: _sign(number(t))), "")
     return F.levenshtein(coded(a), coded(b))
 
 
@@ -67,10 +70,11 @@ def token_edit_distance(tokens: DataFrame, key: str = "id", column: str = "token
     """(i, j, d, len_i, len_j) with the unit-cost edit distance of token lists.
 
     Tokens are numbered once for the whole table; a vocabulary of more than ``most`` is numbered pair by pair instead,
-    with the same result.
+    with the same result. A null token is a token of its own, a null list an empty one.
     """
     from .tokens import build_vocabulary
 
+    tokens = tokens.withColumn(column, F.coalesce(F.col(column), F.array().cast(tokens.schema[column].dataType)))
     vocabulary = build_vocabulary(tokens, column)
     if vocabulary.count() > most:
         pairs = all_pairs(tokens.select(key, F.col(column).alias("t"), F.size(column).alias("len")), key, ["t", "len"])
@@ -97,17 +101,19 @@ TOKEN_BLOCK = 1000
 def token_overlap(hist: DataFrame, key: str = "id") -> DataFrame:
     """(i, j, overlap) of pairs that share a token: sum of the smaller counts. Tokens of many rows are dealt over several tasks."""
     held = hist.groupBy("token").agg(F.ceil(F.count("*") / TOKEN_BLOCK).cast("int").alias("_parts")).where("_parts > 1")
-    hist = hist.join(held, "token", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    held = held.withColumnRenamed("token", "_t")
+    hist = hist.join(held, F.col("token").eqNullSafe(F.col("_t")), "left").drop("_t").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
     left = hist.select(F.col(key).alias("i"), "token", F.col("cnt").alias("a"), F.pmod(F.xxhash64(key), F.col("_parts")).cast("int").alias("_part"))
     right = hist.select(F.col(key).alias("j"), "token", F.col("cnt").alias("b"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
-    return left.join(right, ["token", "_part"]).where("i < j").groupBy("i", "j").agg(F.sum(F.least("a", "b")).alias("overlap"))
+    right = right.withColumnsRenamed({"token": "_t", "_part": "_p"})
+    return left.join(right, F.col("token").eqNullSafe(F.col("_t")) & (F.col("_part") == F.col("_p"))).where("i < j").groupBy("i", "j").agg(F.sum(F.least("a", "b")).alias("overlap"))
 
 
 def histogram_l1(tokens: DataFrame, key: str = "id", column: str = "tokens") -> DataFrame:
-    """(i, j, d, len_i, len_j): sum of absolute differences of token counts = both lengths less twice the overlap."""
+    """(i, j, d, len_i, len_j): sum of absolute differences of token counts = both lengths less twice the overlap; a null list is empty."""
     from .tokens import token_histogram
 
-    pairs = all_pairs(tokens.select(key, F.size(column).alias("len")), key, ["len"])
+    pairs = all_pairs(tokens.select(key, F.coalesce(F.size(column), F.lit(0)).alias("len")), key, ["len"])
     shared = token_overlap(token_histogram(tokens, key, column), key)
     return pairs.join(shared, ["i", "j"], "left").select("i", "j", (F.col("len_i") + F.col("len_j") - 2 * F.coalesce("overlap", F.lit(0))).alias("d"), "len_i", "len_j")
 
@@ -222,12 +228,16 @@ def correlation_with_p(pairs: DataFrame, x: str, y: str, ranked: bool = False) -
 
 
 def correlations(pairs: DataFrame, metrics: list[str], y: str, ranked: bool = False) -> DataFrame:
-    """(metric, r, n, p) of each metric column with ``y``, in one pass over a pair table of i < j."""
+    """(metric, r, n, p) of each metric column with ``y``, in one pass over a pair table of i < j.
+
+    Only pairs that have all the columns count, for r and for n. A column without variance has neither r nor p.
+    """
     spark = pairs.sparkSession
-    rows = pairs.select(*metrics, y)
+    rows = pairs.select(*metrics, y).dropna()
     if ranked:
         for c in (*metrics, y):
             rows = average_rank(rows, c, "_rank").drop(c).withColumnRenamed("_rank", c)
-    got = rows.agg(F.count("*").alias("_n"), *[F.corr(m, y).alias(m) for m in metrics]).first()
+    r = lambda m: F.covar_pop(m, y) / F.nullif(F.stddev_pop(m) * F.stddev_pop(y), F.lit(0.0))
+    got = rows.agg(F.count("*").alias("_n"), *[r(m).alias(m) for m in metrics]).first()
     n = 2 * got["_n"]
     return spark.createDataFrame([(m, got[m], n, p_value(spark, got[m], n)) for m in metrics], "metric string, r double, n long, p double")

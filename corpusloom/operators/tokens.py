@@ -27,7 +27,7 @@ def numbered(rows: DataFrame, *order: str, name: str = "nth", buckets: int | Non
 
 
 def build_vocabulary(tokens: DataFrame, column: str = "tokens", first: int = 1) -> DataFrame:
-    """(token, token_id): distinct tokens in code point order, numbered from ``first``; 0 is the pad."""
+    """(token, token_id): distinct tokens in code point order, numbered from ``first``; 0 is the pad. A null token comes first, if there is one."""
     words = tokens.select(F.explode(column).alias("token")).distinct()
     return numbered(words, "token", name="n").select("token", (F.col("n") + first).alias("token_id"))
 
@@ -37,11 +37,16 @@ def token_histogram(tokens: DataFrame, key: str = "id", column: str = "tokens")
 
 
 def encode_tokens(tokens: DataFrame, vocabulary: DataFrame, key: str = "id", column: str = "tokens", drop_empty: bool = False) -> DataFrame:
-    """(key, ids): token ids in order; ``drop_empty`` leaves empty tokens out. An unknown token is an error when rows are read."""
+    """(key, ids): token ids in order; ``drop_empty`` leaves empty tokens out. An unknown token is an error when rows are read.
+
+    A null token has the id that the vocabulary gives null. A null list has none: an empty list.
+    """
     if drop_empty:
         tokens = tokens.withColumn(column, drop_empty_tokens(F.col(column)))
-    each = tokens.select(key, F.posexplode_outer(column).alias("pos", "token")).join(vocabulary, "token", "left")
-    known = F.when(F.col("token").isNotNull() & F.col("token_id").isNull(), F.raise_error(F.concat(F.lit("unknown token "), "token")).cast("bigint")).otherwise(F.col("token_id"))
+    named = vocabulary.select(F.col("token").alias("_t"), F.col("token_id").alias("_id"))
+    each = tokens.select(F.col(key).alias("_key"), F.posexplode_outer(column).alias("pos", "token"))
+    each = each.join(named, F.col("token").eqNullSafe(F.col("_t")), "left").select(F.col("_key").alias(key), "pos", "token", F.col("_id").alias("token_id"))
+    known = F.when(F.col("token_id").isNull(), F.raise_error(F.concat(F.lit("unknown token "), F.coalesce("token", F.lit("null")))).cast("bigint")).otherwise(F.col("token_id"))
     rows = each.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", known.alias("id"))))).alias("all"))
     return rows.select(key, F.transform("all", lambda x: x["id"]).alias("ids"))
 
@@ -65,20 +70,41 @@ def shift_targets(rows: DataFrame, batch: str, column: str = "ids") -> DataFrame
 
 
 def fixed_batches(rows: DataFrame, n: int, *order: str) -> DataFrame:
-    """Consecutive batches of ``n`` in an order; the last one may be short."""
-    return numbered(rows, *order, name="_n").withColumn("batch", F.floor(F.col("_n") / n)).drop("_n")
+    """Consecutive batches of ``n`` in an order, numbered in ``batch``; the last one may be short. Rows with a column ``batch`` are refused."""
+    _refuse(rows, "batch")
+    nth = _fresh(rows, "_n")
+    return numbered(rows, *order, name=nth).withColumn("batch", F.floor(F.col(nth) / n)).drop(nth)
+
+
+def _refuse(rows: DataFrame, *names: str) -> None:
+    if there := set(names) & set(rows.columns):
+        raise ValueError(f"rows have columns that would be overwritten: {', '.join(sorted(there))}")
+
+
+def _fresh(rows: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``rows`` has."""
+    while name in rows.columns:
+        name += "_"
+    return name
 
 
 def padded_batches(rows: DataFrame, n: int, column: str, *order: str) -> DataFrame:
-    """Batches with each sequence padded to the longest of its batch, true length kept in ``true_len``."""
+    """Batches with each sequence padded to the longest of its batch in ``padded``, true length kept in ``true_len``.
+
+    Ids are padded with 0, tokens with ``<pad>``, vectors with zeros. A null sequence has no elements. Rows that have a
+    column ``batch``, ``true_len`` or ``padded`` are refused.
+    """
+    _refuse(rows, "batch", "true_len", "padded")
     kind = rows.schema[column].dataType.elementType
+    width, depth = _fresh(rows, "_w"), _fresh(rows, "_d")
     batch = Window.partitionBy("batch")
-    batched = fixed_batches(rows, n, *order).withColumn("true_len", F.size(column)).withColumn("_w", F.max("true_len").over(batch))
-    pad = F.lit(0).cast(kind)
-    if isinstance(kind, T.ArrayType):  # vectors: zeros as wide as the batch's
-        batched = batched.withColumn("_d", F.max(F.size(F.get(F.col(column), F.lit(0)))).over(batch))
-        pad = F.array_repeat(F.lit(0.0), F.col("_d")).cast(kind)
-    return batched.withColumn("padded", pad_to(F.col(column), F.col("_w"), pad)).drop("_w", "_d")
+    values = F.coalesce(F.col(column), F.array().cast(rows.schema[column].dataType))
+    batched = fixed_batches(rows, n, *order).withColumn("true_len", F.size(values)).withColumn(width, F.max("true_len").over(batch))
+    pad = F.lit("<pad>" if isinstance(kind, T.StringType) else 0).cast(kind) if not isinstance(kind, T.ArrayType) else None
+    if pad is None:  # vectors: zeros as wide as the batch's
+        batched = batched.withColumn(depth, F.coalesce(F.max(F.size(F.get(F.col(column), F.lit(0)))).over(batch), F.lit(0)))
+        pad = F.array_repeat(F.lit(0.0), F.col(depth)).cast(kind)
+    return batched.withColumn("padded", pad_to(values, F.col(width), pad)).drop(width, depth)
 
 
 def vocabulary_gap(train: DataFrame, other: DataFrame, column: str = "tokens") -> DataFrame:

@@ -80,8 +80,11 @@ def epoch_losses(batches: DataFrame, run: str = "run_id", epoch: str = "epoch",
 
 
 def extreme_steps(log: DataFrame, run: str = "run_id", epoch: str = "epoch", value: str = "metric") -> DataFrame:
-    """(run, best_step, worst_step): epochs of the least and the largest value, the earlier on ties."""
-    return log.groupBy(run).agg(F.min(F.struct(value, epoch))[epoch].alias("best_step"), F.max(F.struct(F.col(value), (-F.col(epoch)).alias("e")))["e"].alias("w")).select(run, "best_step", (-F.col("w")).alias("worst_step"))
+    """(run, best_step, worst_step): epochs of the least and the largest value, the earlier on ties; null values are neither."""
+    known = F.col(value).isNotNull()
+    best = F.min(F.when(known, F.struct(F.col(value).alias("v"), F.col(epoch).alias("e"))))["e"]
+    worst = F.max(F.when(known, F.struct(F.col(value).alias("v"), (-F.col(epoch)).alias("e"))))["e"]
+    return log.groupBy(run).agg(best.alias("best_step"), (-worst).alias("worst_step"))
 
 
 _STATE = "best double, best_epoch long, misses long, stop_epoch long, epochs long"
