@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import written
+from .neighbours import knn, usable  # noqa: F401
 
 BLOCK = 512
 #: Rows of a block of ``all_pairs``, and blocks at least, so that small tables make several tasks too.
@@ -123,18 +124,21 @@ def _blocks(vectors: DataFrame, key: str, column: str, n: int) -> DataFrame:
     return rows.groupBy("b").agg(F.collect_list("k").alias("ks"), F.flatten(F.collect_list("v")).alias("vs"))
 
 
-def _block_pairs(vectors: DataFrame, key: str, column: str, half: bool) -> DataFrame:
+def _block_pairs(vectors: DataFrame, key: str, column: str) -> DataFrame:
     n = max(1, -(-vectors.count() // BLOCK))
     blocks = _blocks(vectors, key, column, n)
     left = blocks.select(F.col("b").alias("x"), F.col("ks").alias("ka"), F.col("vs").alias("va"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("y"))
     right = blocks.select(F.col("b").alias("y"), F.col("ks").alias("kb"), F.col("vs").alias("vb"))
     both = left.join(right, "y")
-    return (both.where("x <= y") if half else both).select("ka", "va", "kb", "vb")
+    return both.where("x <= y").select("ka", "va", "kb", "vb")
 
 
 def _distances(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ka, kb = batch.column(0)[k].values.to_numpy(), batch.column(2)[k].values.to_numpy()
-    va, vb = (batch.column(c)[k].values.to_numpy().reshape(len(ids), -1) for c, ids in ((1, ka), (3, kb)))
+    va, vb = (batch.column(c)[k].values.to_numpy() for c in (1, 3))
+    if len(va) % len(ka) or len(va) * len(kb) != len(vb) * len(ka):
+        raise ValueError(f"vectors of unlike length among ids {min(ka.min(), kb.min())} to {max(ka.max(), kb.max())}")
+    va, vb = va.reshape(len(ka), -1), vb.reshape(len(kb), -1)
     out = np.empty((len(ka), len(kb)))
     for at in range(0, len(ka), 64):  # differences, not products: no cancellation
         diff = va[at : at + 64, None, :] - vb[None, :, :]
@@ -143,7 +147,7 @@ def _distances(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def euclidean_distance(vectors: DataFrame, key: str = "id", column: str = "embedding") -> DataFrame:
-    """(i, j, d) for i < j; vectors must be of one length."""
+    """(i, j, d) for i < j; vectors must be of one length. Rows without a key or a whole, finite vector take no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,27 +157,7 @@ def euclidean_distance(vectors: DataFrame, key: str = "id", column: str = "embed
                 keep = i < j if np.array_equal(ka, kb) else i != j
                 yield pa.record_batch([pa.array(np.minimum(i, j)[keep]), pa.array(np.maximum(i, j)[keep]), pa.array(d[keep])], ["i", "j", "d"])
 
-    return _block_pairs(vectors, key, column, True).mapInArrow(run, "i long, j long, d double")
-
-
-def knn(vectors: DataFrame, k: int, key: str = "id", column: str = "embedding", farthest: bool = False) -> DataFrame:
-    """(i, rank, j, d): the ``k`` nearest (or farthest) others; ties by smaller j. Each pair of blocks sends k a row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in range(batch.num_rows):
-                ka, kb, d = _distances(batch, b)
-                order = np.argsort(kb, kind="stable")
-                kb, d = kb[order], d[:, order]
-                worth = np.where(ka[:, None] == kb[None, :], np.inf, -d if farthest else d)
-                top = np.argsort(worth, axis=1, kind="stable")[:, : k + 1]
-                keep = np.isfinite(np.take_along_axis(worth, top, 1))
-                i = np.broadcast_to(ka[:, None], top.shape)
-                yield pa.record_batch([pa.array(i[keep]), pa.array(kb[top][keep]), pa.array(np.take_along_axis(d, top, 1)[keep])], ["i", "j", "d"])
-
-    found = _block_pairs(vectors, key, column, False).mapInArrow(run, "i long, j long, d double")
-    order = Window.partitionBy("i").orderBy(F.desc("d") if farthest else F.asc("d"), "j")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("i", "rank", "j", "d")
+    return _block_pairs(usable(vectors, key, column), "k", "v").mapInArrow(run, "i long, j long, d double")
 
 
 def neighbours(pairs: DataFrame, k: int, value: str = "d", farthest: bool = False) -> DataFrame:
