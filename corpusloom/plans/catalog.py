@@ -13,6 +13,7 @@ from ..operators import generation as G
 from ..operators import learning as L
 from ..operators import metrics as M
 from ..operators import pairs as P
+from ..operators import token_neighbours as N
 from ..operators import tokens as K
 from ..operators import vectors as V
 from ..sources import tables as R
@@ -455,9 +456,7 @@ _NT = f"WITH {_L1}, nl AS (SELECT i, j, len_i, len_j, CASE WHEN len_i+len_j=0 TH
 @query("t01_nearest_turns", _NT)
 def nearest_turns(spark, d):
     """The 10 nearest turns of every user turn by normalised token L1."""
-    pairs = P.histogram_l1(D.turns(spark, d))
-    pairs = pairs.select("i", "j", P.normalize_histogram(F.col("d"), F.col("len_i"), F.col("len_j")).alias("d"))
-    return P.neighbours(pairs, 10).select("i", "rank", "j", F.round("d", 6).alias("d"))
+    return N.token_knn(N.elements(D.turns(spark, d)), 10).select("i", "rank", "j", F.round("d", 6).alias("d"))
 
 
 # turns and vectors aligned by row number
@@ -478,9 +477,8 @@ pb AS (SELECT i,j,t,d FROM pt UNION ALL SELECT j,i,t,d FROM pt)"""
 @query("j09_neighbors_with_truth", f"WITH {_AL}, r AS (SELECT i, t, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM pb) SELECT i, CAST(rank AS INT) AS rank, t FROM r WHERE rank<=25")
 def _(spark, d):
     t, v = aligned(spark, d)
-    truth = P.histogram_l1(t)
-    near = P.knn(v, 25).withColumn("a", F.least("i", "j")).withColumn("b", F.greatest("i", "j"))
-    return near.join(truth.select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("d").cast("double").alias("t")), ["a", "b"]).select("i", "rank", "t")
+    near = P.knn(v, 25)
+    return near.join(N.l1_of(near, N.elements(t)).withColumnRenamed("d", "t"), ["i", "j"]).select("i", "rank", "t")
 
 
 _AE = f"WITH RECURSIVE {_AL}, " + _edit_sql("SELECT {'i':a.id,'j':b.id} AS key, a.tokens AS p, b.tokens AS t FROM al a JOIN al b ON a.id<b.id")
@@ -496,14 +494,14 @@ _AE = f"WITH RECURSIVE {_AL}, " + _edit_sql("SELECT {'i':a.id,'j':b.id} AS key,
 def _(spark, d):
     """Mean edit distance to the 1 to 25 nearest and farthest by vectors."""
     t, v = aligned(spark, d)
-    wide = P.near_far_profile(P.knn(v, 25), P.knn(v, 25, farthest=True), written(P.token_edit_distance(t)), 25)
-    return _rounded(wide, "i")
+    near, far = written(P.knn(v, 25)), written(P.knn(v, 25, farthest=True))
+    return _rounded(P.near_far_profile(near, far, N.edit_of(N.asked_pairs(near, far), t), 25), "i")
 
 
 @query("w02_ground_truth_profile", f"WITH {_L1}, bo AS ({_BOTH % ('l1', 'l1')}), r AS (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM bo), w AS (SELECT i, rank, avg(d) OVER (PARTITION BY i ORDER BY rank) AS m, sum(d) OVER (PARTITION BY i ORDER BY rank) AS s FROM r) SELECT i, CAST(rank AS INT) AS k, round(m,6) AS mean_value, CAST(s AS BIGINT) AS sum_value FROM w WHERE rank<=25")
 def _(spark, d):
-    truth = P.histogram_l1(D.turns(spark, d))
-    near = P.neighbours(truth, 25).select("i", "rank", "j")
+    near = written(N.token_knn(N.elements(D.turns(spark, d)), 25, normalized=False))
+    truth = near.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "d").distinct()
     mean, total = P.profile(near, truth, 25), P.profile(near, truth, 25, use_mean=False)
     return mean.select("i", "k", F.round("value", 6).alias("mean_value")).join(total.select("i", "k", F.col("value").cast("long").alias("sum_value")), ["i", "k"])
 
