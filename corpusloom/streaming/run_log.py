@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 @dataclass(frozen=True)
@@ -33,11 +34,11 @@ class Replay:
         self.rule, self.best, self.best_epoch, self.misses, self.stop = rule, best, best_epoch, misses, stop
 
     def step(self, epoch: int, value: float | None) -> None:
-        """A missing value is a miss."""
+        """A missing or undefined value is a miss."""
         rule = self.rule
         if self.stop is not None or epoch < rule.start:
             return
-        if value is not None and (self.best is None or value + rule.margin < self.best * rule.factor):
+        if value is not None and value == value and (self.best is None or value + rule.margin < self.best * rule.factor):
             self.best, self.best_epoch, self.misses = float(value), epoch, 0
         else:
             self.misses += 1
@@ -87,34 +88,71 @@ def extreme_steps(log: DataFrame, run: str = "run_id", epoch: str = "epoch", val
     return log.groupBy(run).agg(best.alias("best_step"), (-worst).alias("worst_step"))
 
 
-_STATE = "best double, best_epoch long, misses long, stop_epoch long, epochs long"
-
-
-def streaming_selection(stream: DataFrame, rule: Rule, run: str = "run_id", order: str = "ts", value: str = "metric") -> DataFrame:
-    """The same on an arriving log whose rows come in order per run: (run, best_epoch, best, stop_epoch, epochs) after each batch."""
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+class _Selection(StatefulProcessor):
+    """Per run: the replay up to the first epoch that has not come yet, and the values of epochs that came before their turn."""
+
+    def __init__(self, rule: Rule, run: str, epoch: str, value: str, first: int):
+        self.rule, self.run, self.epoch, self.value, self.first = rule, run, epoch, value, first
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.settled = handle.getValueState("settled", "best double, best_epoch long, misses long, stop_epoch long, next long")
+        self.ahead = handle.getMapState("ahead", "epoch long", "value double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        *before, turn = self.settled.get() if self.settled.exists() else (None, None, 0, None, self.first)
+        replay = Replay(self.rule, *before)
+        waiting = {e: v for (e,), (v,) in self.ahead.iterator()}
+        kept = set(waiting)
+        for frame in rows:
+            for e, v in zip(frame[self.epoch].tolist(), frame[self.value].tolist(), strict=True):
+                if e == e and e is not None and e >= turn:  # an epoch that was replayed comes again: no news
+                    waiting.setdefault(int(e), None if v != v else v)
+        while turn in waiting:
+            replay.step(turn, waiting.pop(turn))
+            turn += 1
+        for e in kept - set(waiting):
+            self.ahead.removeKey((e,))
+        for e in set(waiting) - kept:
+            self.ahead.updateValue((e,), (waiting[e],))
+        self.settled.update((replay.best, replay.best_epoch, replay.misses, replay.stop, turn))
+        shown = Replay(self.rule, replay.best, replay.best_epoch, replay.misses, replay.stop)
+        for e in sorted(waiting):
+            shown.step(e, waiting[e])
+        out = pd.DataFrame({self.run: [key[0]], "best_epoch": [shown.best_epoch], "best": [shown.best], "stop_epoch": [shown.stop], "epochs": [turn - self.first + len(waiting)]})
+        yield out.astype({"best_epoch": "Int64", "best": "float64", "stop_epoch": "Int64"})
+
+
+def streaming_selection(stream: DataFrame, rule: Rule, run: str = "run_id", epoch: str = "epoch", value: str = "metric", first: int = 1) -> DataFrame:
+    """``checkpoint_selection`` of what has arrived of a log: (run, best_epoch, best, stop_epoch, epochs) of the runs of each batch.
+
+    Epochs may come late, in any order and again: of one epoch the row that comes first counts. They are replayed for
+    good in their turn from ``first`` on; those beyond a gap are kept until it is filled, and are replayed in order for
+    what is shown. Rows without an epoch, and of epochs before ``first``, take no part. The stream runs on the RocksDB
+    state store (``run_to_end`` sees to it).
+    """
     kind = dict(stream.dtypes)[run]
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        *before, epochs = state.get if state.exists else (None, None, 0, None, 0)
-        replay = Replay(rule, *before)
-        for v in pd.concat(list(frames)).sort_values(order)[value].tolist():
-            epochs += 1
-            replay.step(epochs, v)
-        state.update((replay.best, replay.best_epoch, replay.misses, replay.stop, epochs))
-        out = pd.DataFrame({run: [key[0]], "best_epoch": [replay.best_epoch], "best": [replay.best], "stop_epoch": [replay.stop], "epochs": [epochs]})
-        yield out.astype({"best_epoch": "Int64", "stop_epoch": "Int64"})
-
-    return stream.groupBy(run).applyInPandasWithState(fold, f"{run} {kind}, best_epoch long, best double, stop_epoch long, epochs long", _STATE, "update", "NoTimeout")
+    rows = stream.select(run, F.col(epoch).cast("long").alias(epoch), F.col(value).cast("double").alias(value))
+    return rows.groupBy(run).transformWithStateInPandas(_Selection(rule, run, epoch, value, first), f"{run} {kind}, best_epoch long, best double, stop_epoch long, epochs long", "update", "none")
 
 
 def run_to_end(updates: DataFrame, folder: str, run: str = "run_id") -> DataFrame:
-    """Run a streaming selection over all that is there; each run's last row."""
-    out = f"{folder}/out"
-
-    def keep(rows: DataFrame, _: int) -> None:
-        rows.write.mode("append").parquet(out)
-
-    updates.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    rows = updates.sparkSession.read.schema(updates.schema).parquet(out)
-    last = rows.groupBy(run).agg(F.max_by(F.struct("best_epoch", "best", "stop_epoch"), "epochs").alias("s"))
+    """Run a streaming selection over all that is there, going on from the checkpoint in ``folder``; each run's last row."""
+    out, conf = f"{folder}/out", updates.sparkSession.conf
+
+    def keep(rows: DataFrame, batch: int) -> None:  # a batch that is run again writes the same rows again
+        rows.withColumn("batch", F.lit(batch)).write.mode("append").parquet(out)
+
+    before = conf.get(_PROVIDER, None)
+    conf.set(_PROVIDER, _ROCKS)
+    try:
+        query = updates.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        conf.unset(_PROVIDER) if before is None else conf.set(_PROVIDER, before)
+    query.awaitTermination()
+    rows = updates.sparkSession.read.schema(updates.schema.add("batch", "long")).parquet(out)
+    last = rows.groupBy(run).agg(F.max_by(F.struct("best_epoch", "best", "stop_epoch"), "batch").alias("s"))
     return last.select(run, "s.best_epoch", "s.best", "s.stop_epoch")
