@@ -3,7 +3,7 @@
 Tokenising is one pass over the texts. Pieces that fill a sequence are sequences; the others are dealt by their row
 number into groups of bounded size, repeated rows too, and each group is packed on its own, so neither the driver nor a
 task holds more than a group.
-The waste of a group is a handful of sequences that stay part-filled when its pieces run out.
+Sequences that stay part-filled when a group's pieces run out are emptied and packed once more by best fit.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .durable import durable, read_table
 SEQUENCE = 2048
 #: Pieces that a group has on average; a group is one task's work.
 GROUP = 60_000
+#: Sequences with more tokens left than this are part-filled; the next limit is taken while fewer sequences might do.
+LEFT = (48, 8, 0)
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = _PIECES + ", sequence_id long, offset long"
@@ -88,6 +90,44 @@ def sum_of_squares(lengths: np.ndarray, size: int = SEQUENCE) -> tuple[np.ndarra
     return sequence, offset
 
 
+def best_fit(lengths: np.ndarray, size: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence number and offset of each length, longest first, each into the fullest sequence that has room for it."""
+    stacks: list[list[int]] = [[] for _ in range(size + 1)]
+    open_ = np.zeros(size + 1, bool)
+    sequence, offset, made = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
+    for i in np.argsort(-lengths, kind="stable"):
+        n = int(lengths[i])
+        gap = n + int(open_[n:].argmax())
+        if open_[gap]:
+            number = stacks[gap].pop()
+            open_[gap] = bool(stacks[gap])
+        else:
+            number, made, gap = made, made + 1, size
+        sequence[i], offset[i] = number, size - gap
+        if gap > n:
+            stacks[gap - n].append(number)
+            open_[gap - n] = True
+    return sequence, offset
+
+
+def packed(lengths: np.ndarray, size: int = SEQUENCE, left: tuple[int, ...] = LEFT) -> tuple[np.ndarray, np.ndarray]:
+    """``sum_of_squares``, then the pieces of part-filled sequences by ``best_fit`` where that takes fewer sequences."""
+    sequence, offset = sum_of_squares(lengths, size)
+    least = -(-int(lengths.sum()) // size)
+    for limit in left:
+        if not len(lengths) or sequence.max() + 1 == least:
+            break
+        part_filled = np.bincount(sequence, lengths) < size - limit
+        again = np.flatnonzero(part_filled[sequence])
+        other, place = best_fit(lengths[again], size)
+        saved = int(part_filled.sum()) - (int(other.max()) + 1 if len(other) else 0)
+        if saved > 0:
+            free = np.flatnonzero(part_filled)
+            sequence[again], offset[again] = free[other], place
+            sequence = np.unique(sequence, return_inverse=True)[1]  # numbers without gaps
+    return sequence, offset
+
+
 def pack(cut: DataFrame, size: int = SEQUENCE, group: int = GROUP) -> DataFrame:
     """Add sequence_id and offset to the rows of ``pieces``. ``cut`` is read twice: pass a written table."""
     n_groups = max(1, -(-cut.where(F.col("length") < size).count() // group))
@@ -98,7 +138,7 @@ def pack(cut: DataFrame, size: int = SEQUENCE, group: int = GROUP) -> DataFrame:
 
     def place(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable")
-        number, offset = sum_of_squares(rows["length"].to_numpy(), size)
+        number, offset = packed(rows["length"].to_numpy(), size)
         rows["sequence_id"], rows["offset"] = rows["packed_in"] * (1 << 40) + number, offset
         return rows[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 

@@ -449,7 +449,19 @@ def test_op10(spark, texts):
             assert offset == at
             at += length
         assert at <= 2048
-    assert len(seq) <= 1.05 * math.ceil(sum(r.length for r in rows) / 2048) + 2
+    assert len(seq) <= 1.005 * math.ceil(sum(r.length for r in rows) / 2048) + 1
+
+
+def test_second_pass():
+    """Part-filled sequences are packed again: whole pieces, gapless, never more sequences, hardly one above the bound."""
+    rng = np.random.default_rng(3)
+    for lengths, size in ((rng.integers(1, 20, 300), 20), (rng.integers(1, 8, 40), 20), (np.array([7, 7, 7]), 10), (np.array([], int), 10)):
+        for pack in (packing.best_fit, packing.packed):
+            sequence, offset = pack(lengths, size)
+            for s in set(sequence.tolist()):
+                inside = sorted((offset[i], lengths[i]) for i in np.flatnonzero(sequence == s))
+                assert [o for o, _ in inside] == [sum(n for _, n in inside[:k]) for k in range(len(inside))] and sum(n for _, n in inside) <= size
+        assert len(set(packing.packed(lengths, size)[0])) <= len(set(packing.sum_of_squares(lengths, size)[0]))
 
 
 def test_sum_of_squares_rule():
