@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def page_mean_pool(pages: DataFrame, key: str = "score_id", column: str = "embedding") -> DataFrame:
-    """(key, embedding): mean vector of a score's pages, dimension by dimension."""
-    each = pages.select(key, F.posexplode(F.col(column).cast("array<double>")).alias("dim", "x")).groupBy(key, "dim").agg(F.avg("x").alias("x"))
-    return each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("embedding"))
+    """(key, embedding): mean vector of a score's pages; every task sends one partial sum a score.
+
+    Pages without a vector, or with a null component, take no part, and scores of such pages only have no row. Vectors of
+    unlike length within a score are an error.
+    """
+    rows = pages.select(key, F.col(column).cast("array<double>").alias("_v")).where("size(_v) > 0 AND forall(_v, x -> x IS NOT NULL)")
+    return rows.groupBy(key).agg(vector_to_array(Summarizer.mean(array_to_vector(F.col("_v")))).alias("embedding"))
 
 
 def token_grid_pool(grid: Column, width: int, rows: int | None = None, how: str = "mean") -> Column:

@@ -7,6 +7,7 @@ from corpusloom.operators import learning as L
 from corpusloom.operators import metrics as M
 from corpusloom.operators import pairs as P
 from corpusloom.operators import tokens as K
+from corpusloom.operators import vectors as V
 from corpusloom.streaming import run_log as X
 
 
@@ -93,3 +94,13 @@ def test_vectors(spark):
 def test_extreme_steps(spark):
     log = frame(spark, [("a", 1, 3.0), ("a", 2, None), ("a", 3, 1.0), ("a", 4, 1.0), ("a", 5, 3.0), ("b", 1, None), (None, 1, 2.0)], "run_id string, epoch int, metric double")
     assert rows(X.extreme_steps(log)) == [("a", 3, 1), ("b", None, None), (None, 1, 1)]
+
+
+def test_pooling(spark):
+    df = frame(spark, [("a", [1.0, 2.0]), ("a", [3.0, 6.0]), ("a", None), ("a", [None, 1.0]), ("b", None), (None, [5.0]), ("c", [])], "score_id string, embedding array<float>")
+    assert rows(V.page_mean_pool(df)) == [("a", [2.0, 4.0]), (None, [5.0])]
+    assert V.page_mean_pool(df.where("false")).count() == 0
+    plan = V.page_mean_pool(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    with pytest.raises(Exception, match="(?i)dimension"):
+        V.page_mean_pool(frame(spark, [("a", [1.0]), ("a", [1.0, 2.0])], "score_id string, embedding array<float>").coalesce(1)).collect()
