@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,34 +46,133 @@ class Replay:
             self.stop = epoch if rule.patience and self.misses >= rule.patience else None
 
 
+#: Epochs that one stretch sums up at most.
+STRETCH = 4096
+
+State = tuple  # best, best_epoch, misses, stop: as in Replay
+
+
+class Stretch:
+    """What consecutive live epochs of a run do to any state before them.
+
+    The state matters through the first epoch that betters its best, which is one of the stretch's records (values below
+    all before them); what follows from there is the record's own outcome. ``values`` and ``at`` are the records' values
+    with the margin and how many epochs come before them, ``labels`` the first epochs, as many as the patience.
+    """
+
+    def __init__(self, rule: Rule, n: int, labels: list[int], values: np.ndarray, at: list[int], out: list[State]):
+        self.rule, self.n, self.labels, self.values, self.at, self.out = rule, n, labels, values, at, out
+
+    @classmethod
+    def of(cls, rule: Rule, epochs: np.ndarray, metric: np.ndarray) -> Stretch:
+        """Of sorted epochs not before the rule's start; an undefined metric is a miss."""
+        n, shifted = len(epochs), metric + rule.margin
+        known = np.flatnonzero(~np.isnan(metric))
+        low = np.minimum.accumulate(shifted[known])
+        records = known[np.concatenate([[True], shifted[known][1:] < low[:-1]])] if len(known) else known
+        after: dict[int, State] = {}
+        for record in records[::-1].tolist():
+            chain = [record]
+            while chain[-1] not in after:
+                t = chain[-1]
+                better = shifted[t + 1 :] < metric[t] * rule.factor
+                gap = int(better.argmax()) if better.any() else n - 1 - t
+                if rule.patience and gap >= rule.patience:
+                    after[t] = (float(metric[t]), int(epochs[t]), rule.patience, int(epochs[t + rule.patience]))
+                elif not better.any():
+                    after[t] = (float(metric[t]), int(epochs[t]), gap, None)
+                else:
+                    chain.append(t + 1 + gap)
+            for t in chain:
+                after[t] = after[chain[-1]]
+        return cls(rule, n, epochs[: rule.patience].tolist(), shifted[records], records.tolist(), [after[t] for t in records.tolist()])
+
+    def leave(self, state: State) -> State:
+        best, best_epoch, misses, stop = state
+        if stop is not None:
+            return state
+        i = 0 if best is None else int(np.searchsorted(-self.values, -best * self.rule.factor, "right"))
+        hit = i < len(self.at)
+        missed = misses + (self.at[i] if hit else self.n)
+        if self.rule.patience and missed >= self.rule.patience:
+            return best, best_epoch, self.rule.patience, self.labels[self.rule.patience - misses - 1]
+        return self.out[i] if hit else (best, best_epoch, missed, None)
+
+    def then(self, other: Stretch) -> Stretch:
+        """This stretch and the next as one; associative."""
+        new = other.values < self.values[-1] if len(self.values) else np.ones(len(other.values), bool)
+        some = np.flatnonzero(new).tolist()
+        return Stretch(
+            self.rule, self.n + other.n, (self.labels + other.labels)[: self.rule.patience], np.concatenate([self.values, other.values[new]]),
+            self.at + [self.n + other.at[i] for i in some], [other.leave(s) for s in self.out] + [other.out[i] for i in some],
+        )
+
+
+_OUTCOME = ("best", "best_epoch", "misses", "stop")
+
+
 def checkpoint_selection(log: DataFrame, rule: Rule, run: str = "run_id", epoch: str = "epoch", value: str = "metric") -> DataFrame:
-    """(run, best_epoch, best, stop_epoch): an ordered fold over each run's epochs; stop_epoch is null if it never stops.
+    """(run, best_epoch, best, stop_epoch): the rule replayed over each run's epochs in order; stop_epoch is null if it never stops.
 
-    The rules are not associative, so a run's rows stream through one task in order; only its state is kept.
+    A run may be spread over any number of tasks: each sums its epochs up as a function of the state before them, and
+    the functions are applied in order. Rows without an epoch take no part; missing and undefined values are misses.
     """
     kind = log.schema[run].dataType
-    shape = T.StructType([T.StructField(run, kind), T.StructField("best_epoch", T.LongType()), T.StructField("best", T.DoubleType()), T.StructField("stop_epoch", T.LongType())])
-    rows = log.select(F.col(run).alias("run"), F.col(epoch).cast("long").alias("e"), F.col(value).cast("double").alias("v")).repartition("run").sortWithinPartitions("run", "e", "v")
+    rows = log.select(F.col(run).alias("run"), F.col(epoch).cast("long").alias("e"), F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))).alias("v")).where("e IS NOT NULL")
+    dealt = rows.repartitionByRange("run", "e", "v").sortWithinPartitions("run", "e", "v").withColumn("part", F.spark_partition_id().cast("long"))
+    fields = "part long, n long, labels array<long>, values array<double>, at array<long>, best array<double>, best_epoch array<long>, misses array<long>, stop array<long>"
+    shape = T.StructType([T.StructField("run", kind), *T.StructType.fromDDL(fields).fields])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, (e, v), part = batch.column("run"), (batch.column(c).to_numpy() for c in ("e", "v")), batch.column("part")[0].as_py()
+            coded = keys.dictionary_encode("encode").indices.to_numpy()
+            edges = [0, *(np.flatnonzero(coded[1:] != coded[:-1]) + 1).tolist(), len(coded)]
+            done = []
+            for a, b in zip(edges, edges[1:]):
+                key, live = keys[a].as_py(), a + int(np.searchsorted(e[a:b], rule.start))
+                if now is not None and now[0] != key:
+                    done.append(now)
+                    now = None
+                now = now or (key, part, Stretch.of(rule, e[:0], v[:0]))
+                for at in range(live, b, STRETCH):
+                    to = min(b, at + STRETCH)
+                    now = (key, part, now[2].then(Stretch.of(rule, e[at:to], v[at:to])))
+            yield closed(done, keys.type)
+        if now is not None:
+            yield closed([now], keys.type)
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state, kinds = None, None, None
+    def closed(done: list[tuple], kind_: pa.DataType) -> pa.RecordBatch:
+        kinds = (pa.float64(), pa.int64(), pa.int64(), pa.int64())
+        outcomes = [pa.array([[s[k] for s in x.out] for _, _, x in done], pa.list_(t)) for k, t in enumerate(kinds)]
+        lists = [pa.array([list(getattr(x, n)) for _, _, x in done], pa.list_(t)) for n, t in (("labels", pa.int64()), ("values", pa.float64()), ("at", pa.int64()))]
+        columns = [pa.array([k for k, _, _ in done], kind_), pa.array([p for _, p, _ in done], pa.int64()), pa.array([x.n for _, _, x in done], pa.int64()), *lists, *outcomes]
+        return pa.record_batch(columns, ["run", "part", "n", "labels", "values", "at", *_OUTCOME])
+
+    def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, kind_ = None, None, None
         for batch in batches:
-            kinds, out = batch.schema.field("run").type, []
-            for key, e, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if state is None or key != now:
+            kind_, done = batch.schema.field("run").type, []
+            for r in batch.to_pylist():
+                if state is None or r["run"] != now:
                     if state is not None:
-                        out.append((now, state))
-                    now, state = key, Replay(rule)
-                state.step(e, v)
-            yield closed(out, kinds)
+                        done.append((now, state))
+                    now, state = r["run"], (None, None, 0, None)
+                out = list(zip(*(r[n] for n in _OUTCOME), strict=True))
+                state = Stretch(rule, r["n"], r["labels"], np.array(r["values"], float), r["at"], out).leave(state)
+            yield ended(done, kind_)
         if state is not None:
-            yield closed([(now, state)], kinds)
+            yield ended([(now, state)], kind_)
 
-    def closed(done: list[tuple], kind_: pa.DataType) -> pa.RecordBatch:
-        columns = [pa.array([k for k, _ in done], kind_), pa.array([s.best_epoch for _, s in done], pa.int64()), pa.array([s.best for _, s in done], pa.float64()), pa.array([s.stop for _, s in done], pa.int64())]
+    def ended(done: list[tuple], kind_: pa.DataType) -> pa.RecordBatch:
+        columns = [pa.array([k for k, _ in done], kind_), *(pa.array([s[k] for _, s in done], t) for k, t in ((1, pa.int64()), (0, pa.float64()), (3, pa.int64())))]
         return pa.record_batch(columns, [run, "best_epoch", "best", "stop_epoch"])
 
-    return rows.mapInArrow(fold, shape)
+    functions = dealt.mapInArrow(summed, shape).repartition("run").sortWithinPartitions("run", "part")
+    return functions.mapInArrow(applied, T.StructType([T.StructField(run, kind), T.StructField("best_epoch", T.LongType()), T.StructField("best", T.DoubleType()), T.StructField("stop_epoch", T.LongType())]))
 
 
 def epoch_losses(batches: DataFrame, run: str = "run_id", epoch: str = "epoch", loss: str = "loss", n: str = "n") -> DataFrame:

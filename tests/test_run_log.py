@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from corpusloom.streaming import run_log as X
@@ -36,3 +37,50 @@ def test_redelivered_and_late(spark, rule, tmp_path):
 def test_undefined_values(spark):
     log = spark.createDataFrame([("a", 1, float("nan")), ("a", 2, 3.0), ("a", 3, None)], SHAPE)
     assert plain(X.checkpoint_selection(log, X.RULES["plain"])) == [("a", 2, 3.0, None)]
+
+
+def metrics(rng, n):
+    kind = rng.randrange(4)
+    one = {0: lambda t: rng.choice([1.0, 2.0, 3.0, 0.5, -1.0, -1.005, 0.0]), 1: lambda t: 10.0 - t * 0.05, 2: lambda t: rng.gauss(5, 1), 3: lambda t: 3 + 5 / (t + 1) + rng.random() * 0.1}[kind]
+    return [float("nan") if rng.random() < 0.15 else one(t) for t in range(n)]
+
+
+@pytest.mark.parametrize("rule", [*X.RULES.values(), X.Rule(factor=0.9, margin=0.1, patience=2, start=4)])
+def test_stretches(rule):
+    """Any cut into stretches, joined in any order of joining, does what the replay does, from any state."""
+    rng = random.Random(8)
+    for _ in range(300):
+        n = rng.choice([0, 1, 2, 5, 30, 90])
+        v, e = metrics(rng, n), np.cumsum([rng.choice([1, 1, 2]) for _ in range(n)]) + rule.start
+        cuts = sorted(rng.randrange(n + 1) for _ in range(3))
+        parts = [X.Stretch.of(rule, e[a:b].astype(np.int64), np.array(v[a:b])) for a, b in zip([0, *cuts], [*cuts, n])]
+        begun = rng.choice([(None, None, 0, None), (2.0, 1, 0, None), (-1.0, 1, min(1, max(0, rule.patience - 1)), None), (None, None, 0, 3)])
+        replay = X.Replay(rule, *begun)
+        for x, y in zip(e.tolist(), v):
+            replay.step(x, y)
+        want = (replay.best, replay.best_epoch, replay.stop)
+        left = parts[0].then(parts[1]).then(parts[2]).then(parts[3])
+        right = parts[0].then(parts[1].then(parts[2].then(parts[3])))
+        state = begun
+        for p in parts:
+            state = p.leave(state)
+        for got in (left.leave(begun), right.leave(begun), state):
+            assert (got[0], got[1], got[3]) == want and (got[3] is not None or got[2] == replay.misses)
+
+
+@pytest.mark.parametrize("rule", ["relative", "plain"])
+def test_one_long_run(spark, rule, monkeypatch):
+    monkeypatch.setattr(X, "STRETCH", 700)
+    rng = random.Random(2)
+    log = [("long", t, 5 + 200 / t + rng.random()) for t in range(1, 20_001)] + [("short", 1, 1.0), (None, 2, 1.0), (None, 1, 2.0)]
+    replay = X.Replay(X.RULES[rule])
+    for _, t, v in log[:20_000]:
+        replay.step(t, v)
+    for parts in ("1", "16"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = {r[0]: tuple(r[1:]) for r in X.checkpoint_selection(spark.createDataFrame(log, SHAPE), X.RULES[rule]).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert got == {"long": (replay.best_epoch, replay.best, replay.stop), "short": (1, 1.0, None), None: (2, 1.0, None)}
