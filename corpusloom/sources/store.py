@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,14 +13,24 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset a folder below the warehouse, which executors share too, becomes it."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a folder below the warehouse.
+
+    On a cluster a warehouse on local disks is refused: executors would not see each other's files.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if machine_local(spark.sparkContext.master, warehouse):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the cluster shares; {warehouse} is on each machine's own disk")
+        folder = f"{warehouse}/checkpoints"
     return folder.rstrip("/")
 
 
+def machine_local(master: str, folder: str) -> bool:
+    """Whether executors of other machines would miss what is written to the folder."""
+    return not (master == "local" or master.startswith("local[")) and urlparse(folder).scheme in ("", "file")
+
+
 def scratch(spark: SparkSession, name: str = "table") -> str:
     """A new path below the shared folder."""
     return f"{shared_folder(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"

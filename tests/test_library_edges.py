@@ -8,6 +8,7 @@ from corpusloom.operators import metrics as M
 from corpusloom.operators import pairs as P
 from corpusloom.operators import tokens as K
 from corpusloom.operators import vectors as V
+from corpusloom.sources import store
 from corpusloom.streaming import run_log as X
 
 
@@ -104,3 +105,26 @@ def test_pooling(spark):
     assert "Generate" not in plan
     with pytest.raises(Exception, match="(?i)dimension"):
         V.page_mean_pool(frame(spark, [("a", [1.0]), ("a", [1.0, 2.0])], "score_id string, embedding array<float>").coalesce(1)).collect()
+
+
+class Session:
+    """What the shared folder is found from."""
+
+    def __init__(self, master, **settings):
+        self.sparkContext, self.conf, self.settings = self, self, {k.replace("_", "."): v for k, v in settings.items()}
+        self.master = master
+
+    def get(self, name, default=None):
+        return self.settings.get(name, default)
+
+    def set(self, name, value):
+        self.settings[name] = value
+
+
+def test_shared_folder():
+    assert store.machine_local("spark://host:7077", "file:/tmp/x") and store.machine_local("yarn", "/tmp/x")
+    assert not store.machine_local("yarn", "hdfs://host/x") and not store.machine_local("local[4]", "file:/tmp/x")
+    assert store.shared_folder(Session("yarn", spark_checkpoint_dir="hdfs://a/b/")) == "hdfs://a/b"
+    assert store.shared_folder(Session("local[2]", spark_sql_warehouse_dir="file:/w")) == "file:/w/checkpoints"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        store.shared_folder(Session("yarn", spark_sql_warehouse_dir="file:/w"))
