@@ -2,9 +2,12 @@
 
 Prefix sums of the turns' tokens place every turn in its conversation. A window takes the turns from where the last one
 ended for as long as the system turn, the history and they themselves fit the budget; the history are the turns just
-before, as many as fit a budget of their own, fewer where the first new turn would not fit otherwise. The system turn
-opens every window. Repeated turns are never learned again. Sums are two-level and windows are chosen within stretches
-of MANY budgets, so a long conversation spreads over many tasks; only the last window of a stretch may be left part-filled.
+before, as many as fit a budget of their own, fewer where the first new turn would not fit otherwise. Both are found by
+a search on the prefix sums, so where a window ends depends on nothing but where it starts. The system turn opens every
+window. Repeated turns are never learned again. Sums are two-level. A long conversation spreads over tasks by stretches
+of MANY budgets: each says where windows from each of its few possible first turns would leave it, a scan of these
+numbers finds the turn where each stretch is entered, and then the stretches make their windows, which may end in the
+next one: they are those of one pass over the whole conversation, whatever the stretches.
 
 A turn reads ``<|turn:ROLE|>`` newline TEXT ``<|end|>`` newline. Inside texts a backslash goes into every control string
 behind its first character and any backslashes there, which also holds for control strings that had some: reversible,
@@ -103,6 +106,10 @@ _WINDOW = f"conv_id long, window long, text string, spans array<struct<{_SPAN.re
 _SPAN_KIND = pa.struct([(n, {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[k]) for n, k in (c.split() for c in _SPAN.split(", "))])
 
 
+#: What a row is to a stretch, in order: where it is entered, the system turn, turns just before it, its own, those behind it.
+_ENTRY, _SYSTEM, _NEAR, _OWN, _BEHIND = range(5)
+
+
 class _Turn(NamedTuple):
     turn: int
     role: str
@@ -125,39 +132,97 @@ def _row(conv: int | None, number: int, system: _Turn | None, first: bool, again
     return conv, number, "".join(texts), spans, tokens
 
 
-def _chosen(conv: int | None, stretch: int, rows: Iterator[tuple[int, _Turn]], budget: int, history: int) -> Iterator[tuple]:
-    """Windows of one stretch, from (kind, turn) in order: 0 the system turn, 1 turns of the stretch before, 2 turns of its own."""
-    system, number = None, stretch * _NUMBERS
-    before: list[_Turn] = []  # the turns that a history may take, latest last
-    again: list[_Turn] = []
-    own: list[_Turn] = []
-    made = False
-
-    def remembered(turn: _Turn) -> None:
-        before.append(turn)
-        while sum(t.tokens for t in before) > history:
-            before.pop(0)
-
-    for kind, turn in rows:
-        if kind == 0:
-            system = turn
-            continue
-        if kind == 2:
-            room = budget - (system.tokens if system else 0)
-            if own and sum(t.tokens for t in again) + sum(t.tokens for t in own) + turn.tokens > room:
-                yield _row(conv, number, system, number == 0, again, own)
-                number, made, own = number + 1, True, []
-            if not own:
-                again = list(before)
-                while again and sum(t.tokens for t in again) + turn.tokens > room:
-                    again.pop(0)
-            own.append(turn)
-        remembered(turn)
-    if own or system is not None and not made and stretch == 0:
-        yield _row(conv, number, system, number == 0, again if own else [], own)
-
-
-def windows(conversations: DataFrame, tokenizer: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def _reach(start: np.ndarray, upto: np.ndarray, room: int, history: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each turn, were a window's new turns to begin with it: the first turn repeated as history, the first turn left to the next window."""
+    back = np.minimum(history, np.maximum(0, room - (upto - start)))
+    first = np.searchsorted(start, start - back)
+    stop = np.searchsorted(upto, room + start[first], side="right")
+    return first, np.maximum(stop, np.arange(len(start)) + 1)
+
+
+def _exits(rows: list[tuple[int, int, int]], stretch: int, long: int, budget: int, history: int) -> Iterator[tuple[int, int, int]]:
+    """(first, entry, exit) of a stretch from its (kind, start, tokens): where windows from ``entry`` leave it.
+
+    Entries are the first turn and those that a window from the stretch before can leave: within one budget.
+    ``first`` is where the conversation's first window starts.
+    """
+    system = sum(r[2] for r in rows if r[0] == _SYSTEM)
+    turns = np.array([r for r in rows if r[0] != _SYSTEM], np.int64).reshape(-1, 3)
+    kind, start, upto = turns[:, 0], turns[:, 1], turns[:, 1] + turns[:, 2]
+    own = np.flatnonzero(kind == _OWN)
+    if not len(own):
+        return
+    stop = _reach(start, upto, budget - system, history)[1]
+    leave = upto[stop - 1]
+    for i in own[::-1]:
+        if stop[i] <= own[-1]:
+            leave[i] = leave[stop[i]]
+    may = own[:1] if stretch == 0 else own[(start[own] < stretch * long + budget) | (own == own[0])]
+    for i in may:
+        yield system, int(start[i]), int(leave[i])
+
+
+def _chosen(conv: int | None, stretch: int, rows: list[tuple[int, int, _Turn]], budget: int, history: int) -> Iterator[tuple]:
+    """Windows that start in a stretch, from (kind, start, turn) in order."""
+    system = next((t for kind, _, t in rows if kind == _SYSTEM), None)
+    fixed = system.tokens if system else 0
+    turns = [r for r in rows if r[0] >= _NEAR]
+    own = [i for i, r in enumerate(turns) if r[0] == _OWN]
+    if not own:
+        if system:
+            yield _row(conv, stretch * _NUMBERS, system, True, [], [])
+        return
+    start = np.array([r[1] for r in turns], np.int64)
+    entry = next((s for kind, s, _ in rows if kind == _ENTRY), fixed if stretch == 0 else None)
+    if entry is None:
+        return  # a window from the stretch before takes all
+    first, stop = _reach(start, start + np.array([r[2].tokens for r in turns], np.int64), budget - fixed, history)
+    at, number = int(np.searchsorted(start, entry)), stretch * _NUMBERS
+    while at <= own[-1]:
+        yield _row(conv, number, system, start[at] == fixed, [r[2] for r in turns[first[at] : at]], [r[2] for r in turns[at : stop[at]]])
+        at, number = int(stop[at]), number + 1
+
+
+def _entries(rows: DataFrame, long: int, budget: int, history: int) -> DataFrame:
+    """(conv_id, stretch, start) of the turn where each stretch is entered, from (conv_id, stretch, kind, start, tokens)."""
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(n, "conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", "kind", "start")
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        out = []
+        for (conv, stretch), group in groupby(each, key=lambda r: r[:2]):
+            out += [(conv, stretch, *e) for e in _exits([r[2:] for r in group], stretch, long, budget, history)]
+            if len(out) > 1 << 14:
+                yield _longs(out, _EXIT)
+                out = []
+        yield _longs(out, _EXIT)
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at = (), 0
+        for batch in batches:
+            out = []
+            for conv, stretch, first, entry, exit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (conv,):
+                    now, at = (conv,), first
+                if entry == at:
+                    out.append((conv, stretch, entry))
+                    at = exit
+            yield _longs(out, _ENTERED)
+
+    exits = rows.select("conv_id", "stretch", "kind", "start", "tokens").mapInArrow(leave, _EXIT)
+    return exits.repartition(n, "conv_id").sortWithinPartitions("conv_id", "start").mapInArrow(follow, _ENTERED)
+
+
+_EXIT, _ENTERED = "conv_id long, stretch long, first long, start long, leave long", "conv_id long, stretch long, start long"
+
+
+def _longs(rows: list[tuple], shape: str) -> pa.RecordBatch:
+    names = [c.split()[0] for c in shape.split(", ")]
+    return pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))], names)
+
+
+def windows(conversations: DataFrame, tokenizer: str, budget: int = BUDGET, history: int = HISTORY, many: int = MANY) -> DataFrame:
     """(conv_id, window, text, spans, n_tokens), windows of a conversation in order.
 
     ``spans`` lists the turns of a window: turn, role, start and stop (code points of ``text``, marks included), repeated
@@ -165,7 +230,8 @@ def windows(conversations: DataFrame, tokenizer: str, budget: int = BUDGET, hist
     assistant turns that are not repeated, else null. A window has at most ``budget`` tokens unless the system turn and
     one other are too long for it together; then it has no others. A conversation that fits the budget is one window.
     Turns that share a number are ordered by role, then a hash of their texts; null turns come first; a null conv_id is
-    a conversation. A first turn of role ``system`` is the system turn. An empty table gives no windows.
+    a conversation. A first turn of role ``system`` is the system turn. An empty table gives no windows. Stretches are
+    ``many`` budgets; windows are the same for any. ``history`` is at most ``budget``.
     """
 
     @F.pandas_udf("long")
@@ -174,18 +240,26 @@ def windows(conversations: DataFrame, tokenizer: str, budget: int = BUDGET, hist
 
     turns = durable(rendered(conversations).withColumn("tokens", tokens("turn_text")), "turns")
     placed = in_order(turns)
-    long = budget * MANY
+    long = budget * many
     placed = placed.withColumn("stretch", F.floor(F.col("start") / long)).withColumn("head", (F.col("start") == 0) & (F.col("role") == "system"))
     placed = durable(placed, "placed")
     named = ["turn", "role", "opening", "body", "turn_text", "tokens", "learned"]
-    own = placed.where("NOT head").select("conv_id", "stretch", F.lit(2).alias("kind"), "start", *named)
-    # the turns just before a stretch, which its first window may repeat
-    near = placed.where(~F.col("head") & (F.col("start") >= (F.col("stretch") + 1) * long - history)).select("conv_id", (F.col("stretch") + 1).alias("stretch"), F.lit(1).alias("kind"), "start", *named)
+    turn = placed.where("NOT head")
+    within = F.col("start") - F.col("stretch") * long
+    own = turn.select("conv_id", "stretch", F.lit(_OWN).alias("kind"), "start", *named)
+    # the turns just before a stretch, which its first window may repeat, and those behind it, which its last may take
+    near = turn.where(within >= long - history).select("conv_id", (F.col("stretch") + 1).alias("stretch"), F.lit(_NEAR).alias("kind"), "start", *named)
+    behind = turn.where((F.col("stretch") > 0) & (within < budget)).select("conv_id", (F.col("stretch") - 1).alias("stretch"), F.lit(_BEHIND).alias("kind"), "start", *named)
     heads = placed.where("head").select(F.col("conv_id").alias("c"), F.col("start"), *named)
-    there = placed.select("conv_id", "stretch").distinct()
-    system = there.join(heads, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "stretch", F.lit(0).alias("kind"), "start", *named)
+    there = turn.select("conv_id", "stretch").distinct()
+    same = F.col("conv_id").eqNullSafe(F.col("c"))
+    system = there.join(heads, same).select("conv_id", "stretch", F.lit(_SYSTEM).alias("kind"), "start", *named)
+    alone = heads.join(there, same, "left_anti").select(F.col("c").alias("conv_id"), F.lit(0).cast("long").alias("stretch"), F.lit(_SYSTEM).alias("kind"), "start", *named)
     n = max(1, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = own.unionByName(near).unionByName(system).repartition(n, "conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", "kind", "start")
+    rows = own.unionByName(near).unionByName(behind).unionByName(system)
+    entered = _entries(rows.select("conv_id", "stretch", "kind", "start", "tokens"), long, budget, history).withColumn("kind", F.lit(_ENTRY))
+    rows = rows.unionByName(alone).unionByName(entered, allowMissingColumns=True)
+    rows = rows.repartition(n, "conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", "kind", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
@@ -194,7 +268,7 @@ def windows(conversations: DataFrame, tokenizer: str, budget: int = BUDGET, hist
 
         out, size = [], 0
         for (conv, stretch), group in groupby(each(), key=lambda r: r[:2]):
-            for row in _chosen(conv, stretch, ((r[2], _Turn(*r[4:])) for r in group), budget, history):
+            for row in _chosen(conv, stretch, [(r[2], r[3], _Turn(*r[4:])) for r in group], budget, history):
                 out.append(row)
                 size += len(row[2])
                 if size > 1 << 22:

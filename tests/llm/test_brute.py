@@ -211,24 +211,54 @@ def test_op5_windows(spark):
     for c in range(5):
         own = [s for w in made[c] for s in w.spans if not s.repeated]
         assert len(own) == sum(t[0] == c for t in talk)
-        long = 600 * chat_windows.MANY
-        sizes, at, ends = [], 0, []
+        ends = []
         for w in made[c]:
             parts = [(s, len(byte_bpe_ids(w.text[s.start : s.stop], bpe))) for s in w.spans]
-            head = [n for s, n in parts if s.role == "system"]
             again, fresh = [n for s, n in parts if s.repeated and s.role != "system"], [n for s, n in parts if not s.repeated and s.role != "system"]
             assert w.n_tokens == sum(n for _, n in parts) and sum(again) <= 150
             assert w.n_tokens <= 600 or len(again) + len(fresh) == 1
-            if ends:  # the first new turn did not fit the window before, unless a stretch began
-                before = ends[-1]
-                assert before[0] + fresh[0] > 600 or (before[1] // long != at // long)
-            at += (sum(head) if not ends else 0) + sum(fresh)
-            ends.append((w.n_tokens, at - fresh[-1]))
-            sizes.append(w.n_tokens)
+            if ends:  # the first new turn did not fit the window before
+                assert ends[-1] + fresh[0] > 600
+            ends.append(w.n_tokens)
         if sum(n for w in made[c][:1] for n in [w.n_tokens]) and c in (2, 4) and sum(len(byte_bpe_ids(w.text, bpe)) for w in made[c]) <= 600:
             assert len(made[c]) == 1
 
 
+def test_op5_stretches(spark):
+    """The windows of one pass over each conversation, for stretches and partitions of any size; very long turns too."""
+    from corpusloom.llm.byte_bpe import byte_bpe_ids
+
+    bpe, rng, budget, history = public_tokenizers.path("byte_bpe_50k.json"), np.random.default_rng(9), 200, 60
+    heads = {0: "be kind", 1: "rule " * 1000, 2: "only " * 900, 5: "only"}
+    talk = [(c, -1, "system", t) for c, t in heads.items()]
+    for c, n in ((0, 300), (1, 40), (3, 1), (4, 200), (None, 50)):
+        talk += [(c, t, ("user", "assistant")[t % 2], "word " * int(rng.integers(0, 40) if rng.random() < 0.95 else rng.integers(150, 900)) + str(t)) for t in range(n)]
+    rows = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
+    tokens = defaultdict(list)
+    for r in chat_windows.rendered(rows).collect():
+        tokens[r.conv_id].append((r.turn, r.role, len(byte_bpe_ids(r.turn_text, bpe))))
+    want = {}
+    for c, turns in tokens.items():
+        turns.sort()
+        head = turns.pop(0) if turns[0][1] == "system" else None
+        room, made, at = budget - (head[2] if head else 0), [], 0
+        while at < len(turns) or head and not made:
+            end, again = at, at
+            if turns:
+                while again > 0 and sum(t[2] for t in turns[again - 1 : at]) <= history and sum(t[2] for t in turns[again - 1 : at + 1]) <= room:
+                    again -= 1
+                while end == at or end < len(turns) and sum(t[2] for t in turns[again : end + 1]) <= room:
+                    end += 1
+            made.append(([(head[0], bool(made))] if head else []) + [(t[0], k < at) for k, t in enumerate(turns[again:end], again)])
+            at = end
+        want[c] = made
+    for many, parts in ((1, 1), (2, 5), (64, 3)):
+        got = defaultdict(list)
+        for w in chat_windows.windows(rows.repartition(parts), bpe, budget, history, many).orderBy("window").collect():
+            got[w.conv_id].append([(s.turn, s.repeated) for s in w.spans])
+        assert got == want
+
+
 def test_op6(spark, texts):
     got = {r.doc_id: r for r in run(spark, "op6_fingerprints").collect()}
     order, gaps = sorted(texts, reverse=True), []
