@@ -257,7 +257,10 @@ def windows(conversations: DataFrame, tokenizer: str, budget: int = BUDGET, hist
     alone = heads.join(there, same, "left_anti").select(F.col("c").alias("conv_id"), F.lit(0).cast("long").alias("stretch"), F.lit(_SYSTEM).alias("kind"), "start", *named)
     n = max(1, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = own.unionByName(near).unionByName(behind).unionByName(system)
-    entered = _entries(rows.select("conv_id", "stretch", "kind", "start", "tokens"), long, budget, history).withColumn("kind", F.lit(_ENTRY))
+    # stretch 0 is entered at its first turn: only conversations that go beyond it are looked at
+    beyond = turn.where("stretch > 0").select(F.col("conv_id").alias("c")).distinct()
+    counted = rows.select("conv_id", "stretch", "kind", "start", "tokens").join(beyond, same, "left_semi")
+    entered = _entries(counted, long, budget, history).withColumn("kind", F.lit(_ENTRY))
     rows = rows.unionByName(alone).unionByName(entered, allowMissingColumns=True)
     rows = rows.repartition(n, "conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", "kind", "start")
 
