@@ -304,7 +304,7 @@ def _(spark, d):
     norm = F.sqrt(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x))
     compute = lambda rows: rows.select("vec_id", F.round(norm, 4).alias("norm"))
     e, path = table(spark, d, "embeddings"), scratch(spark)
-    compute(e.where("label % 2 = 0")).write.parquet(path)  # an earlier run that covered one model
+    R.materialize_missing(e.where("label % 2 = 0"), path, "vec_id", compute)  # an earlier run that covered one model
     return R.materialize_missing(e, path, "vec_id", compute)
 
 
@@ -821,7 +821,9 @@ def _(spark, d):
 def _pages_asked(n: str) -> str:
     return f"""{_METER}, ask AS (SELECT o_orderkey AS page_id, {n} AS n FROM orders), ms AS (SELECT DISTINCT meter, size FROM ix), ft AS (SELECT page_id, n, list(meter ORDER BY meter) AS m, list(size ORDER BY meter) AS z FROM ask JOIN ms ON size>=n GROUP BY 1,2),
 ch AS (SELECT page_id, n, m[1+CAST(floor({u_sql('choose', 'page_id')}*len(m)) AS INT)] AS meter, z[1+CAST(floor({u_sql('choose', 'page_id')}*len(m)) AS INT)] AS s FROM ft),
-dr AS (SELECT page_id, n, meter, k, (CAST(floor({u_sql('start', 'page_id')}*s) AS BIGINT)+CAST(floor(k*s/CAST(n AS DOUBLE)) AS BIGINT))%s AS nth FROM (SELECT *, unnest(range(n)) AS k FROM ch)),
+pl AS (SELECT page_id, n, meter, list_reduce(list_transform(range(CAST(s-n AS BIGINT), CAST(s AS BIGINT)), lambda j: [j, CAST(floor({u_sql('draw', 'page_id', 'j')}*(j+1)) AS BIGINT)]),
+  lambda a, e: CASE WHEN list_contains(a, e[2]) THEN list_concat(a[1:list_position(a, e[2])], [e[1]], a[list_position(a, e[2])+1:]) ELSE list_concat([e[2]], a) END, CAST([] AS BIGINT[])) AS p FROM ch),
+dr AS (SELECT page_id, n, meter, k, p[k+1] AS nth FROM (SELECT *, unnest(range(n)) AS k FROM pl)),
 sy AS (SELECT page_id, n, k, dr.meter, id FROM dr JOIN ix ON ix.meter=dr.meter AND ix.nth=dr.nth)"""
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import os
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .store import written
 
@@ -83,17 +87,85 @@ def parse_page_key(stem: Column) -> Column:
     return F.when(stem.rlike(pattern), part)
 
 
-def materialize_missing(inputs: DataFrame, path: str, key: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The store at ``path`` after computing and appending the keys it lacks; counts must agree."""
-    spark = inputs.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    missing = inputs.join(spark.read.parquet(path).select(key), key, "left_anti") if there else inputs
-    compute(missing).write.mode("append").parquet(path)
-    store = spark.read.parquet(path)
-    if store.count() != inputs.select(key).distinct().count():
-        raise ValueError(f"{path} does not hold one row for each {key}")
-    return store
+def materialize_missing(inputs: DataFrame, path: str, key: str, compute: Callable[[DataFrame], DataFrame], by: Sequence[str] = ()) -> DataFrame:
+    """The store at ``path`` after computing and adding the keys it lacks; ``compute`` must give one row for each.
+
+    What a call computes goes to a folder of its own, laid out ``by`` columns, and counts once a manifest that lists it
+    is there: a call that fails half-way adds nothing and can be made again. Of calls at the same time one writes the
+    next manifest; the others keep what it did not add and try again, so no key comes twice. That takes a file system
+    whose rename is atomic and does not replace, or a local disk. A null key is a key.
+    Raises ValueError, and adds nothing, where a key has no row or several.
+    """
+    spark, made = inputs.sparkSession, None
+    while True:
+        version, manifest = _manifest(spark, path)
+        store = _stored(spark, path, manifest)
+        lacking = _without(inputs, store, key)
+        wanted = lacking.select(key).distinct().count()
+        if not wanted and store is not None:
+            return store
+        rows = compute(lacking) if made is None else _without(made, store, key)
+        attempt = uuid.uuid4().hex
+        folder = f"{path}/data/store_attempt={attempt}"
+        rows.write.partitionBy(*by).parquet(folder)
+        shape = manifest["schema"] if manifest else rows.schema.jsonValue()
+        made = _stored(spark, path, {"schema": shape, "attempts": [attempt]})
+        found = made.agg(F.count("*"), F.count_distinct(F.struct(key))).first()
+        if tuple(found) != (wanted, wanted) or not _without(made, lacking, key).isEmpty():
+            raise ValueError(f"{path} would not hold one row for each {key}")
+        _commit(spark, path, version + 1, {"schema": shape, "attempts": [*(manifest["attempts"] if manifest else []), attempt]})
+
+
+def _without(rows: DataFrame, store: DataFrame | None, key: str) -> DataFrame:
+    """Rows whose key the store lacks."""
+    if store is None:
+        return rows
+    there = store.select(F.col(key).alias("_there"))
+    return rows.join(there, F.col(key).eqNullSafe(F.col("_there")), "left_anti")
+
+
+def _stored(spark: SparkSession, path: str, manifest: dict | None) -> DataFrame | None:
+    """What a manifest lists."""
+    if manifest is None:
+        return None
+    shape = T.StructType.fromJson(manifest["schema"])
+    folders = [f"{path}/data/store_attempt={a}" for a in manifest["attempts"]]
+    return spark.read.schema(shape).option("basePath", f"{path}/data").parquet(*folders).select(*shape.names)
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict | None]:
+    """The latest manifest of a store and its number."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifests")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    numbers = [int(f.getPath().getName()) for f in files.listStatus(folder) if f.getPath().getName().isdigit()] if files.exists(folder) else []
+    if not numbers:
+        return 0, None
+    stream = files.open(spark._jvm.org.apache.hadoop.fs.Path(folder, str(max(numbers))))
+    try:
+        return max(numbers), json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
+
+
+def _commit(spark: SparkSession, path: str, number: int, manifest: dict) -> bool:
+    """Whether this call's manifest became the one of that number. It appears whole or not at all, and never replaces another."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/manifests")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    draft, final = (jvm.org.apache.hadoop.fs.Path(folder, n) for n in (f"draft-{uuid.uuid4().hex}", str(number)))
+    stream = files.create(draft, False)
+    stream.write(json.dumps(manifest).encode())
+    stream.close()
+    if files.getUri().getScheme() != "file":
+        return not files.exists(final) and files.rename(draft, final)
+    try:  # a rename would replace a file of a local disk, a link does not
+        os.link(*(files.makeQualified(p).toUri().getPath() for p in (draft, final)))
+        return True
+    except FileExistsError:
+        return False
+    finally:
+        files.delete(draft, False)
 
 
 def decimal_comma(value: Column, form: str = "%.4f") -> Column:

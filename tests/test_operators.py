@@ -154,6 +154,54 @@ def test_store(spark, tmp_path):
         R.save_vocabulary(voc, f"file://{tmp_path}/voc")
 
 
+def test_store_is_transactional(spark, tmp_path):
+    """A call that fails half-way adds nothing; two at once add each key once; null keys and layout by columns hold."""
+    from threading import Barrier, Thread
+
+    path = f"file://{tmp_path}/store"
+    ids = lambda *x: spark.createDataFrame([(i, f"0{(i or 0) % 2}") for i in x], "id long, model string")
+    broken = lambda rows: rows.withColumn("x", F.when(F.col("id") == 3, F.raise_error(F.lit("lost"))).otherwise(F.col("id")))
+    whole = lambda rows: rows.withColumn("x", F.col("id") * 2)
+    with pytest.raises(Exception, match="lost"):
+        R.materialize_missing(ids(1, 2, 3), path, "id", broken, ["model"])
+    with pytest.raises(ValueError, match="one row for each id"):
+        R.materialize_missing(ids(1, 2, 2), path, "id", whole, ["model"])
+    R.materialize_missing(ids(1, None), path, "id", whole, ["model"])
+    at_once, done = Barrier(2), []
+
+    def write(*keys):
+        def compute(rows):
+            at_once.wait(60)  # both have seen the store without the other's keys
+            return whole(rows)
+
+        done.append(R.materialize_missing(ids(*keys), path, "id", compute, ["model"]).count())
+
+    calls = [Thread(target=write, args=k) for k in ((1, 2, 3, 4), (3, 4, 5, None))]
+    for c in calls:
+        c.start()
+    for c in calls:
+        c.join()
+    got = R.materialize_missing(ids(1, 5), path, "id", broken, ["model"])
+    assert len(done) == 2 and got.columns == ["id", "model", "x"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(i, f"0{i % 2}", i * 2) for i in range(1, 6)] + [(None, "00", None)], key=str)
+    assert R.materialize_missing(ids(1).where("false"), f"file://{tmp_path}/none", "id", whole).count() == 0
+
+
+def test_drawn_places_are_uniform(spark):
+    """Every ordered pair of 7 places is drawn about as often as any other; none twice; all of them where all are asked."""
+    from collections import Counter
+
+    from corpusloom.operators.generation import drawn_places
+
+    rows = spark.range(21_000).select(drawn_places("t", F.col("id"), F.lit(7), F.lit(2)).alias("p"), drawn_places("t", F.col("id"), F.lit(4), F.lit(4)).alias("q")).collect()
+    pairs = Counter(tuple(r.p) for r in rows)
+    assert len(pairs) == 42 and all(a != b for a, b in pairs)
+    assert sum((n - 500) ** 2 / 500 for n in pairs.values()) < 80  # 41 degrees of freedom: 0.9997
+    orders = Counter(tuple(r.q) for r in rows)
+    assert len(orders) == 24 and all(sorted(o) == [0, 1, 2, 3] for o in orders)
+    assert sum((n - 875) ** 2 / 875 for n in orders.values()) < 55
+
+
 def test_checks(spark):
     v = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, [float("nan"), 0.0]), (4, [0.0, 0.0])], "id long, embedding array<double>")
     p, t = spark.createDataFrame([(1, 81)], "id long, n_pages long"), spark.createDataFrame([(5, 4097), (6, 1)], "id long, n_tokens long")
