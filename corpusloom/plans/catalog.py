@@ -149,7 +149,7 @@ def _(spark, d):
 
 @query("p14_boxes_xyxy", f"WITH {NOTES} SELECT image_id, category_id, round(x,4) AS x0, round(y,4) AS y0, round(x+w,4) AS x1, round(y+h,4) AS y1 FROM notes WHERE iscrowd=0 AND w>0 AND h>0")
 def _(spark, d):
-    boxes = V.boxes_xyxy(R.detection_tables(D.detection_files(spark, d))["annotations"])
+    boxes = V.boxes_xyxy(R.read_detection_json(spark, D.detection_files(spark, d))["annotations"])
     return boxes.select("image_id", "category_id", *[F.round(F.col("box")[k], 4).alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))])
 
 
@@ -274,7 +274,7 @@ def _(spark, d):
 
 @query("s05_read_detection_json", f"WITH {NOTES} SELECT image_id, o_orderkey||'.png' AS file_name, category_id, s_name AS name, iscrowd, round(w,4) AS w FROM notes JOIN orders ON image_id=o_orderkey JOIN supplier ON category_id=s_suppkey")
 def _(spark, d):
-    t = R.detection_tables(D.detection_files(spark, d))
+    t = R.read_detection_json(spark, D.detection_files(spark, d))
     rows = t["annotations"].join(t["images"].withColumnRenamed("id", "image_id"), "image_id").join(t["categories"].withColumnRenamed("id", "category_id"), "category_id")
     return rows.select("image_id", "file_name", "category_id", "name", "iscrowd", F.round(F.col("bbox")[2], 4).alias("w"))
 
@@ -351,14 +351,14 @@ def _(spark, d):
 
 @query("j03_annotations_to_labels", f"WITH {NOTES}, lab AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_suppkey) AS label FROM supplier WHERE s_suppkey IN (SELECT category_id FROM notes)) SELECT image_id, category_id, label FROM notes JOIN lab ON category_id=id")
 def _(spark, d):
-    t = R.detection_tables(D.detection_files(spark, d))
+    t = R.read_detection_json(spark, D.detection_files(spark, d))
     labels = V.contiguous_labels(t["categories"]).select(F.col("id").alias("category_id"), "label")
     return t["annotations"].join(labels, "category_id").select("image_id", "category_id", "label")
 
 
 @query("j04_image_targets", f"WITH {NOTES}, k AS (SELECT image_id, count(*) AS n, CAST(sum(category_id) AS BIGINT) AS s FROM notes WHERE iscrowd=0 AND w>0 AND h>0 GROUP BY 1) SELECT o_orderkey AS id, coalesce(n,0) AS n_boxes, coalesce(s,0) AS label_sum FROM orders LEFT JOIN k ON o_orderkey=image_id")
 def _(spark, d):
-    t = R.detection_tables(D.detection_files(spark, d))
+    t = R.read_detection_json(spark, D.detection_files(spark, d))
     boxes = V.boxes_xyxy(t["annotations"]).select("image_id", "box", F.col("category_id").alias("label"))
     rows = V.image_targets(t["images"], boxes)
     return rows.select("id", F.size("boxes").cast("long").alias("n_boxes"), F.aggregate(F.col("labels").cast("array<bigint>"), F.lit(0).cast("bigint"), lambda s, x: s + x).alias("label_sum"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.score_text import tokenize_aligned
 from ..functions.uniform import uniform
+from ..sources.store import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,19 +76,35 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 PREDICTIONS = "pr AS (SELECT vec_id AS id, (label + CASE WHEN vec_id%4=0 THEN 1 ELSE 0 END)%10 AS prediction, label AS target FROM embeddings)"
 
 
-def detection_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(value): a detection file per order, as JSON text; categories as a map by id."""
+#: Orders whose detections share a file.
+FILE_ORDERS = 5000
+
+
+def detection_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of detection files, some thousand orders each, written line by line; categories as a list in every other file, else as a map by id."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    files = -(-orders.count() // FILE_ORDERS) or 1
+    file = lambda key: F.pmod(F.xxhash64(key), F.lit(files)).cast("int").alias("file")
+    images = orders.select(file("id"), F.lit(0).alias("part"), F.col("id").alias("n"), F.to_json(F.struct("id", F.concat(F.col("id").cast("string"), F.lit(".png")).alias("filename"))).alias("value"))
     li = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("image_id"), F.col("l_suppkey").alias("category_id"),
         F.array("l_quantity", F.col("l_linenumber") * 10.0, F.col("l_discount") * 100 - 1, F.col("l_tax") * 100).alias("bbox"), (F.col("l_returnflag") == "R").cast("int").alias("iscrowd"),
     )
     named = li.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("category_id"), "s_name"), "category_id")
-    own = named.groupBy("image_id").agg(
-        F.collect_list(F.struct("image_id", "category_id", "bbox", "iscrowd")).alias("annotations"), F.map_from_entries(F.collect_set(F.struct(F.col("category_id").cast("string"), F.struct(F.col("s_name").alias("name"))))).alias("categories")
-    )
-    images = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.col("o_orderkey").cast("string"), F.lit(".png")).alias("filename"))
-    rows = images.join(own, images.id == own.image_id, "left")
-    return rows.select(F.to_json(F.struct(F.array(F.struct("id", "filename")).alias("images"), "annotations", "categories")).alias("value"))
+    notes = named.select(file("image_id"), F.lit(1).alias("part"), F.col("image_id").alias("n"), F.to_json(F.struct("image_id", "category_id", "bbox", "iscrowd")).alias("value"))
+    own = named.select(file("image_id"), F.lit(2).alias("part"), F.col("category_id").alias("n"), F.col("s_name").alias("name")).distinct()
+    as_list = F.col("file") % 2 == 1
+    entry = F.concat(F.lit('"'), F.col("n").cast("string"), F.lit('":'), F.to_json(F.struct("name")))
+    categories = own.select("file", "part", "n", F.when(as_list, F.to_json(F.struct(F.col("n").alias("id"), "name"))).otherwise(entry).alias("value"))
+    openings = F.array(F.lit('{"images":['), F.lit('],"annotations":['), F.when(as_list, '],"categories":[').otherwise('],"categories":{'), F.when(as_list, "]}").otherwise("}}"))
+    frame = spark.range(files).select(F.col("id").cast("int").alias("file")).select("file", F.posexplode(openings).alias("part", "value"))
+    frame = frame.select("file", "part", F.lit(None).cast("long").alias("n"), "value")
+    rows = frame.unionByName(images).unionByName(notes).unionByName(categories)
+    order = Window.partitionBy("file").orderBy("part", F.col("n").asc_nulls_first(), "value")
+    follows = F.col("n").isNotNull() & F.lag("n").over(order).isNotNull()
+    folder = scratch(spark, "detections")
+    rows.select("file", F.concat(F.when(follows, ",").otherwise(""), "value").alias("value")).write.partitionBy("file").text(folder)
+    return folder
 
 
 NOTES = """notes AS (SELECT l_orderkey AS image_id, l_suppkey AS category_id, l_quantity AS x, l_linenumber*10.0 AS y, l_discount*100-1 AS w, l_tax*100 AS h, CASE WHEN l_returnflag='R' THEN 1 ELSE 0 END AS iscrowd FROM lineitem JOIN supplier ON l_suppkey=s_suppkey)"""

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .split_json import json_sections
 from .store import written
 
 PAGE = "struct<ekern:string>"
@@ -49,22 +50,47 @@ def read_paired_files(spark: SparkSession, folder: str) -> tuple[DataFrame, Data
 
 _IMAGE = "id:bigint,file_name:string,filename:string"
 _ANNOTATION = "image_id:bigint,category_id:bigint,bbox:array<double>,iscrowd:int"
+_CATEGORY = "id:bigint,name:string"
+
+
+def _images(i: Column) -> list[Column]:
+    return [i["id"].alias("id"), F.coalesce(i["file_name"], i["filename"]).alias("file_name")]
+
+
+def _annotations(a: Column) -> list[Column]:
+    return [*[a[c].alias(c) for c in ("image_id", "category_id", "bbox")], F.coalesce(a["iscrowd"], F.lit(0)).alias("iscrowd")]
+
+
+def _category_map(text: Column) -> Column:
+    """Categories by id, each an object with a name or the name itself."""
+    return F.transform(F.map_entries(F.from_json(text, "map<string,string>")), lambda e: F.struct(e["key"].cast("bigint").alias("id"), F.coalesce(F.get_json_object(e["value"], "$.name"), e["value"]).alias("name")))
 
 
 def detection_tables(raw: DataFrame, value: str = "value") -> dict[str, DataFrame]:
     """images, annotations and categories of detection files held as JSON strings; categories as a list or a map by id."""
     shape = f"struct<images:array<struct<{_IMAGE}>>,annotations:array<struct<{_ANNOTATION}>>,categories:string>"
     doc = written(raw.select(F.from_json(value, shape).alias("d")).select("d.*"))  # parsed once for the three tables
-    as_list = F.from_json("categories", "array<struct<id:bigint,name:string>>")
-    as_map = F.transform(F.map_entries(F.from_json("categories", "map<string,string>")), lambda e: F.struct(e["key"].cast("bigint").alias("id"), F.coalesce(F.get_json_object(e["value"], "$.name"), e["value"]).alias("name")))
-    listed = F.when(F.ltrim("categories").startswith("["), as_list).otherwise(as_map)
-    images = doc.select(F.explode("images").alias("i")).select(F.col("i.id").alias("id"), F.coalesce("i.file_name", "i.filename").alias("file_name"))
-    notes = doc.select(F.explode("annotations").alias("a")).select("a.image_id", "a.category_id", "a.bbox", F.coalesce("a.iscrowd", F.lit(0)).alias("iscrowd"))
+    as_list = F.from_json("categories", f"array<struct<{_CATEGORY}>>")
+    listed = F.when(F.ltrim("categories").startswith("["), as_list).otherwise(_category_map(F.col("categories")))
+    images = doc.select(F.explode("images").alias("i")).select(*_images(F.col("i")))
+    notes = doc.select(F.explode("annotations").alias("a")).select(*_annotations(F.col("a")))
     return {"images": images, "annotations": notes, "categories": doc.select(F.explode(listed).alias("c")).select("c.*").distinct()}
 
 
 def read_detection_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return detection_tables(spark.read.text(path, wholetext=True))
+    """images, annotations and categories of detection files, each read by as many tasks as it has blocks (``spark.sql.files.maxPartitionBytes``).
+
+    A category without an id is an entry of a map by id. Elements that are null or no objects are left out.
+    """
+    found = json_sections(spark, path)
+    of = lambda name, shape: found.where(F.col("section") == name).select("element", F.from_json("element", f"struct<{shape}>").alias("e"))
+    categories = of("categories", _CATEGORY)
+    listed = F.when(F.col("e.id").isNotNull(), F.array("e")).otherwise(_category_map(F.col("element")))
+    return {
+        "images": of("images", _IMAGE).select(*_images(F.col("e"))),
+        "annotations": of("annotations", _ANNOTATION).select(*_annotations(F.col("e"))),
+        "categories": categories.select(F.explode(listed).alias("c")).select("c.*").distinct(),
+    }
 
 
 def fold_splits(raw: DataFrame, value: str = "value") -> DataFrame:
