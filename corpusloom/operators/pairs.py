@@ -7,6 +7,8 @@ definition. Sequences meet through blocks of ids, so every task holds two blocks
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -183,20 +185,24 @@ def near_far_profile(near: DataFrame, far: DataFrame, truth: DataFrame, k: int)
     return rows.withColumn("name", F.concat_ws("_", "side", F.col("k").cast("string"))).groupBy("i").pivot("name", names).agg(F.first("value"))
 
 
-def average_rank(rows: DataFrame, value: str, name: str = "avg_rank") -> DataFrame:
-    """1-based rank with ties at their mean; null values have none.
+def average_rank(rows: DataFrame, value: str, name: str = "avg_rank", by: tuple[str, ...] = ()) -> DataFrame:
+    """1-based rank with ties at their mean; null values have none. Of each group, if columns to group ``by`` are named; null is a group.
 
     Values are counted first, so a common one is one row; the counts are summed range by range, and no task sees all values.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    ranged = written(counts.repartitionByRange(n, value).withColumn("_b", F.spark_partition_id()))
-    sizes = ranged.groupBy("_b").agg(F.sum("_n").alias("_size"))
-    starts = sizes.select("_b", F.coalesce(F.sum("_size").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
-    upto = F.sum("_n").over(Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = ranged.withColumn("_upto", upto).join(F.broadcast(starts), "_b")  # a row a partition
-    ranks = ranks.select(F.col(value).alias("_v"), (F.col("_s") + F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name))
-    return rows.join(ranks, F.col(value) == F.col("_v"), "left").drop("_v")
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    ranged = written(counts.repartitionByRange(n, *by, value).withColumn("_b", F.spark_partition_id()))
+    sizes = ranged.groupBy(*by, "_b").agg(F.sum("_n").alias("_size"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*[F.col(c).alias(f"_{k}_of") for k, c in enumerate(by)], F.col("_b").alias("_at"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_s"))
+    upto = F.sum("_n").over(Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    same = lambda right: [F.col(c).eqNullSafe(F.col(f"{right}{k}_of")) for k, c in enumerate(by)]
+    if not by:
+        starts = F.broadcast(starts)  # a row a partition
+    ranks = ranged.withColumn("_upto", upto).join(starts, reduce(and_, [F.col("_b") == F.col("_at"), *same("_")]))
+    ranks = ranks.select(*[F.col(c).alias(f"_r{k}_of") for k, c in enumerate(by)], F.col(value).alias("_v"), (F.col("_s") + F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name))
+    return rows.join(ranks, reduce(and_, [F.col(value) == F.col("_v"), *same("_r")]), "left").drop("_v", *[f"_r{k}_of" for k in range(len(by))])
 
 
 def p_value(spark, r: float | None, n: int) -> float | None:

@@ -13,6 +13,7 @@ from ..operators import generation as G
 from ..operators import learning as L
 from ..operators import metrics as M
 from ..operators import pairs as P
+from ..operators import sweeps as W
 from ..operators import token_neighbours as N
 from ..operators import tokens as K
 from ..operators import vectors as V
@@ -528,14 +529,16 @@ _METRICS = f"""{_AE}, mt AS (SELECT pt.i, pt.j, pt.d, CAST(ed.d AS DOUBLE) AS ed
 FROM ed JOIN pt ON pt.i=key.i AND pt.j=key.j JOIN al a ON a.id=pt.i JOIN al b ON b.id=pt.j)"""
 
 
+_DENSITY = "exp(lgamma((n-1)/2.0)-lgamma(0.5)-lgamma((n-2)/2.0)+(n-4)/2.0*ln(1-pow(abs(r)*(k+0.5)/20000,2)))"
+
+
 def _correlation_sql(ranked: bool) -> str:
     """r of each metric with d, and p by the midpoint rule over the density of r under independence."""
     names = ("edit", "edit_norm", "hist", "hist_norm")
     rank = lambda c: f"rank() OVER (ORDER BY {c})+(count(*) OVER (PARTITION BY {c})-1)/2.0 AS {c}"
     rows = f"mr AS (SELECT {', '.join(map(rank, (*names, 'd')))} FROM mt)" if ranked else "mr AS (SELECT * FROM mt)"
     got = " UNION ALL ".join(f"SELECT '{m}' AS metric, corr({m},d) AS r, 2*count(*) AS n FROM mr" for m in names)
-    density = "exp(lgamma((n-1)/2.0)-lgamma(0.5)-lgamma((n-2)/2.0)+(n-4)/2.0*ln(1-pow(abs(r)*(k+0.5)/20000,2)))"
-    return f"{_METRICS}, {rows}, mg AS ({got}) SELECT metric, round(r,6) AS r, n, round(1-2*abs(r)/20000*list_sum(list_transform(range(20000), lambda k: {density})),5) AS p FROM mg"
+    return f"{_METRICS}, {rows}, mg AS ({got}) SELECT metric, round(r,6) AS r, n, round(1-2*abs(r)/20000*list_sum(list_transform(range(20000), lambda k: {_DENSITY})),5) AS p FROM mg"
 
 
 @query("a10_pearson", _correlation_sql(False))
@@ -548,17 +551,69 @@ def _(spark, d):
     return _correlated(spark, d, True)
 
 
-def _correlated(spark, d, ranked):
-    """Edit and histogram distances of turns, plain and normalised, against the distance of vectors."""
-    t, v = aligned(spark, d)
+def _turn_distances(t):
+    """Edit and histogram distances of turns, plain and normalised."""
     lengths, x = (F.col("len_i"), F.col("len_j")), lambda c: F.col(c).cast("double")
     edit = P.token_edit_distance(t).select("i", "j", x("d").alias("edit"), P.normalize_edit(x("d"), *lengths).alias("edit_norm"))
     hist = P.histogram_l1(t).select("i", "j", x("d").alias("hist"), P.normalize_histogram(x("d"), *lengths).alias("hist_norm"))
-    both = written(edit.join(hist, ["i", "j"]).join(P.euclidean_distance(v), ["i", "j"]))
+    return edit.join(hist, ["i", "j"])
+
+
+def _correlated(spark, d, ranked):
+    """Edit and histogram distances of turns, plain and normalised, against the distance of vectors."""
+    t, v = aligned(spark, d)
+    both = written(_turn_distances(t).join(P.euclidean_distance(v), ["i", "j"]))
     done = P.correlations(both, ["edit", "edit_norm", "hist", "hist_norm"], "d", ranked)
     return done.select("metric", F.round("r", 6).alias("r"), "n", F.round("p", 5).alias("p"))
 
 
+_SWEPT = f"""{_METRICS}, mm AS (SELECT 'whole' AS model, i, j, d, edit, edit_norm, hist, hist_norm FROM mt UNION ALL
+SELECT 'half', i, j, sqrt(list_sum(list_transform(range(1,33), lambda k: pow(CAST(a.embedding[k] AS DOUBLE)-CAST(b.embedding[k] AS DOUBLE),2)))), edit, edit_norm, hist, hist_norm FROM mt JOIN al a ON a.id=i JOIN al b ON b.id=j)"""
+
+
+def _swept(spark, d):
+    """Turns and the vectors of three models: whole ones, their first halves, and ones of which the first is cut short."""
+    t, v = aligned(spark, d)
+    part = lambda name, vector: v.select(F.lit(name).alias("model"), "id", vector.alias("embedding"))
+    e = F.col("embedding")
+    short = F.when(F.col("id") == 0, F.slice(e, 1, 63)).otherwise(e)
+    return t, part("whole", e).unionByName(part("half", F.slice(e, 1, 32))).unionByName(part("ragged", short))
+
+
+def _sweep_pairs(spark, d):
+    """(statuses, pairs): distances of the models that are in order, beside those of their turns."""
+    t, v = _swept(spark, d)
+    statuses = written(W.model_statuses(v, W.sweep_models(["whole", "half", "ragged", "absent"], "full")))
+    ok = F.broadcast(statuses.where("status = 'ok'").select("model"))  # at most the models asked for
+    return statuses, written(W.model_distances(v.join(ok, "model", "left_semi")).join(_turn_distances(t), ["i", "j"]))
+
+
+def _sweep_sql() -> str:
+    names = ("edit", "edit_norm", "hist", "hist_norm")
+    rank = lambda c: f"rank() OVER (PARTITION BY model ORDER BY {c})+(count(*) OVER (PARTITION BY model, {c})-1)/2.0 AS {c}"
+    got = " UNION ALL ".join(f"SELECT model, '{kind}' AS kind, '{m}' AS metric, corr({m},d) AS r, 2*count(*) AS n FROM {rows} GROUP BY model" for kind, rows in (("pearson", "mm"), ("spearman", "mr")) for m in names)
+    failed = "SELECT 'ragged' AS model, 'failed' AS status, 'vectors of 63 to 64 components' AS log UNION ALL SELECT 'absent', 'failed', 'no rows'"
+    return f"""{_SWEPT}, mr AS (SELECT model, {", ".join(map(rank, (*names, "d")))} FROM mm), mg AS ({got})
+    SELECT model, 'ok' AS status, '' AS log, kind, metric, round(r,6) AS r, n, round(1-2*abs(r)/20000*list_sum(list_transform(range(20000), lambda k: {_DENSITY})),5) AS p FROM mg
+    UNION ALL SELECT model, status, log, NULL, NULL, NULL, NULL, NULL FROM ({failed})"""
+
+
+@query("s12_sweep_correlations", _sweep_sql())
+def _(spark, d):
+    """Eight correlations of each model that is in order; the others with what is wrong with them."""
+    statuses, pairs = _sweep_pairs(spark, d)
+    done = W.model_correlations(pairs, ["edit", "edit_norm", "hist", "hist_norm"])
+    return statuses.drop("n").join(done.select("model", "kind", "metric", F.round("r", 6).alias("r"), "n", F.round("p", 5).alias("p")), "model", "left")
+
+
+@query("s12_sweep_profiles", f"""{_SWEPT}, mb AS (SELECT model, i, j, d, edit FROM mm UNION ALL SELECT model, j, i, d, edit FROM mm),
+sd AS (SELECT model, 'near' AS side, i, edit, row_number() OVER (PARTITION BY model, i ORDER BY d, j) AS k FROM mb UNION ALL SELECT model, 'far', i, edit, row_number() OVER (PARTITION BY model, i ORDER BY d DESC, j) FROM mb),
+up AS (SELECT model, side, k, avg(edit) OVER (PARTITION BY model, side, i ORDER BY k) AS t FROM sd WHERE k<=25) SELECT model, side, CAST(k AS INT) AS k, round(avg(t),6) AS value FROM up GROUP BY 1,2,3""")
+def _(spark, d):
+    """Mean edit distance to the 1 to 25 nearest and farthest by each model."""
+    return _rounded(W.model_profiles(_sweep_pairs(spark, d)[1], 25, "edit"), "model", "side", "k")
+
+
 # --- aggregates ------------------------------------------------------------------------------------------------------
 @query("a01_build_vocabulary", "SELECT token, row_number() OVER (ORDER BY token) AS token_id FROM (SELECT DISTINCT unnest(string_split(text,' ')) AS token FROM documents)")
 def _(spark, d):
