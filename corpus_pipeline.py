@@ -45,13 +45,12 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     own_id = F.coalesce(F.col("doc_id").cast("long"), _OWN_ID + F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 3))
     found = packing.durable(minhash_dedup.near_duplicates(docs.select(own_id.alias("doc_id"), "text"), percent=80), "groups")
-    away = found.where("NOT kept").select(F.col("doc_id").alias("_away")).distinct()
-    rows = docs.withColumn("_own", own_id)
-    rows = rows.join(away, F.col("_own") == F.col("_away"), "left_anti")
-    many = found.where("kept").groupBy(F.col("doc_id").alias("_many")).count().where("count > 1").select("_many")
-    single = rows.join(many, F.col("_own") == F.col("_many"), "left_anti")
-    one = rows.join(many, F.col("_own") == F.col("_many"), "left_semi").dropDuplicates(["_own"])
-    return single.unionByName(one).select(*docs.columns)
+    # ids of which a row goes, all of them (kept is false) or all but one; texts of other ids, most of them, stay where they are
+    odd = packing.durable(found.groupBy(F.col("doc_id").alias("_odd")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n")).where("NOT _kept OR _n > 1"), "odd")
+    near, far, _ = minhash_dedup.perhaps_in(docs.withColumn("_own", own_id), odd.select(F.col("_odd").alias("_own")), "_own")
+    judged = near.join(odd, F.col("_own") == F.col("_odd"), "left")
+    one = judged.where("_kept").dropDuplicates(["_own"])
+    return far.unionByName(judged.where("_odd IS NULL").select(*far.columns)).unionByName(one.select(*far.columns)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -149,17 +149,19 @@ def _with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "of_u", "of_v")
 
 
-def _perhaps_in(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents whose place in a bitmap of FILTER_BITS bits some wanted doc_id holds too, as others need not move; and the bitmap.
+def perhaps_in(docs: DataFrame, wanted: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents whose place in a bitmap of FILTER_BITS bits some wanted ``key`` holds too, the others, which need not move; and the bitmap.
 
     The bitmap is at most FILTER_BITS / 64 rows whatever the input; where it fills up, it merely lets more pass.
     """
-    place = F.expr(f"pmod(xxhash64('filter', doc_id), {FILTER_BITS}L)")
-    bit = F.expr(f"shiftleft(1L, int(pmod(xxhash64('filter', doc_id), {FILTER_BITS}L) % 64))")
+    place = F.expr(f"pmod(xxhash64('filter', {key}), {FILTER_BITS}L)")
+    bit = F.expr(f"shiftleft(1L, int(pmod(xxhash64('filter', {key}), {FILTER_BITS}L) % 64))")
     bitmap = durable(wanted.groupBy(F.floor(place / 64).alias("word")).agg(F.bit_or(bit).alias("bits")), "bitmap")
-    held = F.expr(f"(shiftright(bits, int(pmod(xxhash64('filter', doc_id), {FILTER_BITS}L) % 64)) & 1L) = 1L")
-    near = docs.withColumn("word", F.floor(place / 64)).join(F.broadcast(bitmap), "word")
-    return near.where(held).select(*docs.columns), bitmap
+    held = F.expr(f"(shiftright(bits, int(pmod(xxhash64('filter', {key}), {FILTER_BITS}L) % 64)) & 1L) = 1L")
+    placed = docs.withColumn("word", F.floor(place / 64))
+    near = placed.join(F.broadcast(bitmap), "word").where(held)
+    far = placed.join(F.broadcast(bitmap), "word", "left").where(~F.coalesce(held, F.lit(False)))
+    return near.select(*docs.columns), far.select(*docs.columns), bitmap
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -269,7 +271,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", word
     rest_keys = shared.where("size > 2").select("node").distinct()
     wanted = stars.select(F.explode(F.array("u", "v")).alias("node")).union(rest_keys).distinct()
     wanted = durable(wanted.join(classes, "node").select("node", F.col("least").alias("doc_id")), "wanted")
-    sources, bitmap = _perhaps_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), wanted)
+    sources, _, bitmap = perhaps_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), wanted)
     sets = shingle_sets(sources.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), "text", words).select(node.alias("node"), "shingles")
     if not unique:  # a doc_id brings all its texts: those asked for stay, once
         sets = sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
