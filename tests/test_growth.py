@@ -4,8 +4,12 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from corpusloom.functions import score_text as S
 from corpusloom.llm import additive_ann, queries
+from corpusloom.operators.pairs import edit_distance
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +46,15 @@ def test_digest_op9_ranks_is_exact(spark, tmp_path, monkeypatch):
         score = x @ x[q]
         score[q] = -np.inf
         assert got[q] == np.lexsort((np.arange(n), -score))[:20].tolist()
+
+
+def test_expressions_inside_lambdas_are_computed_once(spark):
+    """What a lambda needs of the whole text or list is bound before it: it must not be computed anew for each line or token."""
+    lines = spark.createDataFrame([("=1 *clefG2 <b> a * <b> *M4 b <b> x <b> <b> y",)], "text string")
+    tokens = F.split(F.upper("text"), " ")
+    words = "a b c d e f g".split()
+    for made in (S.filter_continuation(tokens, True), S.dedupe_line_breaks(tokens)):
+        assert lines.select(made)._jdf.queryExecution().analyzed().toString().count("upper(") <= 2  # the expression and its name
+    sides = spark.createDataFrame([(words, words[::-1])], "p array<string>, t array<string>")
+    plan = sides.select(edit_distance(F.col("p"), F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_distinct") <= 2
