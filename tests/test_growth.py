@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from corpusloom.functions import score_text as S
 from corpusloom.llm import additive_ann, queries
+from corpusloom.operators.generation import drawn_places
 from corpusloom.operators.pairs import edit_distance
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +59,10 @@ def test_expressions_inside_lambdas_are_computed_once(spark):
     sides = spark.createDataFrame([(words, words[::-1])], "p array<string>, t array<string>")
     plan = sides.select(edit_distance(F.col("p"), F.col("t")))._jdf.queryExecution().analyzed().toString()
     assert plan.count("array_distinct") <= 2
+
+
+def test_a_draw_is_computed_once(spark):
+    rows = spark.range(3).select("id", F.lit(9).alias("size"), F.lit(4).alias("n"))
+    made = rows.select(drawn_places("draw", F.col("id"), F.col("size"), F.col("n")).alias("places"))
+    assert made._jdf.queryExecution().analyzed().toString().count("md5(") == 1
+    assert all(len(set(r.places)) == 4 and set(r.places) <= set(range(9)) for r in made.collect())
