@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from corpusloom.streaming import run_log as X
@@ -84,3 +85,45 @@ def test_one_long_run(spark, rule, monkeypatch):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", before)
         assert got == {"long": (replay.best_epoch, replay.best, replay.stop), "short": (1, 1.0, None), None: (2, 1.0, None)}
+
+
+def test_early_epochs_are_kept_by_stretches():
+    """Epochs that wait for their turn are a few rows of state, not one each, and what comes of them is that of one pass."""
+    class Kept:
+        def __init__(self):
+            self.rows, self.calls = {}, 0
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            return self.rows[()]
+
+        def update(self, row):
+            self.rows[()] = row
+
+        def iterator(self):
+            return iter(list(self.rows.items()))
+
+        def updateValue(self, key, value):  # noqa: N802
+            self.rows[key], self.calls = value, self.calls + 1
+
+        def removeKey(self, key):  # noqa: N802
+            del self.rows[key]
+            self.calls += 1
+
+    rule = X.Rule(factor=0.99, patience=500)
+    values = [float(v) for v in np.random.default_rng(4).random(9000)]
+    values[17] = float("nan")
+    one = X._Selection(rule, "run_id", "epoch", "metric", 1)
+    one.settled, one.ahead = Kept(), Kept()
+    epochs = list(range(1, 9001))
+    odd, even = epochs[1::2], epochs[0::2]
+    for come in ([*odd, *odd[:50], None, -3], [], even[:10], even):
+        frame = pd.DataFrame({"epoch": come, "metric": [values[e - 1] if e and e > 0 else 0.5 for e in come]}).astype({"epoch": "float64"})
+        (out,) = one.handleInputRows(("a",), iter([frame]), None)
+    replay = X.Replay(rule)
+    for e, v in zip(epochs, values):
+        replay.step(e, v)
+    assert tuple(out.iloc[0]) == ("a", replay.best_epoch, replay.best, replay.stop, 9000)
+    assert one.ahead.calls <= 12 and not one.ahead.rows
