@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +14,9 @@ from pyspark.sql import types as T
 from ..functions.score_text import drop_empty_tokens
 from ..sources.store import written
 
+#: Keys of several rows that are sent to every task; beyond it rows are shuffled to them.
+SENT_KEYS = 1_000_000
+
 
 def numbered(rows: DataFrame, *order: str, name: str = "nth", buckets: int | None = None) -> DataFrame:
     """Rows with a gapless number from 0 in the order of ``order``, without bringing them into one partition.
@@ -33,7 +41,31 @@ def build_vocabulary(tokens: DataFrame, column: str = "tokens", first: int = 1)
 
 
 def token_histogram(tokens: DataFrame, key: str = "id", column: str = "tokens") -> DataFrame:
-    return tokens.select(key, F.explode(column).alias("token")).groupBy(key, "token").agg(F.count("*").alias("cnt"))
+    """(key, token, cnt) of each key's tokens. A null token is a token, a null key a key.
+
+    A row is counted where it is; only counts of keys that several rows have are shuffled and added up.
+    """
+    own, kind = tokens.schema[key].dataType, tokens.schema[column].dataType.elementType
+    shape = T.StructType([T.StructField(key, own), T.StructField("token", kind), T.StructField("cnt", T.LongType(), False)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            names = lists.flatten().dictionary_encode(null_encoding="encode")
+            row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            n = max(1, len(names.dictionary))
+            found, cnt = np.unique(row * n + names.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            yield pa.record_batch([batch.column(0).take(pa.array(found // n)), names.dictionary.take(pa.array(found % n)), pa.array(cnt, pa.int64())], [key, "token", "cnt"])
+
+    counted = lambda rows: rows.select(key, column).mapInArrow(count, shape)
+    again = written(tokens.groupBy(F.col(key).alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").select("_again"), "repeated")
+    n = again.count()
+    if not n:
+        return counted(tokens)
+    same = F.col(key).eqNullSafe(F.col("_again"))
+    sent = F.broadcast(again) if n <= SENT_KEYS else again
+    once, several = tokens.join(sent, same, "left_anti"), tokens.join(sent, same, "left_semi")
+    return counted(once).unionByName(counted(several).groupBy(key, "token").agg(F.sum("cnt").alias("cnt")))
 
 
 def encode_tokens(tokens: DataFrame, vocabulary: DataFrame, key: str = "id", column: str = "tokens", drop_empty: bool = False) -> DataFrame:

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from corpusloom.functions import score_text as S
 from corpusloom.llm import additive_ann, queries
+from corpusloom.operators import tokens
 from corpusloom.operators.generation import drawn_places
 from corpusloom.operators.pairs import edit_distance
+from corpusloom.operators.tokens import token_histogram
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,3 +68,20 @@ def test_a_draw_is_computed_once(spark):
     made = rows.select(drawn_places("draw", F.col("id"), F.col("size"), F.col("n")).alias("places"))
     assert made._jdf.queryExecution().analyzed().toString().count("md5(") == 1
     assert all(len(set(r.places)) == 4 and set(r.places) <= set(range(9)) for r in made.collect())
+
+
+def test_token_histogram_counts_rows_where_they_are(spark, monkeypatch):
+    """Only counts of keys that come in several rows are shuffled; those of others, nulls too, stay where the row is."""
+    rows = [(1, ["a", "b", "a", None, None]), (2, None), (3, []), (None, ["a"]), (4, ["b", ""])]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    alone = token_histogram(df)
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+    want = {(1, "a", 2), (1, "b", 1), (1, None, 2), (None, "a", 1), (4, "b", 1), (4, "", 1)}
+    assert {tuple(r) for r in alone.collect()} == want and alone.count() == len(want)
+    again = df.union(spark.createDataFrame([(1, ["a", "c", None]), (None, ["a", "b"])], df.schema))
+    want = want - {(1, "a", 2), (1, None, 2), (None, "a", 1)} | {(1, "a", 3), (1, None, 3), (1, "c", 1), (None, "a", 2), (None, "b", 1)}
+    for sent in (1_000_000, 0):
+        monkeypatch.setattr(tokens, "SENT_KEYS", sent)
+        got = token_histogram(again).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert token_histogram(df.where("false")).count() == 0
