@@ -4,10 +4,12 @@ import json
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.plans import catalog
+from corpusloom.sources import split_json
 from corpusloom.sources import tables as R
 from corpusloom.sources.split_json import json_sections
 
@@ -105,3 +107,17 @@ def test_query_on_many_blocks(spark, blocks):
     blocks(50_000)
     got = catalog.QUERIES["s05_read_detection_json"](spark, sf).select(*want.columns).collect()
     assert sorted((*map(str, r[:5]), float(r[5])) for r in got) == sorted((*map(str, r[:5]), float(r[5])) for r in want.fetchall())
+
+
+def test_plain_elements_are_cut_together():
+    """Texts in a row that are a plain element each are one piece, whatever comes between such stretches."""
+    plain = [f' ,{{"id":{i},"x":[1,"}}"],"n":"a\\"{i}"}}' for i in range(100)]
+    odd = ',{"id":-1,"deep":{"y":[{"z":2}]}}'
+    texts = ['{"a":[' + plain[0][2:], *plain[1:50], *[t + "}" for t in odd.split("}")[:-1]], *plain[50:], '],"c":{"1":{"name":"u"}', *[f',"{i}":{{"name":"[{i}"}}' for i in range(2, 60)], "}", "}"]
+    whole = json.loads("".join(texts))
+    cutter, got, pieces = split_json._Cutter(False, 0, None, " " * 3, None), [], 0
+    for e in cutter.all(pa.array(texts)):
+        pieces += 1
+        got += [(e[0], x) for x in e[1].to_pylist()] if len(e) == 2 else [e[1:]]
+    assert [(k, json.loads(x)) for k, x in got] == [*(("a", x) for x in whole["a"]), ("c", whole["c"])]
+    assert pieces == 5 and not list(cutter.rest())
