@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.uniform import lowest
 from .byte_words import mix, random_words, text_slices, words_of
 from .durable import durable, read_table, with_columns
 from .language_id import fold
@@ -336,7 +337,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", sample_rows: i
     marks = marks.withColumn("h", F.xxhash64(F.lit("toxic sample"), "doc_id"))
     known = marks.count()
     if known > sample_rows:  # rows beyond a threshold with room to spare need not be sorted
-        marks = marks.where(F.col("h") < int(((1 << 64) - 1) * min(1.0, (sample_rows + 6 * sample_rows**0.5 + 10) / known)) - (1 << 63)).orderBy("h", "doc_id", "toxic").limit(sample_rows)
+        marks = marks.where(F.col("h") <= lowest(known, sample_rows)).orderBy("h", "doc_id", "toxic").limit(sample_rows)
     marks = F.broadcast(durable(marks.drop("h"), "marks"))  # at most sample_rows rows of 12 bytes
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(marks, "doc_id")
     rows = rows.dropDuplicates(["text", "toxic"]).select("toxic", "text")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from corpusloom.functions import uniform
 from corpusloom.llm import additive_ann, chat_windows, class_lm, fingerprints, language_id, minhash_dedup, packing, sentencepiece_codec, token_counts, toxicity
 
 BPE, PIECES = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -152,3 +153,15 @@ def test_pipeline(spark, docs, none, labels, tmp_path):
         packed = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path))
         assert packed.select("doc_id").distinct().count() == kept.select("doc_id").distinct().count()
     assert kept.count() == 0
+
+
+def test_samples_of_all_but_a_few_rows(spark, docs, monkeypatch):
+    """A few rows more than a sample holds: the bound on their hashes is the largest there is, not one beyond it."""
+    monkeypatch.setattr(additive_ann, "SAMPLE", 64)
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 11), 1.0 + i]) for i in range(70)], "vec_id long, embedding array<double>")
+    got = additive_ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), reach=None)
+    assert got.groupBy("query_id").count().where("count = 20").count() == 4
+    assert sorted(language_id.train(docs, sample_rows=docs.where("lang IS NOT NULL AND text IS NOT NULL").count() - 1)["languages"])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 10)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels, sample_rows=8)
+    assert uniform.lowest(9, 8) == (1 << 63) - 1 and -(1 << 63) < uniform.lowest(1000, 8) < 0
