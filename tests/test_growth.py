@@ -101,3 +101,13 @@ def test_all_pairs_blocks_and_order(spark):
     assert pairs.all_pairs(df.where("false"), "k", ["v"]).count() == 0
     names = spark.createDataFrame([("b", 1), ("a", 2), ("C", 3)], "k string, v long")
     assert sorted(map(tuple, pairs.all_pairs(names, "k", []).collect())) == [("C", "a"), ("C", "b"), ("a", "b")]
+
+
+def test_all_pairs_pack_well(spark, tmp_path):
+    """Pairs come in runs that repeat as bytes: a fraction of a byte a pair on disk, with a column that depends on both rows too."""
+    rows = spark.range(4000).select((F.col("id") * 37 + 5).alias("k"), (F.xxhash64("id") % 60 + 60).alias("v"))
+    made = pairs.all_pairs(rows, "k", ["v"]).select("i", "j", F.greatest("v_i", "v_j").alias("v"))
+    made.write.parquet(f"{tmp_path}/pairs")
+    written = spark.read.parquet(f"{tmp_path}/pairs")
+    assert written.count() == written.distinct().count() == 4000 * 3999 // 2
+    assert sum(x.stat().st_size for x in (tmp_path / "pairs").rglob("*.parquet")) < 0.45 * 4000 * 3999 / 2
