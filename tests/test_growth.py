@@ -1,6 +1,7 @@
 """Work that must not grow faster than the input, and what replaced it against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -13,6 +14,7 @@ from corpusloom.operators import pairs, tokens
 from corpusloom.operators.generation import drawn_places
 from corpusloom.operators.pairs import edit_distance
 from corpusloom.operators.tokens import token_histogram
+from corpusloom.plans import catalog, fixtures
 
 SF = "/root/testdata/sf0.001"
 
@@ -111,3 +113,12 @@ def test_all_pairs_pack_well(spark, tmp_path):
     written = spark.read.parquet(f"{tmp_path}/pairs")
     assert written.count() == written.distinct().count() == 4000 * 3999 // 2
     assert sum(x.stat().st_size for x in (tmp_path / "pairs").rglob("*.parquet")) < 0.45 * 4000 * 3999 / 2
+
+
+def test_ground_truth_profile_asks_for_neighbours_only(spark, monkeypatch):
+    """w02 needs the 25 nearest: no two blocks meet for all their pairs, and the sums are those of brute force."""
+    monkeypatch.setattr(catalog.P, "l1_extremes", None)
+    turns = [Counter(r.tokens) for r in fixtures.turns(spark, SF).orderBy("id").collect()]
+    want = [sum(sorted((a - b).total() + (b - a).total() for y, b in enumerate(turns) if y != x)[:25]) for x, a in enumerate(turns)]
+    got = catalog.QUERIES["w02_ground_truth_profile"](spark, SF).where(f"k = {min(25, len(turns) - 1)}").orderBy("i").collect()
+    assert len(turns) > 2 and [r.sum_value for r in got] == want
